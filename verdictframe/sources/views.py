@@ -26,13 +26,15 @@ SELECT event_id AS seq, ts, concat('m', lpad(cast(user_id % 12 AS string), 2, '0
 FROM {events}
 """
 
+# Four judge systems: two judges, each with and without execution results.
 VIEWS["judgments"] = """
-SELECT v.judge, v.mode, b.seq, b.model_a, b.model_b, b.category, b.vote AS human_vote,
-  CASE WHEN (b.seq * 7919 + v.salt) % 100 < v.agree THEN b.vote
-       WHEN b.vote = 'vote_left' THEN 'vote_right' WHEN b.vote = 'vote_right' THEN 'vote_tie'
-       WHEN b.vote = 'vote_tie' THEN 'vote_both_bad' ELSE 'vote_left' END AS judge_vote
-FROM {battles} b CROSS JOIN (VALUES ('jA','with_execution',80,1),('jA','without_execution',60,2),
-  ('jB','with_execution',70,3),('jB','without_execution',65,4)) AS v(judge, mode, agree, salt)
+SELECT CASE WHEN v < 2 THEN 'jA' ELSE 'jB' END AS judge,
+  CASE WHEN v % 2 = 0 THEN 'with_execution' ELSE 'without_execution' END AS mode,
+  seq, model_a, model_b, category, vote AS human_vote,
+  CASE WHEN (seq * 7919 + v + 1) % 100 < CASE v WHEN 0 THEN 80 WHEN 1 THEN 60 WHEN 2 THEN 70 ELSE 65 END THEN vote
+       WHEN vote = 'vote_left' THEN 'vote_right' WHEN vote = 'vote_right' THEN 'vote_tie'
+       WHEN vote = 'vote_tie' THEN 'vote_both_bad' ELSE 'vote_left' END AS judge_vote
+FROM (SELECT *, <each:4> AS v FROM {battles}) b
 """
 
 VIEWS["system_battles"] = """
@@ -123,8 +125,14 @@ def view_closure(names: list[str]) -> list[str]:
     return done
 
 
+def repeat_rows(text: str, generator: str) -> str:
+    """``<each:n>`` repeats a row for 0..n-1; the generator differs by dialect."""
+    return re.sub(r"<each:(\d+)>", lambda m: generator.format(last=int(m.group(1)) - 1, n=m.group(1)), text)
+
+
 def duck_view(name: str) -> str:
-    return VIEWS[name].strip().format(**{n: n for n in TABLES + list(VIEWS)})
+    text = repeat_rows(VIEWS[name], "unnest(range(0, {n}))")
+    return text.strip().format(**{n: n for n in TABLES + list(VIEWS)})
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -136,4 +144,5 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in TABLES:
         return table(spark, sf_dir, name)
     inputs = {dep: view(spark, sf_dir, dep) for dep in dict.fromkeys(references(name))}
-    return spark.sql(VIEWS[name], **inputs)
+    text = repeat_rows(VIEWS[name], "explode(sequence(0, {last}))")
+    return spark.sql(text, **inputs)
