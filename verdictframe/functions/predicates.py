@@ -72,9 +72,13 @@ def a_score(column: Column | str) -> Column:
     )
 
 
+# White space as in str.strip: ASCII controls, separators and Unicode spaces.
+SPACE = r"[\s\x0B\x1c-\x1f\x{85}\p{Z}]"
+
+
 def squeeze(column: Column) -> Column:
     """Strip all leading and trailing white space, not only blanks."""
-    return F.regexp_replace(column, r"^\s+|\s+$", "")
+    return F.regexp_replace(column, f"^{SPACE}+|{SPACE}+$", "")
 
 
 def short_model_name(column: Column) -> Column:

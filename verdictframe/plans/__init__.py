@@ -1,6 +1,6 @@
 """Query catalogue: importing this package registers every query."""
 
-from verdictframe.plans import agreement, battles, leaderboard  # noqa: F401
+from verdictframe.plans import agreement, battles, code, leaderboard, ratings  # noqa: F401
 from verdictframe.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]

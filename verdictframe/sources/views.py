@@ -106,6 +106,40 @@ FROM {documents}
 """
 
 
+# Answers whose fenced blocks cover every language family; the whole document
+# text rides along as the closing paragraph.
+VIEWS["code_answers"] = """
+SELECT doc_id AS uid, concat('cat', cast(doc_id % 6 AS string)) AS category, lang AS model,
+  concat('Answer ', cast(doc_id AS string), ':', chr(10), '```',
+   CASE doc_id % 17 WHEN 0 THEN 'python' WHEN 1 THEN 'py' WHEN 2 THEN 'vue' WHEN 3 THEN 'jsx' WHEN 4 THEN 'react' WHEN 5 THEN 'html'
+    WHEN 6 THEN 'json' WHEN 7 THEN 'typescript' WHEN 8 THEN 'mermaid' WHEN 9 THEN 'cpp' WHEN 10 THEN 'c++' WHEN 11 THEN 'golang'
+    WHEN 12 THEN 'java' WHEN 13 THEN 'rust' WHEN 14 THEN 'c' WHEN 15 THEN '' ELSE 'Python3' END, chr(10),
+   CASE doc_id % 17
+    WHEN 0 THEN concat('# pip install numpy==1.26 --upgrade', chr(10), 'import os, numpy as np', chr(10), 'from pandas.core import frame', chr(10), 'print(np.ones(', cast(doc_id AS string), '))')
+    WHEN 1 THEN concat('import pygame', chr(10), '!pip install rich requests>=2.0', chr(10), 'pygame.init()')
+    WHEN 2 THEN concat('<template><p>hi</p></template>', chr(10), '<script setup>', chr(10), 'import axios from "axios"', chr(10), '</script>')
+    WHEN 3 THEN concat('import React from "react";', chr(10), 'import {{ map }} from "lodash/map";', chr(10), 'export default () => <div>x</div>;')
+    WHEN 4 THEN concat('import {{ Button }} from "@mui/material/Button";', chr(10), 'const n: number = 4;')
+    WHEN 5 THEN concat('<!DOCTYPE html><html><head><script src="https://unpkg.com/vue@3/dist/vue.js"></script>',
+      '<script src="https://cdn.jsdelivr.net/npm/@scope/kit@2/x.js"></script><script src="https://code.example.com/jquery-3.6/a.js"></script></head><body><script>import "d3";</script></body></html>')
+    WHEN 6 THEN concat('const v = require("fs-extra/lib");', chr(10), 'v.on("x", f);')
+    WHEN 7 THEN concat('interface Row {{ id: number }}', chr(10), 'import {{ ref }} from "vue";', chr(10), 'const img = "/api/placeholder/300/20000";')
+    WHEN 8 THEN concat('graph TD; A-->B', cast(doc_id AS string))
+    WHEN 9 THEN 'int main() {{ return 0; }}'
+    WHEN 10 THEN '#include <vector>'
+    WHEN 11 THEN 'package main'
+    WHEN 12 THEN concat('public class Doc', cast(doc_id % 9 AS string), ' {{ }}')
+    WHEN 13 THEN 'fn main() {{}}'
+    WHEN 14 THEN concat('void f(void); // "/api/placeholder/0/40" and "/api/placeholder/640/480"')
+    WHEN 15 THEN concat('plain block ', cast(doc_id AS string))
+    ELSE concat('import streamlit as st', chr(10), 'st.title("', source, '")') END,
+   chr(10), '```', chr(10),
+   CASE doc_id % 4 WHEN 0 THEN concat('```bash', chr(10), 'pip install -U torch "scikit-learn>=1.0" ', source, chr(10), '# note', chr(10), 'npm install --save react @types/node@16.0.0', chr(10), '```', chr(10))
+    WHEN 1 THEN concat('```sh', chr(10), 'yarn add three', chr(10), 'npm i d3', chr(10), '```', chr(10)) ELSE '' END,
+   text) AS answer
+FROM {documents}
+"""
+
 def references(name: str) -> list[str]:
     return re.findall(r"\{(\w+)\}", VIEWS[name].replace("{{", "").replace("}}", ""))
 
