@@ -140,6 +140,110 @@ SELECT doc_id AS uid, concat('cat', cast(doc_id % 6 AS string)) AS category, lan
 FROM {documents}
 """
 
+# Judge texts with verdict marks in all spellings.
+VIEWS["verdict_texts"] = """
+SELECT seq AS uid, category, vote, concat('Comparing ', model_a, ' with ', model_b, '. ',
+  CASE seq % 8 WHEN 0 THEN 'First [[A>B]], on reflection [[B>A]].' WHEN 1 THEN 'Verdict [a=b] here.'
+   WHEN 2 THEN 'No verdict given.' WHEN 3 THEN 'So [[a>>b]] beats the earlier [B<A].'
+   WHEN 4 THEN 'My choice: [[B>>A]]' WHEN 5 THEN '[[]] then [A<B]' WHEN 6 THEN '[NOTE] and [[A<<B]]' ELSE '[x] only' END) AS judgment
+FROM {battles}
+"""
+
+# Judge replies: clean JSON, fenced JSON, JSON in prose, plain words, noise.
+VIEWS["judge_replies"] = """
+SELECT seq AS uid, CASE seq % 16
+  WHEN 0 THEN concat('{{"Overall": {{"winner": "A", "reasoning": "', model_a, '"}}}}')
+  WHEN 1 THEN '{{"Overall": "b", "Style": {{"winner": "A"}}}}'
+  WHEN 2 THEN concat('```json', chr(10), '{{"Overall": {{"winner": "TIE"}}}}', chr(10), '```')
+  WHEN 3 THEN concat('```', chr(10), '{{"Overall": "both_bad"}}', chr(10), '```')
+  WHEN 4 THEN concat('Here it is: {{"Overall": {{"winner": "B", "n": {{"x": ', cast(seq AS string), '}}}}}} and {{more}}')
+  WHEN 5 THEN concat('  {{"Overall": {{"winner": "A", "reasoning": "it', chr(92), chr(39), 's fine"}}}}  ')
+  WHEN 6 THEN concat('{{"Overall": {{"winner": "A", "reasoning": "uses ', chr(92), 'alpha"}}}}')
+  WHEN 7 THEN '{{"Style": {{"winner": "A"}}}}'
+  WHEN 8 THEN 'I would say vote_right overall.'
+  WHEN 9 THEN concat('Model A is clearly Better than ', model_b)
+  WHEN 10 THEN 'The two are equivalent to me.'
+  WHEN 11 THEN 'Neither of them runs.'
+  WHEN 12 THEN ''
+  WHEN 13 THEN concat('Nothing to add on ', model_a)
+  WHEN 14 THEN ' solution a '
+  ELSE 'Broken {{"Overall": {{"winner": "A"}}' END AS reply
+FROM {battles}
+"""
+
+# Assessments as XML, one per document; some malformed.
+VIEWS["assessments"] = """
+SELECT doc_id AS uid, concat('cat', cast(doc_id % 6 AS string)) AS category, text AS instruction,
+  CASE WHEN doc_id % 11 = 0 THEN concat('no assessment ', source) ELSE concat('Sure.', chr(10), '<response>', chr(10), '<question_quality>', chr(10),
+   '<reasoning> clear ', source, ' </reasoning>', chr(10), '<rating> ',
+   CASE doc_id % 5 WHEN 0 THEN 'excellent' WHEN 1 THEN 'good' WHEN 2 THEN 'average' WHEN 3 THEN 'poor' ELSE 'very poor' END,
+   ' </rating>', chr(10), '</question_quality>', chr(10), CASE WHEN doc_id % 7 = 0 THEN '' ELSE concat('<question_difficulty><rating>',
+   CASE doc_id % 3 WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' ELSE 'very hard' END, '</rating></question_difficulty>') END,
+   chr(10), '</response> done') END AS response
+FROM {documents}
+"""
+
+# Evaluation replies with a verdict object somewhere inside.
+VIEWS["evaluations"] = """
+SELECT seq AS uid, category, CASE seq % 6
+  WHEN 0 THEN concat('{{"verdict": "PASS", "total_score": ', cast(60 + seq % 40 AS string), '}}')
+  WHEN 1 THEN concat('Result: {{"verdict": "PARTIAL", "total_score": ', cast(seq % 60 AS string), ', "reasoning": "half"}} end')
+  WHEN 2 THEN '{{"total_score": 12}}'
+  WHEN 3 THEN 'no object'
+  WHEN 4 THEN '{{broken'
+  ELSE '{{"verdict": "UNSURE", "status": "late"}}' END AS response
+FROM {battles}
+"""
+
+# Generated questions with the artefacts a generator leaves behind.
+VIEWS["generated_texts"] = """
+SELECT doc_id AS uid, concat('cat', cast(doc_id % 6 AS string)) AS category, concat(
+  CASE doc_id % 8 WHEN 0 THEN concat('- Do NOT repeat.', chr(10), '- Use care.', chr(10)) WHEN 1 THEN '[Question 3]: ' WHEN 2 THEN '## '
+   WHEN 3 THEN concat('Output only text.', chr(10)) WHEN 4 THEN concat('**Output it plainly**', chr(10)) WHEN 5 THEN concat('<|mark|> tail', chr(10))
+   WHEN 6 THEN concat('  question 12:  ', '') ELSE '' END,
+  CASE WHEN doc_id % 10 = 7 THEN '' ELSE concat('Task about ', source, '.', chr(10), chr(10), '  ', chr(10), '- bullet ', chr(10), 'End ', cast(doc_id AS string), chr(10), text) END) AS raw
+FROM {documents}
+"""
+
+# Raw solutions and test lists as a generator returns them.
+VIEWS["solutions"] = """
+SELECT doc_id AS uid, concat('cat', cast(doc_id % 6 AS string)) AS category, concat(
+  CASE doc_id % 4 WHEN 0 THEN concat('Note: provide only code.', chr(10), chr(10), 'Sure thing', chr(10)) WHEN 1 THEN concat('```python', chr(10))
+   WHEN 2 THEN concat('Ensure the code def works', chr(10)) ELSE '' END,
+  CASE doc_id % 5 WHEN 0 THEN concat('import os', chr(10), 'note: kept', chr(10)) WHEN 1 THEN concat('def f(x):', chr(10), '    return x', chr(10))
+   WHEN 2 THEN concat('<div>', cast(doc_id AS string), '</div>', chr(10)) WHEN 3 THEN '' ELSE concat('const x = 1', chr(10), 'let y = 2', chr(10)) END,
+  text, CASE WHEN doc_id % 3 = 0 THEN concat(chr(10), '```') ELSE '' END) AS solution_text,
+  CASE doc_id % 4 WHEN 0 THEN concat('Tests: [{{"input": ', cast(doc_id AS string), ', "expected_output": 1}}, {{"input": "a", "expected_output": [2]}}] end')
+   WHEN 1 THEN '[]' WHEN 2 THEN 'none' ELSE '[{{"input": 1' END AS test_text
+FROM {documents}
+"""
+
+# Program output with embedded pictures and pages.
+VIEWS["outputs"] = """
+SELECT page_id AS uid, concat('start ', url, chr(10),
+  CASE WHEN page_id % 2 = 0 THEN concat('data:image/png;base64,iVBOR', cast(page_id AS string), '== ') ELSE '' END,
+  CASE WHEN page_id % 3 = 0 THEN concat('data:image/jpeg;base64,/9j/', cast(page_id AS string), ' ') ELSE '' END,
+  CASE WHEN page_id % 5 = 0 THEN concat('<svg width="4">', chr(10), '<g/></SVG>') ELSE '' END, html, chr(10), 'end') AS stdout
+FROM {pages}
+"""
+
+# Repository issues and readme files.
+VIEWS["issues"] = """
+SELECT doc_id AS number, concat('team', cast(doc_id % 3 AS string), '/', CASE doc_id % 8 WHEN 0 THEN 'react-kit' WHEN 1 THEN 'PyTorch-x'
+   WHEN 2 THEN 'java-lib' WHEN 3 THEN 'godot' WHEN 4 THEN 'algo-go' WHEN 5 THEN 'nuts' WHEN 6 THEN 'zzz' ELSE 'd3-more' END) AS repo,
+  concat('Issue ', cast(doc_id AS string)) AS title, CASE WHEN doc_id % 13 = 0 THEN '' ELSE text END AS body,
+  doc_id % 7 = 0 AS is_pull_request, CASE doc_id % 4 WHEN 0 THEN 'Easy fix' WHEN 1 THEN 'advanced' WHEN 2 THEN 'good first issue' ELSE 'beginner,complex' END AS labels,
+  doc_id % 3 AS label_pos, concat('user', cast(doc_id % 20 AS string)) AS author, concat('cat', cast(doc_id % 6 AS string)) AS category
+FROM {documents}
+"""
+
+VIEWS["readmes"] = """
+SELECT doc_id AS uid, concat('own', cast(doc_id % 50 AS string), '/repo', cast(doc_id AS string)) AS repo, concat(
+  CASE WHEN doc_id % 2 = 0 THEN concat('See https://github.com/a/b/blob/main/x', cast(doc_id AS string), '.md) and https://github.com/a/b/blob/main/y and https://github.com/a/c/blob/z ') ELSE '' END,
+  CASE WHEN doc_id % 3 = 0 THEN '[demo](examples/run.py) then [one](example/a b) ' ELSE '' END, text) AS readme
+FROM {documents}
+"""
+
 def references(name: str) -> list[str]:
     return re.findall(r"\{(\w+)\}", VIEWS[name].replace("{{", "").replace("}}", ""))
 
