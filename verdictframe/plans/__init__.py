@@ -1,6 +1,8 @@
 """Query catalogue: importing this package registers every query."""
 
-from verdictframe.plans import agreement, battles, code, leaderboard, ratings, text  # noqa: F401
+from verdictframe.plans import (
+    agreement, battles, code, enrichment, leaderboard, ratings, similarity, text, worklist,
+)  # noqa: F401
 from verdictframe.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
