@@ -2,63 +2,60 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from verdictframe.functions.draws import dense_index
 from verdictframe.operators.battles import latest
 
-VOTE = T.StructType.fromDDL(
+# Schemas as DDL text.
+MESSAGES = "array<struct<role:string,content:string>>"
+VOTE = (
     "timestamp string, model_a string, model_b string, initial_prompt string, action_a string, "
-    "action_b string, conversation_a array<struct<role:string,content:string>>, "
-    "conversation_b array<struct<role:string,content:string>>, vote string"
-)
-JUDGE_RESULT = T.StructType.fromDDL(
-    "chat_session_id string, model_A string, model_B string, judgment string"
+    f"action_b string, conversation_a {MESSAGES}, conversation_b {MESSAGES}, vote string"
 )
+JUDGE_RESULT = "chat_session_id string, model_A string, model_B string, judgment string"
 SANDBOX_SIDE = (
     "struct<messages:array<array<string>>,sandbox_logs_by_round:map<string,"
     "struct<sandbox_state:struct<sandbox_output:string,screenshot_base64:string>>>>"
 )
-REWARD_RECORD = T.StructType.fromDDL(
+REWARD_RECORD = (
     "chat_session_id string, instruction string, model_A string, model_B string, human_vote string, "
-    f"vote_type string, category_name string, category_id string, "
+    "vote_type string, category_name string, category_id string, "
     f"states struct<model_A:{SANDBOX_SIDE},model_B:{SANDBOX_SIDE}>"
 )
-QUESTION = T.StructType.fromDDL("uid string, instruction string, category string")
-GENERATED_QUESTION = T.StructType.fromDDL(
-    "uid string, instruction string, category string, source_seeds array<string>, "
-    "generation_method string"
-)
-GENERATION = T.StructType.fromDDL(
+QUESTION_KEYS = ["uid", "instruction", "category"]
+QUESTION = "uid string, instruction string, category string"
+GENERATED_QUESTION = f"{QUESTION}, source_seeds array<string>, generation_method string"
+GENERATION = (
     "uid string, category string, instruction string, model string, environment string, "
-    "ans_id string, tstamp double, messages array<struct<role:string,content:string>>, "
+    f"ans_id string, tstamp double, messages {MESSAGES}, "
     "code_to_execute string, language string, code_dependencies array<array<string>>"
 )
-EXECUTION = T.StructType(
-    GENERATION.fields
-    + T.StructType.fromDDL(
-        "stdout string, stderr string, screenshot_path string, visual_outputs array<string>"
-    ).fields
+EXECUTION = (
+    f"{GENERATION}, stdout string, stderr string, screenshot_path string, visual_outputs array<string>"
 )
-JUDGMENT = T.StructType.fromDDL(
+JUDGMENT = (
     "uid string, environment string, judge string, model string, baseline string, "
     "games array<struct<score:string>>"
 )
-SUMMARY = T.StructType.fromDDL(
+RATES = "map<string,struct<total:bigint,success:bigint,success_rate:double>>"
+SUMMARY = (
     "total_executions bigint, successful bigint, failed bigint, success_rate double, "
-    "by_environment map<string,struct<total:bigint,success:bigint,success_rate:double>>, "
-    "by_category map<string,struct<total:bigint,success:bigint,success_rate:double>>"
+    f"by_environment {RATES}, by_category {RATES}"
 )
 JUDGE_VERDICT = "struct<judgment:string,judger_type:string,version:string,timestamp:string>"
-ANNOTATED = T.StructType.fromDDL(
+ANNOTATED = (
     "chat_session_id string, model_A string, model_B string, "
     f"feedback map<string,map<string,{JUDGE_VERDICT}>>"
 )
+# A named file may also be a folder of part files under that name.
+PARTS = r"(?:/[^/]+)?$"
 
 
-def _scan(spark: SparkSession, path: str, schema: T.StructType, mode: str = "DROPMALFORMED") -> DataFrame:
+def _scan(spark: SparkSession, path: str, schema: str, mode: str = "DROPMALFORMED") -> DataFrame:
     """JSON lines with their file and line order; blank lines are skipped.
 
     ``_line`` orders the rows of one file: a file split keeps its start offset and
@@ -84,7 +81,7 @@ def judge_results(spark: SparkSession, root: str) -> DataFrame:
     All files of a folder are read; malformed lines are dropped.
     """
     rows = _scan(spark, f"{root}/*/*/*.jsonl", JUDGE_RESULT)
-    keys = r"/([^/]+)/((?:with|without)_execution)/([^/]+)$"
+    keys = r"/([^/]+)/((?:with|without)_execution)/([^/]+\.jsonl)" + PARTS
     return (
         rows.withColumn("judge", _part(keys, 1)).withColumn("mode", _part(keys, 2))
         .filter((F.col("mode") != "") & ~_part(keys, 3).contains("_failed"))
@@ -95,7 +92,7 @@ def judge_results(spark: SparkSession, root: str) -> DataFrame:
 def judge_results_by_name(spark: SparkSession, folder: str) -> DataFrame:
     """Files ``{judge}_{with,without}_execution.jsonl``; other names are skipped."""
     rows = _scan(spark, f"{folder}/*.jsonl", JUDGE_RESULT)
-    keys = r"/([^/]+)_((?:with|without)_execution)\.jsonl$"
+    keys = r"/([^/]+)_((?:with|without)_execution)\.jsonl" + PARTS
     return (
         rows.withColumn("judge", _part(keys, 1)).withColumn("mode", _part(keys, 2))
         .filter(F.col("mode") != "").drop("_file", "_line")
@@ -127,14 +124,14 @@ def model_answers(spark: SparkSession, root: str, file: str = "generation.jsonl"
     """
     schema = EXECUTION if file == "execution_results.jsonl" else GENERATION
     rows = _scan(spark, f"{root}/*/{file}", schema)
-    rows = rows.withColumn("model", _part(r"/([^/]+)/[^/]+$"))
+    rows = rows.withColumn("model", _part(rf"/([^/]+)/{file}{PARTS}"))
     return _newest(rows, ["model", "uid"])
 
 
 def model_judgments(spark: SparkSession, folder: str) -> DataFrame:
     """``folder/{model}.jsonl``: the last line per model and uid."""
     rows = _scan(spark, f"{folder}/*.jsonl", JUDGMENT)
-    rows = rows.withColumn("model", _part(r"/([^/]+)\.jsonl$"))
+    rows = rows.withColumn("model", _part(r"/([^/]+)\.jsonl" + PARTS))
     return _newest(rows, ["model", "uid"])
 
 
@@ -145,12 +142,12 @@ def by_model(rows: DataFrame) -> DataFrame:
     return rows.groupBy("uid").agg(F.map_from_entries(F.collect_list(entry)).alias("models"))
 
 
-def lines(spark: SparkSession, path: str, schema: T.StructType = QUESTION) -> DataFrame:
+def lines(spark: SparkSession, path: str, schema: str = QUESTION) -> DataFrame:
     """Line-JSON that must be well formed."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def array_file(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def array_file(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Files holding one JSON array each, one row per element.
 
     A file is read by one task; land large inputs as line-JSON or Parquet.
@@ -170,8 +167,13 @@ def generated_questions(spark: SparkSession, folder: str) -> DataFrame:
     bounded-bucket numbering, then shifted by the sizes of the earlier files.
     """
     rows = _scan(spark, f"{folder}/*_generated.jsonl", GENERATED_QUESTION, "FAILFAST")
-    rows = rows.withColumn("file_category", _part(r"/([^/]+)_generated\.jsonl$"))
-    rows = dense_index(rows.drop("_file"), ["file_category"], "_line", "_at").drop("_line")
+    rows = rows.withColumn("file_category", _part(r"/([^/]+)_generated\.jsonl" + PARTS))
+    # Part files of one name count in name order: their number leads the line order.
+    number = F.coalesce(_part(r"/part-(\d+)[^/]*$").try_cast("decimal(38,0)"), F.lit(0))
+    at = (number * F.lit(Decimal(2**80)) + F.col("_line")).cast("decimal(38,0)")
+    rows = dense_index(
+        rows.withColumn("_line", at).drop("_file"), ["file_category"], "_line", "_at"
+    ).drop("_line")
     sizes = rows.groupBy("file_category").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(F.lit(1)).orderBy("file_category").rowsBetween(
         Window.unboundedPreceding, -1
@@ -184,15 +186,14 @@ def generated_questions(spark: SparkSession, folder: str) -> DataFrame:
 
 def seed_file_report(spark: SparkSession, path: str) -> DataFrame:
     """Valid rows per seed file; any bad row makes the file invalid."""
-    schema = T.StructType([*QUESTION.fields, T.StructField("_corrupt_record", T.StringType())])
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option(
+    rows = spark.read.schema(f"{QUESTION}, _corrupt_record string").option("mode", "PERMISSIVE").option(
         "columnNameOfCorruptRecord", "_corrupt_record"
     ).json(path)
     bad = F.col("_corrupt_record").isNotNull()
-    for name in QUESTION.names:
+    for name in QUESTION_KEYS:
         bad = bad | F.col(name).isNull()
     report = rows.select(
-        F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1).alias("file"), bad.alias("bad")
+        F.regexp_extract("_metadata.file_path", r"/([^/]+\.jsonl)" + PARTS, 1).alias("file"), bad.alias("bad")
     )
     return report.groupBy("file").agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(F.col("bad")).alias("bad_rows")
@@ -202,7 +203,7 @@ def seed_file_report(spark: SparkSession, path: str) -> DataFrame:
 def execution_summaries(spark: SparkSession, root: str) -> DataFrame:
     """``root/{model}/execution_summary.json`` as rows per level and value."""
     rows = spark.read.schema(SUMMARY).option("multiLine", True).json(f"{root}/*/execution_summary.json")
-    rows = rows.withColumn("model", F.regexp_extract("_metadata.file_path", r"/([^/]+)/[^/]+$", 1))
+    rows = rows.withColumn("model", F.regexp_extract("_metadata.file_path", r"/([^/]+)/execution_summary\.json" + PARTS, 1))
     overall = rows.select(
         "model", F.lit("overall").alias("level"), F.lit("").alias("value"),
         F.col("total_executions").alias("total"), F.col("successful").alias("success"), "success_rate",
