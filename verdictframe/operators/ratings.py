@@ -47,9 +47,12 @@ def online_elo(
     base: float = BASE,
     init: float = INIT,
     rows_per_chunk: int = 2_000_000,
+    start: DataFrame | None = None,
 ) -> DataFrame:
     """Elo after all battles of each key, applied in ``order`` (must be unique).
 
+    ``start`` continues from an earlier result; keys without new battles keep it.
+
     The update is a strict recurrence, so one key cannot be split in parallel.
     It is split in *time* instead: the order column is cut into chunks of
     bounded size, and wave c folds chunk c of every key at once, starting from
@@ -84,19 +87,20 @@ def online_elo(
         return emit(key, state)
 
     biggest = battles.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    chunks = math.ceil(biggest / rows_per_chunk)
-    if chunks <= 1:
-        return slim.groupBy(*keys).applyInPandas(first, schema)
+    chunks = max(1, math.ceil(biggest / rows_per_chunk))
+
+    def wave(part: DataFrame, state: DataFrame | None) -> DataFrame:
+        if state is None:
+            return part.groupBy(*keys).applyInPandas(first, schema)
+        state = state.select(*schema.names)
+        return part.groupBy(*keys).cogroup(state.groupBy(*keys)).applyInPandas(later, schema)
+
+    if chunks == 1:
+        return wave(slim, start)
     marked = truncate(range_bucket(slim, order, chunks, "chunk"))
-    state = None
+    state = start
     for c in range(chunks):
-        part = marked.filter(F.col("chunk") == c).drop("chunk")
-        if state is None:
-            state = truncate(part.groupBy(*keys).applyInPandas(first, schema))
-        else:
-            state = truncate(
-                part.groupBy(*keys).cogroup(state.groupBy(*keys)).applyInPandas(later, schema)
-            )
+        state = truncate(wave(marked.filter(F.col("chunk") == c).drop("chunk"), state))
     return state
 
 
