@@ -1,4 +1,4 @@
-"""Streaming queries: the given events arrive as four files, in time order."""
+"""Streaming queries: the given events arrive in four steps, in order."""
 
 from __future__ import annotations
 
@@ -13,36 +13,30 @@ from verdictframe.streaming import elo, logs, votes
 PARTS = 4
 
 
-def arrivals(spark, rows, order: str, name: str) -> str:
-    """Write ``rows`` in ``PARTS`` steps of rising ``order``; returns the folder."""
-    path = f"{fresh(spark, name)}/in"
+def feed(spark, rows, order: str, folder: str, start) -> None:
+    """Let ``rows`` arrive in ``PARTS`` steps of rising ``order``.
+
+    After each arrival the stream is started on all new input and resumes from
+    its checkpoint, as it would after a restart of the application.
+    """
     cuts = rows.agg(F.percentile_approx(order, [i / PARTS for i in range(1, PARTS)], 1000)).first()[0]
-    low = None
-    for high in [*cuts, None]:
+    bounds = [None, *cuts, None]
+    for low, high in zip(bounds, bounds[1:]):
         part = rows
         if low is not None:
             part = part.filter(F.col(order) > F.lit(low))
         if high is not None:
             part = part.filter(F.col(order) <= F.lit(high))
-        # One file per step: it becomes one trigger of the stream.
-        part.coalesce(1).write.mode("append").parquet(path)
-        low = high
-    return path
-
-
-def stream(spark, rows, order: str, name: str):
-    return votes.vote_stream(spark, arrivals(spark, rows, order, name), rows.schema, 1, "parquet")
-
-
-def finish(running) -> None:
-    running.awaitTermination()
+        part.write.mode("append").parquet(f"{folder}/in")
+        live = votes.vote_stream(spark, f"{folder}/in", rows.schema, kind="parquet")
+        start(live).awaitTermination()
 
 
 @query("stream_ingested_votes", "SELECT seq, model_a, model_b, vote FROM space_votes")
 def stream_ingested_votes(spark, sf):
     rows = view(spark, sf, "space_votes").select("seq", "model_a", "model_b", "vote")
     out = fresh(spark, "ingested")
-    finish(votes.ingest(stream(spark, rows, "seq", "votes"), f"{out}/table", f"{out}/checkpoint"))
+    feed(spark, rows, "seq", out, lambda live: votes.ingest(live, f"{out}/table", f"{out}/checkpoint"))
     return spark.read.schema(rows.schema).parquet(f"{out}/table")
 
 
@@ -52,13 +46,12 @@ SELECT model, count(*) AS total, count(*) FILTER (r = 'w') AS wins, count(*) FIL
 def stream_running_stats(spark, sf):
     rows = view(spark, sf, "space_votes").select("seq", "model_a", "model_b", "vote")
     out = fresh(spark, "running")
-    stats = votes.running_stats(stream(spark, rows, "seq", "votes"))
 
-    def keep(batch, number):
-        batch.write.mode("overwrite").parquet(f"{out}/stats/batch={number}")
+    def start(live):
+        stats = votes.running_stats(live)
+        return votes.per_batch(stats, votes.keep_step(f"{out}/stats"), f"{out}/checkpoint", mode="complete")
 
-    writer = stats.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{out}/checkpoint")
-    finish(writer.trigger(availableNow=True).start())
+    feed(spark, rows, "seq", out, start)
     return votes.newest(spark, f"{out}/stats")
 
 
@@ -67,7 +60,8 @@ def stream_running_stats(spark, sf):
 def stream_pair_counts(spark, sf):
     rows = view(spark, sf, "space_votes").select("seq", "model_a", "model_b", "vote")
     out = fresh(spark, "pairs")
-    finish(votes.per_batch(stream(spark, rows, "seq", "votes"), votes.pair_count_step(f"{out}/counts"), f"{out}/checkpoint"))
+    step = votes.pair_count_step(f"{out}/counts")
+    feed(spark, rows, "seq", out, lambda live: votes.per_batch(live, step, f"{out}/checkpoint"))
     return votes.stored_pair_counts(spark, f"{out}/counts")
 
 
@@ -77,7 +71,7 @@ def stream_leaderboard(spark, sf):
     rows = view(spark, sf, "space_votes").select("seq", "model_a", "model_b", "vote")
     out = fresh(spark, "board")
     step = votes.leaderboard_step(f"{out}/counts", f"{out}/board")
-    finish(votes.per_batch(stream(spark, rows, "seq", "votes"), step, f"{out}/checkpoint"))
+    feed(spark, rows, "seq", out, lambda live: votes.per_batch(live, step, f"{out}/checkpoint"))
     return votes.newest(spark, f"{out}/board").select("model", F.round("rating", 4).alias("rating"), "battles")
 
 
@@ -87,7 +81,7 @@ def stream_elo(spark, sf):
     rows = view(spark, sf, "system_battles")
     out = fresh(spark, "elo")
     step = elo.elo_step(f"{out}/ratings", ["system"])
-    finish(votes.per_batch(stream(spark, rows, "seq", "battles"), step, f"{out}/checkpoint"))
+    feed(spark, rows, "seq", out, lambda live: votes.per_batch(live, step, f"{out}/checkpoint"))
     return votes.newest(spark, f"{out}/ratings").select("system", "model", F.round("rating", 4).alias("rating"))
 
 
@@ -97,13 +91,12 @@ def stream_keyed_elo(spark, sf):
     """The fold as keyed state; changes are stored per trigger."""
     rows = view(spark, sf, "system_battles")
     out = fresh(spark, "keyed-elo")
-    changes = elo.keyed_elo(stream(spark, rows, "seq", "battles"))
 
-    def keep(batch, number):
-        batch.write.mode("overwrite").parquet(f"{out}/changes/batch={number}")
+    def start(live):
+        changes = elo.keyed_elo(live)
+        return votes.per_batch(changes, votes.keep_step(f"{out}/changes"), f"{out}/checkpoint", mode="update")
 
-    writer = changes.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{out}/checkpoint")
-    finish(writer.trigger(availableNow=True).start())
+    feed(spark, rows, "seq", out, start)
     stored = spark.read.schema("system string, model string, rating double, batch int").parquet(f"{out}/changes")
     return elo.latest_ratings(stored).select("system", "model", F.round("rating", 4).alias("rating"))
 
@@ -114,7 +107,7 @@ def stream_worklist(spark, sf):
     rows = view(spark, sf, "judge_rows").select("seq", "chat_session_id")
     out = fresh(spark, "worklist")
     step = logs.worklist_step(f"{out}/taken", "chat_session_id")
-    finish(votes.per_batch(stream(spark, rows, "seq", "sessions"), step, f"{out}/checkpoint"))
+    feed(spark, rows, "seq", out, lambda live: votes.per_batch(live, step, f"{out}/checkpoint"))
     return spark.read.schema("chat_session_id string, batch int").parquet(f"{out}/taken").select("chat_session_id")
 
 
@@ -122,15 +115,18 @@ def stream_worklist(spark, sf):
  strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS first_time, 'sandbox-logs-' || user_id || '-1-' || event_id || '.json' AS name FROM events""")
 def stream_logs(spark, sf):
     rows = view(spark, sf, "events")
-    live = stream(spark, rows, "event_id", "events")
-    turns = F.array(F.array(F.struct(F.col("ts").alias("time"), F.col("event_type").alias("action"))))
-    records = live.select(
-        "event_id", "ts", F.when(F.col("user_id") % 2 == 0, "battle_anony").otherwise("direct").alias("chat_mode"),
-        logs.serialised_interactions(turns).alias("interactions"),
-        logs.log_name(F.col("user_id"), F.lit(1), F.col("event_id")).alias("name"),
-    )
     out = fresh(spark, "logs")
-    finish(logs.write_log_stream(records, f"{out}/table", f"{out}/checkpoint", "ts"))
+
+    def start(live):
+        turns = F.array(F.array(F.struct(F.col("ts").alias("time"), F.col("event_type").alias("action"))))
+        records = live.select(
+            "event_id", "ts", F.when(F.col("user_id") % 2 == 0, "battle_anony").otherwise("direct").alias("chat_mode"),
+            logs.serialised_interactions(turns).alias("interactions"),
+            logs.log_name(F.col("user_id"), F.lit(1), F.col("event_id")).alias("name"),
+        )
+        return logs.write_log_stream(records, f"{out}/table", f"{out}/checkpoint", "ts")
+
+    feed(spark, rows, "event_id", out, start)
     read = spark.read.schema(
         "event_id bigint, interactions array<array<struct<time:string,action:string>>>, name string, date string, chat_mode string"
     ).json(f"{out}/table")

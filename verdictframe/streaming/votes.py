@@ -53,13 +53,24 @@ def running_stats(votes: DataFrame) -> DataFrame:
 
 def per_batch(
     rows: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str,
-    interval: str | None = None,
+    interval: str | None = None, mode: str = "append",
 ) -> StreamingQuery:
     """Run ``step(batch, number)``; a retried batch gets the same number."""
-    writer = rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    writer = rows.writeStream.outputMode(mode).foreachBatch(step).option(
+        "checkpointLocation", checkpoint
+    )
     return _started(writer, interval)
 
 
+def keep_step(path: str) -> Callable[[DataFrame, int], None]:
+    """Store each batch as a folder of its own."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return step
+
+
 def pair_count_step(path: str) -> Callable[[DataFrame, int], None]:
     """Store the outcome counts of each batch; counts of batches simply add."""
 
