@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from verdictframe.functions.codeblocks import contains_any
 from verdictframe.functions.predicates import squeeze
 
 # Artefact patterns, phrases, markers and limits.
@@ -33,6 +33,17 @@ META_PHRASES = [
     "no explanations", "no text", "no markdown", "no extra", "no other",
 ]
 CODE_MARKS = ["import ", "def ", "class ", "<", "function ", "const ", "let ", "var ", "{"]
+
+
+def _either(words: list[str]) -> str:
+    """Alternation; a trailing blank needs something after it on the line."""
+    return "|".join(
+        re.escape(w.rstrip()) + (r" .*\S" if w.endswith(" ") else "") for w in words
+    )
+
+
+# Start of the first line with a code mark and without any instruction phrase.
+CODE_LINE = rf"(?dim)^(?!.*(?:{_either(META_PHRASES)}))(?=.*(?:{_either(CODE_MARKS)}))"
 RULE = "=" * 80
 ENRICHMENT_MARKERS = [
     "---\n\n**Related Real-World Examples from GitHub:**",
@@ -66,18 +77,8 @@ def clean_solution(text: Column) -> Column:
     Lines with an instruction phrase never start the code; once it has started
     every line stays.
     """
-    lines = F.split(text, "\n")
-
-    def starts(line: Column) -> Column:
-        low = F.lower(squeeze(line))
-        return ~contains_any(low, META_PHRASES) & contains_any(low, CODE_MARKS)
-
-    marked = F.transform(lines, lambda s, i: F.when(starts(s), i))
-    first = F.array_min(marked)
-    # NULL (no code line at all) leaves an empty text.
-    kept = F.coalesce(
-        F.array_join(F.slice(lines, first + 1, F.size(lines)), "\n"), F.lit("")
-    )
+    first = F.regexp_instr(text, F.lit(CODE_LINE))
+    kept = F.when(first > 0, F.substring(text, first, F.length(text))).otherwise("")
     body = squeeze(kept)
     body = squeeze(F.regexp_replace(body, r"^(?:```[^\n]*\n\s*)+", ""))
     return F.regexp_replace(body, r"(?:\s*```)+$", "")

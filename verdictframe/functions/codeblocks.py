@@ -392,9 +392,12 @@ def block_dependencies(lang: Column, code: Column, blocks: Column) -> tuple[Colu
     return F.array_union(own_python, pip), F.array_union(own_npm, npm)
 
 
-def fallback_environment(code: Column) -> tuple[Column, Column]:
-    """(environment, language) of code without any fence, by ordered substrings."""
-    low, head = F.lower(code), squeeze(code)
+def fallback_environment(code: Column, low: Column, head: Column) -> tuple[Column, Column]:
+    """(environment, language) of code without any fence, by ordered substrings.
+
+    ``low`` is the lower-cased code, ``head`` the start of the stripped code, both
+    given as columns so that they are computed once per row.
+    """
     pythonic = contains_any(code, ["def ", "class ", "import "])
     remarks = contains_any(code, ["//", "/*"])
     rules = [

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdictframe.functions import codeblocks as cb
-from verdictframe.functions.predicates import present
+from verdictframe.functions.predicates import present, squeeze
 
 
 def extract_code(answers: DataFrame, answer: str = "answer") -> DataFrame:
@@ -38,8 +38,10 @@ def generations_from_solutions(solutions: DataFrame, solution: str = "solution")
     Rows without uid or code are skipped; an unknown environment runs as Python.
     """
     kept = solutions.filter(present(F.col("uid").cast("string")) & present(solution))
-    rows = extract_code(kept, solution)
-    environment, language = cb.fallback_environment(F.col(solution))
+    rows = extract_code(kept, solution).withColumn("_low", F.lower(solution)).withColumn(
+        "_head", F.substring(squeeze(F.col(solution)), 1, 20)
+    )
+    environment, language = cb.fallback_environment(F.col(solution), F.col("_low"), F.col("_head"))
     fenced = F.col("code_to_execute").isNotNull()
     return rows.select(
         *[c for c in kept.columns],

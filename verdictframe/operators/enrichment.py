@@ -121,11 +121,6 @@ def match_resources(questions: DataFrame, resources: DataFrame, k: int = 5) -> D
 
 # -------------------------------------------------------- character similarity
 
-def ratio(left: str, right: str) -> float:
-    """Ratcliff/Obershelp similarity; the order of the arguments matters."""
-    return SequenceMatcher(None, left, right).ratio() if left and right else 0.0
-
-
 def _histograms(texts: list[str], alphabet: dict[str, int]) -> np.ndarray:
     out = np.zeros((len(texts), len(alphabet)), dtype=np.int16)
     for row, text in enumerate(texts):
@@ -150,7 +145,15 @@ def best_by_text(
     right_hist = _histograms(right["text"].tolist(), alphabet)
     right_len = right["text"].str.len().to_numpy()
     left_hist = _histograms(left["text"].tolist(), alphabet)
-    texts = right["text"].tolist()
+    # The order of the two texts matters; the index of the right one is kept.
+    matchers: dict[int, SequenceMatcher] = {}
+
+    def similarity(text: str, j: int) -> float:
+        if j not in matchers:
+            matchers[j] = SequenceMatcher(None, "", right["text"].iloc[j])
+        matchers[j].set_seq1(text)
+        return matchers[j].ratio() if text and matchers[j].b else 0.0
+
     rows = []
     for i, (uid, text, floor) in enumerate(zip(left["uid"], left["text"], left["floor"])):
         shared = np.minimum(left_hist[i], right_hist).sum(axis=1)
@@ -162,7 +165,7 @@ def best_by_text(
             limit = max(floor, found[-1][0] if len(found) == k else -math.inf)
             if reach[j] < limit - 1e-9 or (positive and reach[j] <= 0):
                 break
-            score = float(fixed[j] + factor[j] * ratio(text, texts[j]))
+            score = float(fixed[j] + factor[j] * similarity(text, j))
             if score > 0 or not positive:
                 found = sorted([*found, (score, order[j], j)], key=lambda f: (-f[0], f[1]))[:k]
         rows += [(uid, right["rid"].iloc[j], score, int(position)) for score, position, j in found]

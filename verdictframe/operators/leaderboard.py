@@ -110,10 +110,13 @@ def bootstrap_means_by_draws(cells: DataFrame, rounds: int = 100, seed: int = 17
     blocks spread over all tasks, so a hot model is not one task's work.
     """
     solid = cells.filter(F.col("score").isNotNull())
-    spread = solid.groupBy("slice", "model").agg(
-        F.sum("n").alias("size"),
-        F.array_sort(F.collect_list(F.struct("score", "n"))).alias("steps"),
-    )
+    # Scores come from a fixed table of labels: a handful of values.
+    values = [r["score"] for r in solid.select("score").distinct().orderBy("score").collect()]
+    columns = [
+        F.coalesce(F.sum(F.when(F.col("score") == v, F.col("n"))), F.lit(0)).alias(f"n{i}")
+        for i, v in enumerate(values)
+    ]
+    spread = solid.groupBy("slice", "model").agg(F.sum("n").alias("size"), *columns)
     blocks = spread.withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / BLOCK)))
     ).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
@@ -121,20 +124,12 @@ def bootstrap_means_by_draws(cells: DataFrame, rounds: int = 100, seed: int = 17
     last = F.least(F.col("size"), (F.col("block") + 1) * BLOCK) - 1
     drawn = blocks.withColumn("i", F.explode(F.sequence(F.col("block") * BLOCK, last)))
     pick = draw(seed, "slice", "model", "round", "i") % F.col("size")
-    scored = drawn.withColumn("pick", pick).withColumn(
-        "score",
-        F.aggregate(
-            "steps",
-            F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("double").alias("value")),
-            lambda acc, s: F.struct(
-                (acc["seen"] + s["n"]).alias("seen"),
-                F.when(
-                    acc["value"].isNull() & (F.col("pick") < acc["seen"] + s["n"]), s["score"]
-                ).otherwise(acc["value"]).alias("value"),
-            ),
-            lambda acc: acc["value"],
-        ),
-    )
+    score, seen = None, F.lit(0)
+    for i, v in enumerate(values):
+        seen = seen + F.col(f"n{i}")
+        test = F.col("pick") < seen
+        score = F.when(test, F.lit(v)) if score is None else score.when(test, F.lit(v))
+    scored = drawn.withColumn("pick", pick).withColumn("score", score)
     return scored.groupBy("slice", "model", "round").agg(F.avg("score").alias("mean"))
 
 

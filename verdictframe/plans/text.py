@@ -9,6 +9,7 @@ from verdictframe.functions.predicates import squeeze
 from verdictframe.operators import battles, quality
 from verdictframe.plans.code import q, stripped
 from verdictframe.plans.registry import query
+from verdictframe.session import truncate
 from verdictframe.sources.views import view
 
 NL = "chr(10)"
@@ -143,7 +144,8 @@ def clean_questions(spark, sf):
     rows = view(spark, sf, "generated_texts").select(
         "uid", "category", cleanup.clean_question(F.col("raw")).alias("instruction")
     ).filter("instruction <> ''")
-    numbered = dense_index(rows, ["category"], "uid", "n")
+    # Numbering reads its input more than once: clean the texts only once.
+    numbered = dense_index(truncate(rows), ["category"], "uid", "n")
     return numbered.select("category", F.format_string("gen_%06d", "n").alias("uid"), "instruction")
 
 
