@@ -35,11 +35,13 @@ def all_present(*columns: Column | str) -> Column:
 
 
 def lookup(column: Column, table: dict[str, str]) -> Column:
-    """``CASE`` over a small fixed table; unknown values become NULL."""
-    cases = F.lit(None).cast("string")
-    for key, value in reversed(list(table.items())):
-        cases = F.when(column == key, F.lit(value)).otherwise(cases)
-    return cases
+    """Value from a small fixed table; unknown values become NULL.
+
+    A map literal names the column once. A ``CASE`` would repeat it per entry,
+    and filters pushed below several of those multiply.
+    """
+    entries = [F.lit(x) for pair in table.items() for x in pair]
+    return F.try_element_at(F.create_map(*entries), column)
 
 
 def vote_of(column: Column | str, accept_normalised: bool = True) -> Column:

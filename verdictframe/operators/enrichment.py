@@ -121,14 +121,49 @@ def match_resources(questions: DataFrame, resources: DataFrame, k: int = 5) -> D
 
 # -------------------------------------------------------- character similarity
 
-def _histograms(texts: list[str], alphabet: dict[str, int]) -> np.ndarray:
-    out = np.zeros((len(texts), len(alphabet)), dtype=np.int16)
-    for row, text in enumerate(texts):
-        for char, n in Counter(text).items():
-            out[row, alphabet[char]] = n
+def _histograms(texts: list[str], size: int, known: dict[str, int]) -> np.ndarray:
+    """Counts of the known grams per text, one row per gram."""
+    out = np.zeros((len(known), len(texts)), dtype=np.int16)
+    for column, text in enumerate(texts):
+        for gram, n in Counter(text[i:i + size] for i in range(len(text) - size + 1)).items():
+            if gram in known:
+                out[known[gram], column] = n
     return out
 
 
+def _matched_bound(left: list[str], right: list[str]):
+    """Function of a left row: upper bounds on its matching characters.
+
+    They never exceed the shared characters. A right text of 200 characters or
+    more is indexed without its popular characters (over 1% + 1): every matching
+    block then holds a rare shared character, or is one block at the start of a
+    gap between those. With s rare ones shared there are at most 2 s + 1
+    blocks, and all but the first character of a block begin a shared pair.
+    """
+    grams = {}
+    for size in (1, 2):
+        names = sorted({t[i:i + size] for t in left for i in range(len(t) - size + 1)})
+        known = {g: i for i, g in enumerate(names)}
+        grams[size] = (_histograms(left, size, known), _histograms(right, size, known))
+    lengths = np.array([len(t) for t in right])
+    long = lengths >= 200
+    chars_left, chars_right = grams[1]
+    rare_right = np.where(chars_right > lengths // 100 + 1, 0, chars_right)
+    pairs_left, pairs_right = grams[2]
+
+    def shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        used = np.nonzero(a)[0]
+        return np.minimum(a[used, None], b[used]).sum(axis=0)
+
+    def bound(row: int) -> np.ndarray:
+        total = shared(chars_left[:, row], chars_right)
+        rare = shared(chars_left[:, row], rare_right)
+        blocks = shared(pairs_left[:, row], pairs_right) + 2 * rare + 1
+        return np.where(long, np.minimum(total, blocks), total)
+
+    return bound
+
+
 def best_by_text(
     left: pd.DataFrame, right: pd.DataFrame, parts, k: int, positive: bool = True
 ) -> pd.DataFrame:
@@ -136,28 +171,28 @@ def best_by_text(
 
     ``parts(left row, right)`` gives fixed, factor and the order of equal scores
     as arrays over the right rows; ``positive`` leaves out scores of 0.
-    Shared characters bound the ratio from above, 2 * overlap / total length.
+    A bound on the matching characters bounds the ratio, see :func:`_matched_bound`.
     Pairs are tried in order of that bound until it cannot reach the k-th best
     score found; ``floor`` is a score the left row is known to reach elsewhere.
     """
-    chars = sorted(set("".join(left["text"])) | set("".join(right["text"])))
-    alphabet = {c: i for i, c in enumerate(chars)}
-    right_hist = _histograms(right["text"].tolist(), alphabet)
-    right_len = right["text"].str.len().to_numpy()
-    left_hist = _histograms(left["text"].tolist(), alphabet)
-    # The order of the two texts matters; the index of the right one is kept.
-    matchers: dict[int, SequenceMatcher] = {}
-
-    def similarity(text: str, j: int) -> float:
-        if j not in matchers:
-            matchers[j] = SequenceMatcher(None, "", right["text"].iloc[j])
-        matchers[j].set_seq1(text)
-        return matchers[j].ratio() if text and matchers[j].b else 0.0
+    texts = right["text"].tolist()
+    right_len = np.array([len(t) for t in texts])
+    bounds = _matched_bound(left["text"].tolist(), texts)
+    # The order of the two texts matters; the index of each right text is kept.
+    matchers: dict[str, SequenceMatcher] = {}
+
+    def similarity(text: str, other: str) -> float:
+        if not text or not other:
+            return 0.0
+        if other not in matchers:
+            matchers[other] = SequenceMatcher(None, "", other)
+        matchers[other].set_seq1(text)
+        return matchers[other].ratio()
 
     rows = []
     for i, (uid, text, floor) in enumerate(zip(left["uid"], left["text"], left["floor"])):
-        shared = np.minimum(left_hist[i], right_hist).sum(axis=1)
-        bound = 2.0 * shared / np.maximum(right_len + len(text), 1)
+        bound = 2.0 * bounds(i) / np.maximum(right_len + len(text), 1)
+        known: dict[str, float] = {}
         fixed, factor, order = parts(left.iloc[i], right)
         reach = fixed + factor * bound
         found: list[tuple[float, int, int]] = []
@@ -165,7 +200,9 @@ def best_by_text(
             limit = max(floor, found[-1][0] if len(found) == k else -math.inf)
             if reach[j] < limit - 1e-9 or (positive and reach[j] <= 0):
                 break
-            score = float(fixed[j] + factor[j] * similarity(text, j))
+            if texts[j] not in known:
+                known[texts[j]] = similarity(text, texts[j])
+            score = float(fixed[j] + factor[j] * known[texts[j]])
             if score > 0 or not positive:
                 found = sorted([*found, (score, order[j], j)], key=lambda f: (-f[0], f[1]))[:k]
         rows += [(uid, right["rid"].iloc[j], score, int(position)) for score, position, j in found]

@@ -19,22 +19,31 @@ from verdictframe.session import truncate
 
 # Rating scale.
 K_FACTOR, SCALE, BASE, INIT = 4.0, 400.0, 10.0, 1000.0
+DRAWS_PER_TASK = 2_000_000
+BROADCAST_ROWS = 1_000_000
 
 
 # ---------------------------------------------------------------- online Elo
 
 def _fold(rows: pd.DataFrame, order: str, state: dict[str, list], k, scale, base, init) -> None:
     """Apply battles in order; ``state[model] = [rating, seen as model_a]``."""
+    if not len(rows):
+        return
     rows = rows.sort_values(order, kind="stable")
-    for a, b, score in zip(rows["model_a"], rows["model_b"], rows["score"]):
-        left = state.setdefault(a, [init, False])
-        right = state.setdefault(b, [init, False])
-        left[1] = True
-        ra, rb = left[0], right[0]
+    size = len(rows)
+    codes, models = pd.factorize(pd.concat([rows["model_a"], rows["model_b"]], ignore_index=True))
+    rating = [state[m][0] if m in state else init for m in models]
+    left, right = codes[:size].tolist(), codes[size:].tolist()
+    for a, b, score in zip(left, right, rows["score"].tolist()):
+        ra, rb = rating[a], rating[b]
         expected_a = 1 / (1 + base ** ((rb - ra) / scale))
         expected_b = 1 / (1 + base ** ((ra - rb) / scale))
-        left[0] += k * (score - expected_a)
-        right[0] += k * (1 - score - expected_b)
+        # Added one after the other: a model may meet itself.
+        rating[a] += k * (score - expected_a)
+        rating[b] += k * (1 - score - expected_b)
+    on_left = set(left)
+    for i, m in enumerate(models):
+        state[m] = [rating[i], (m in state and state[m][1]) or i in on_left]
 
 
 def online_elo(
@@ -48,10 +57,12 @@ def online_elo(
     init: float = INIT,
     rows_per_chunk: int = 2_000_000,
     start: DataFrame | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
     """Elo after all battles of each key, applied in ``order`` (must be unique).
 
     ``start`` continues from an earlier result; keys without new battles keep it.
+    ``largest`` is the row count of the largest key, counted when not given.
 
     The update is a strict recurrence, so one key cannot be split in parallel.
     It is split in *time* instead: the order column is cut into chunks of
@@ -86,8 +97,9 @@ def online_elo(
         _fold(rows, order, state, k, scale, base, init)
         return emit(key, state)
 
-    biggest = battles.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    chunks = max(1, math.ceil(biggest / rows_per_chunk))
+    if largest is None:
+        largest = largest_group(battles, keys)
+    chunks = max(1, math.ceil(largest / rows_per_chunk))
 
     def wave(part: DataFrame, state: DataFrame | None) -> DataFrame:
         if state is None:
@@ -104,6 +116,10 @@ def online_elo(
     return state
 
 
+def largest_group(battles: DataFrame, keys: list[str]) -> int:
+    return battles.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+
+
 def anchored(ratings: DataFrame, keys: list[str], model: str, value: float) -> DataFrame:
     """Shift ratings so ``model`` has ``value``, for models seen on the left.
 
@@ -126,8 +142,12 @@ def resampled_battles(
     on (key, position). Positions are hashed uniformly: no hot join key.
     """
     slim = battles.select(*keys, order, "model_a", "model_b", outcome)
+    rows = slim.count()
     indexed = dense_index(slim, keys, order, "idx", "size")
-    draws = indexed.select(*keys, "idx", "size").withColumn(
+    # The explode multiplies the rows: spread them by their number afterwards.
+    cores = battles.sparkSession.sparkContext.defaultParallelism
+    width = max(cores, math.ceil(rows * rounds / DRAWS_PER_TASK))
+    draws = indexed.select(*keys, "idx", "size").repartition(width, "idx").withColumn(
         "replicate", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))
     )
     draws = draws.select(
@@ -135,6 +155,9 @@ def resampled_battles(
         (draw(seed, *keys, "replicate", "idx") % F.col("size")).alias("pick"),
     )
     source = indexed.drop("size", order).withColumnRenamed("idx", "pick")
+    # The battles fit a broadcast only below a checked size; beyond it both sides
+    # meet in a shuffle, hashed on the battles.
+    source = F.broadcast(source) if rows <= BROADCAST_ROWS else source.hint("shuffle_hash")
     return draws.join(source, [*keys, "pick"]).drop("pick")
 
 
@@ -164,9 +187,10 @@ def elo_with_intervals(
     level: float = 0.9, seed: int = 17, **elo,
 ) -> DataFrame:
     """Online Elo with bootstrap bounds and their deltas to the rating."""
-    point = online_elo(battles, keys, order, **elo).select(*keys, "model", "rating")
+    largest = largest_group(battles, keys)
+    point = online_elo(battles, keys, order, largest=largest, **elo).select(*keys, "model", "rating")
     sample = resampled_battles(battles, keys, order, rounds, seed)
-    repeats = online_elo(sample, [*keys, "replicate"], "pos", **elo)
+    repeats = online_elo(sample, [*keys, "replicate"], "pos", largest=largest, **elo)
     bounds = bootstrap_bounds(repeats, keys, rounds, level)
     return point.join(bounds, [*keys, "model"]).withColumn(
         "ci_low", F.col("lower_bound") - F.col("rating")
