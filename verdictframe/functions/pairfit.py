@@ -33,6 +33,28 @@ def centred(coef: np.ndarray, label: np.ndarray) -> np.ndarray:
     return coef - sums[label] / sizes[label]
 
 
+def has_finite_fit(left, right, a_win, b_win, label) -> bool:
+    """Whether every component is strongly connected by "has beaten".
+
+    Otherwise some models never lose to the rest and their strengths grow
+    without end.
+    """
+    winner = np.concatenate([left[a_win > 0], right[b_win > 0]])
+    loser = np.concatenate([right[a_win > 0], left[b_win > 0]])
+    roots = np.unique(label)
+    for start, end in ((winner, loser), (loser, winner)):
+        seen = np.zeros(len(label), dtype=bool)
+        seen[roots] = True
+        while True:
+            before = seen.sum()
+            seen[end[seen[start]]] = True
+            if seen.sum() == before:
+                break
+        if not seen.all():
+            return False
+    return True
+
+
 def fit_bradley_terry(left, right, a_win, b_win, size, max_iter=200, tol=1e-10):
     """Newton fit of log-odds strengths; returns (coef, converged).
 
@@ -42,6 +64,7 @@ def fit_bradley_terry(left, right, a_win, b_win, size, max_iter=200, tol=1e-10):
     coef = np.zeros(size)
     label = components(size, left, right)
     total = a_win + b_win
+    finite = has_finite_fit(left, right, a_win, b_win, label)
     same = (label[:, None] == label[None, :]).astype(float)
     for _ in range(max_iter):
         p = sigmoid(coef[left] - coef[right])
@@ -61,7 +84,7 @@ def fit_bradley_terry(left, right, a_win, b_win, size, max_iter=200, tol=1e-10):
         if np.abs(coef).max(initial=0.0) > COEF_BOUND:
             return np.clip(coef, -COEF_BOUND, COEF_BOUND), False
         if biggest < tol:
-            return coef, True
+            return coef, finite
     return coef, False
 
 

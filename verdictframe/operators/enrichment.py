@@ -140,16 +140,16 @@ def _matched_bound(left: list[str], right: list[str]):
     gap between those. With s rare ones shared there are at most 2 s + 1
     blocks, and all but the first character of a block begin a shared pair.
     """
-    grams = {}
-    for size in (1, 2):
+    def grams(size: int) -> tuple[np.ndarray, np.ndarray]:
         names = sorted({t[i:i + size] for t in left for i in range(len(t) - size + 1)})
         known = {g: i for i, g in enumerate(names)}
-        grams[size] = (_histograms(left, size, known), _histograms(right, size, known))
+        return _histograms(left, size, known), _histograms(right, size, known)
+
     lengths = np.array([len(t) for t in right])
     long = lengths >= 200
-    chars_left, chars_right = grams[1]
+    chars_left, chars_right = grams(1)
     rare_right = np.where(chars_right > lengths // 100 + 1, 0, chars_right)
-    pairs_left, pairs_right = grams[2]
+    pairs_left, pairs_right = grams(2) if long.any() else (None, None)
 
     def shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         used = np.nonzero(a)[0]
@@ -157,6 +157,8 @@ def _matched_bound(left: list[str], right: list[str]):
 
     def bound(row: int) -> np.ndarray:
         total = shared(chars_left[:, row], chars_right)
+        if pairs_left is None:
+            return total
         rare = shared(chars_left[:, row], rare_right)
         blocks = shared(pairs_left[:, row], pairs_right) + 2 * rare + 1
         return np.where(long, np.minimum(total, blocks), total)
@@ -241,7 +243,7 @@ def _tiled_top(left: DataFrame, right: DataFrame, fit, k: int, left_rows: int, r
 
 def match_resources_by_text(
     questions: DataFrame, resources: DataFrame, k: int = 5,
-    question_rows: int = 500, resource_rows: int = 2_000,
+    question_rows: int = 500, resource_rows: int = 8_000,
 ) -> DataFrame:
     """Top-k resources per question by the full score, text similarity included.
 
@@ -278,7 +280,7 @@ def match_resources_by_text(
 
 def match_issues(
     questions: DataFrame, issues: DataFrame, k: int = 3,
-    question_rows: int = 500, issue_rows: int = 2_000,
+    question_rows: int = 500, issue_rows: int = 8_000,
 ) -> DataFrame:
     """Top-k issues per question by text similarity, own category weighted up.
 

@@ -83,7 +83,7 @@ def bootstrap_means(cells: DataFrame, rounds: int = 100, seed: int = 17) -> Data
     the group key: a retried task repeats its draws.
     """
 
-    def resample(key, cells_pdf: pd.DataFrame) -> pd.DataFrame:
+    def resample(key: tuple, cells_pdf: pd.DataFrame) -> pd.DataFrame:
         part = cells_pdf.sort_values("score")
         counts = part["n"].to_numpy(dtype=np.int64)
         values = part["score"].to_numpy(dtype=float)

@@ -87,12 +87,12 @@ def online_elo(
         )
         return out
 
-    def first(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def first(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         state: dict[str, list] = {}
         _fold(rows, order, state, k, scale, base, init)
         return emit(key, state)
 
-    def later(key, rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+    def later(key: tuple, rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
         state = {m: [r, s] for m, r, s in zip(before["model"], before["rating"], before["seen_as_a"])}
         _fold(rows, order, state, k, scale, base, init)
         return emit(key, state)
@@ -285,7 +285,7 @@ def fit_pairs(counts: DataFrame, keys: list[str], method: str = "bt", **options)
     """
     fit = RATING_FUNCTIONS[method]
 
-    def run(key, pairs: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pairs: pd.DataFrame) -> pd.DataFrame:
         out = fit(pairs, **options)
         out["battles"] = int(pairs[["a_win", "b_win", "tie"]].to_numpy().sum())
         for name, value in zip(reversed(keys), reversed(key)):
@@ -309,7 +309,7 @@ def bootstrap_fits(
     """
     fit = RATING_FUNCTIONS[method]
 
-    def run(key, pairs: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pairs: pd.DataFrame) -> pd.DataFrame:
         # The replicate is part of the group key, so replicates spread over tasks.
         replicate = int(key[-1])
         rng = np.random.default_rng([seed, replicate, *"\x1f".join(map(str, key[:-1])).encode()])
@@ -427,7 +427,7 @@ def bootstrap_binary(
         raise ValueError("round the control features: over 2 million distinct rows")
     names = [*features, "intercept"]
 
-    def run(key, part: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.default_rng([seed, int(key[0])])
         part = part.sort_values([*features, outcome])
         count = part["weight"].to_numpy(dtype=np.int64)
