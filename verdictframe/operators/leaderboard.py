@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +20,7 @@ LABEL_SCORES = {
     "B>>A": (0.0, True), "B=A": (0.5, False), "B<<A": (1.0, True), "B<A": (1.0, False),
 }
 BLOCK = 4096
+DRAWS_PER_TASK = 2_000_000
 
 
 def complete_games(judgments: DataFrame) -> DataFrame:
@@ -120,7 +123,11 @@ def bootstrap_means_by_draws(cells: DataFrame, rounds: int = 100, seed: int = 17
     blocks = spread.withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / BLOCK)))
     ).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    blocks = blocks.repartition("slice", "model", "block", "round")
+    # A fixed width by the number of draws: blocks are few bytes each.
+    total = spread.agg(F.sum("size")).first()[0] or 0
+    cores = cells.sparkSession.sparkContext.defaultParallelism
+    width = max(cores, math.ceil(total * rounds / DRAWS_PER_TASK))
+    blocks = blocks.repartition(width, "slice", "model", "block", "round")
     last = F.least(F.col("size"), (F.col("block") + 1) * BLOCK) - 1
     drawn = blocks.withColumn("i", F.explode(F.sequence(F.col("block") * BLOCK, last)))
     pick = draw(seed, "slice", "model", "round", "i") % F.col("size")

@@ -15,7 +15,7 @@ from verdictframe.functions import pairfit
 from verdictframe.functions.draws import dense_index, draw, range_bucket
 from verdictframe.functions.predicates import a_score
 from verdictframe.operators.battles import pair_outcomes
-from verdictframe.session import truncate
+from verdictframe.session import scratch_path, truncate
 
 # Rating scale.
 K_FACTOR, SCALE, BASE, INIT = 4.0, 400.0, 10.0, 1000.0
@@ -109,10 +109,15 @@ def online_elo(
 
     if chunks == 1:
         return wave(slim, start)
-    marked = truncate(range_bucket(slim, order, chunks, "chunk"))
+    # One folder per chunk: a wave reads its own rows only.
+    spark = battles.sparkSession
+    folder = scratch_path(spark, "elo-chunks")
+    marked = range_bucket(slim, order, chunks, "chunk")
+    marked.repartition("chunk", *keys).write.partitionBy("chunk").parquet(folder)
     state = start
-    for c in range(chunks):
-        state = truncate(wave(marked.filter(F.col("chunk") == c).drop("chunk"), state))
+    for c in [r["chunk"] for r in marked.select("chunk").distinct().orderBy("chunk").collect()]:
+        part = spark.read.schema(slim.schema).parquet(f"{folder}/chunk={c}")
+        state = truncate(wave(part, state))
     return state
 
 
@@ -156,8 +161,8 @@ def resampled_battles(
     )
     source = indexed.drop("size", order).withColumnRenamed("idx", "pick")
     # The battles fit a broadcast only below a checked size; beyond it both sides
-    # meet in a shuffle, hashed on the battles.
-    source = F.broadcast(source) if rows <= BROADCAST_ROWS else source.hint("shuffle_hash")
+    # meet in a sorted shuffle, which spills.
+    source = F.broadcast(source) if rows <= BROADCAST_ROWS else source.hint("merge")
     return draws.join(source, [*keys, "pick"]).drop("pick")
 
 

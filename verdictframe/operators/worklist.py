@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdictframe.functions.draws import dense_index, draw, uniform
+from verdictframe.session import broadcast_if_small
 
 CELLS = 1024
 MAX_MODELS = 5_000
@@ -179,7 +180,9 @@ def seed_samples(
     """
     indexed = dense_index(seeds, ["category"], "seed_no", "position", "size")
     sizes = indexed.groupBy("category").agg(F.max("size").alias("size"))
-    rows = requests.join(sizes, "category")
+    # A category may hold a third of the requests and few seeds: the small sides
+    # are broadcast where their size allows.
+    rows = requests.join(broadcast_if_small(sizes), "category")
 
     for i in range(k):
         left = F.col("size") - i
@@ -194,10 +197,8 @@ def seed_samples(
                 "_taken", F.when(left > 0, F.concat("_taken", F.array(stepped))).otherwise(F.col("_taken"))
             )
     rows = rows.select("category", "request", F.posexplode("_taken").alias("slot", "position"))
-    return rows.join(
-        indexed.select("category", "position", F.col("uid").alias("seed_uid"), "instruction"),
-        ["category", "position"],
-    ).drop("position")
+    chosen = indexed.select("category", "position", F.col("uid").alias("seed_uid"), "instruction")
+    return rows.join(broadcast_if_small(chosen, 20_000), ["category", "position"]).drop("position")
 
 
 def seed_prompts(samples: DataFrame, template: str) -> DataFrame:

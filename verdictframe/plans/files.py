@@ -5,8 +5,6 @@ Every call writes a fresh folder below the shared checkpoint folder.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from verdictframe.operators import agreement, battles, quality
@@ -14,15 +12,11 @@ from verdictframe.plans.agreement import rounded
 from verdictframe.plans.enrichment import TASKS, tasks
 from verdictframe.plans.registry import query
 from verdictframe.plans.text import EXEC
-from verdictframe.session import shared_dir
+from verdictframe.session import scratch_path as fresh
 from verdictframe.sources import jsonl, sinks
 from verdictframe.sources.views import table, view
 
 
-def fresh(spark, name: str) -> str:
-    return f"{shared_dir(spark)}/files/{name}-{uuid.uuid4().hex}"
-
-
 def write_lines(df, path: str) -> None:
     """Rows as JSON lines in a folder of part files under the file's name."""
     df.write.mode("overwrite").json(path)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from verdictframe.plans.files import fresh
 from verdictframe.plans.ratings import elo_sql
 from verdictframe.plans.registry import query
+from verdictframe.session import scratch_path as fresh
 from verdictframe.sources.views import view
 from verdictframe.streaming import elo, logs, votes
 
