@@ -71,13 +71,44 @@ def elo_bootstrap(spark, sf):
     return out.select("model", "replicates", *[F.round(c, 4).alias(c) for c in numbers])
 
 
-@query("bradley_terry")
+def strength_sql(source: str, key: str, wins: tuple[str, str], steps: int = 400) -> str:
+    """Bradley-Terry strengths of ``source`` by the minorise-maximise iteration.
+
+    A different way to the same maximum; ends in ``strengths(key, model, rating, battles)``.
+    """
+    left, right = wins
+    return f"""
+ sc AS (SELECT {key} AS key, model_a AS a, model_b AS b, CASE vote WHEN '{left}' THEN 1.0::DOUBLE WHEN '{right}' THEN 0 ELSE 0.5 END AS s FROM {source}),
+ cell AS (SELECT key, a, b, sum(s) AS w, count(*)::DOUBLE AS n FROM (SELECT key, a, b, s FROM sc UNION ALL SELECT key, b, a, 1 - s FROM sc) GROUP BY ALL),
+ names AS (SELECT key, list(a ORDER BY a) AS m FROM (SELECT DISTINCT key, a FROM cell) GROUP BY key),
+ flat AS (SELECT key, m, unnest(m) AS a FROM names),
+ line AS (SELECT f.key, f.a, list_transform(f.m, lambda x: coalesce(any_n[x], 0)) AS n, w FROM flat f
+   JOIN (SELECT key, a, map_from_entries(list((b, n))) AS any_n, sum(w) AS w FROM cell GROUP BY key, a) c ON c.key = f.key AND c.a = f.a),
+ mat AS (SELECT key, list(n ORDER BY a) AS n, list(w ORDER BY a) AS w FROM line GROUP BY key),
+ it(key, i, n, w, p) AS (SELECT key, 0, n, w, list_transform(w, lambda x: 1.0::DOUBLE) FROM mat
+   UNION ALL SELECT key, i + 1, n, w, list_transform(w, lambda x, r: x / list_sum(list_transform(p, lambda y, c: CASE WHEN c = r THEN 0 ELSE n[r][c] / (p[r] + y) END)))
+   FROM it WHERE i < {steps}),
+ done AS (SELECT it.key, unnest(names.m) AS model, unnest(p) AS p FROM it JOIN names ON names.key = it.key WHERE i = {steps}),
+ strengths AS (SELECT key, model, 1000 + 400 * (ln(p) - avg(ln(p)) OVER (PARTITION BY key)) AS rating,
+   (SELECT count(*) FROM sc WHERE sc.key = done.key) AS battles FROM done)"""
+
+
+@query("bradley_terry", f"""WITH {strength_sql('system_battles', 'system', ('vote_left', 'vote_right'))}
+SELECT key AS system, model, round(rating, 4) AS rating, true AS converged, battles FROM strengths""")
 def bradley_terry(spark, sf):
     counts = battle_ops.pair_outcomes(view(spark, sf, "system_battles"), ["system"])
     fits = ratings.fit_pairs(counts, ["system"])
     return fits.select("system", "model", F.round("rating", 4).alias("rating"), "converged", "battles")
 
 
+@query("bradley_terry_by_mode", f"""WITH m AS (SELECT mode, model_a, model_b, judge_vote AS vote FROM judgments), {strength_sql('m', 'mode', ('vote_left', 'vote_right'))}
+SELECT key AS mode, model, round(rating, 4) AS rating, battles FROM strengths""")
+def bradley_terry_by_mode(spark, sf):
+    counts = battle_ops.pair_outcomes(view(spark, sf, "judgments"), ["mode"], "judge_vote")
+    fits = ratings.fit_pairs(counts, ["mode"])
+    return fits.select("mode", "model", F.round("rating", 4).alias("rating"), "battles")
+
+
 @query("bradley_terry_residuals", """
 SELECT DISTINCT system, model_a AS model, 0.0::DOUBLE AS residual FROM system_battles""")
 def bradley_terry_residuals(spark, sf):
@@ -104,7 +135,28 @@ def bradley_terry_bootstrap(spark, sf):
     return out.select("model", F.round("rating", 4).alias("rating"), F.round("margin", 4).alias("margin"), "converged")
 
 
-@query("rao_kupper")
+RK_STEPS = 1500
+RAO_KUPPER = f"""
+ sc AS (SELECT system AS key, model_a AS a, model_b AS b, vote = 'vote_left' AS wa, vote = 'vote_right' AS wb,
+   vote IN ('vote_tie', 'vote_both_bad') AS t FROM system_battles),
+ cell AS (SELECT key, a, b, sum(s)::DOUBLE AS s FROM (SELECT key, a, b, (wa OR t)::INT AS s FROM sc UNION ALL SELECT key, b, a, (wb OR t)::INT FROM sc) GROUP BY ALL),
+ names AS (SELECT key, list(a ORDER BY a) AS m FROM (SELECT DISTINCT key, a FROM cell) GROUP BY key),
+ flat AS (SELECT key, m, unnest(m) AS a FROM names),
+ line AS (SELECT f.key, f.a, list_transform(f.m, lambda x: coalesce(by_b[x], 0)) AS s FROM flat f
+   JOIN (SELECT key, a, map_from_entries(list((b, s))) AS by_b FROM cell GROUP BY key, a) c ON c.key = f.key AND c.a = f.a),
+ mat AS (SELECT key, list(s ORDER BY a) AS s, (SELECT count(*) FILTER (t)::DOUBLE FROM sc WHERE sc.key = line.key) AS ties FROM line GROUP BY key),
+ it(key, i, s, ties, p, h) AS (SELECT key, 0, s, ties, list_transform(s, lambda x: 1.0::DOUBLE), 1.1::DOUBLE FROM mat
+   UNION ALL SELECT key, i + 1, s, ties,
+    list_transform(s, lambda row, r: list_sum(row) / list_sum(list_transform(p, lambda y, c: CASE WHEN c = r THEN 0 ELSE
+      row[c] / (p[r] + h * y) + h * s[c][r] / (y + h * p[r]) END))),
+    list_transform([ties / list_sum(list_transform(s, lambda row, r: list_sum(list_transform(p, lambda y, c: CASE WHEN c = r THEN 0 ELSE row[c] * y / (p[r] + h * y) END))))],
+      lambda q: q + sqrt(1 + q * q))[1]
+   FROM it WHERE i < {RK_STEPS}),
+ done AS (SELECT it.key, unnest(names.m) AS model, unnest(p) AS p, h FROM it JOIN names ON names.key = it.key WHERE i = {RK_STEPS})"""
+
+
+@query("rao_kupper", f"""WITH {RAO_KUPPER} SELECT key AS system, model, round(ln(p) - avg(ln(p)) OVER (PARTITION BY key), 5) AS coef,
+ round(ln(h), 5) AS eta, true AS converged FROM done""")
 def rao_kupper(spark, sf):
     counts = battle_ops.pair_outcomes(view(spark, sf, "system_battles"), ["system"])
     fits = ratings.fit_pairs(counts, ["system"], "rk")

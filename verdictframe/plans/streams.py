@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from verdictframe.plans.ratings import elo_sql
+from verdictframe.plans.ratings import elo_sql, strength_sql
 from verdictframe.plans.registry import query
 from verdictframe.session import scratch_path as fresh
 from verdictframe.sources.views import view
@@ -65,9 +65,10 @@ def stream_pair_counts(spark, sf):
     return votes.stored_pair_counts(spark, f"{out}/counts")
 
 
-@query("stream_leaderboard")
+@query("stream_leaderboard", f"""WITH v AS (SELECT 0 AS g, model_a, model_b, vote FROM space_votes WHERE vote <> 'flag'), {strength_sql('v', 'g', ('left', 'right'))}
+SELECT model, round(rating, 4) AS rating, battles FROM strengths""")
 def stream_leaderboard(spark, sf):
-    """Refit after every batch; the last board equals the batch fit (see the tests)."""
+    """Refit after every batch; the last board is the fit of all votes."""
     rows = view(spark, sf, "space_votes").select("seq", "model_a", "model_b", "vote")
     out = fresh(spark, "board")
     step = votes.leaderboard_step(f"{out}/counts", f"{out}/board")
