@@ -63,6 +63,11 @@ def dense_index(
     """
     rows = df.count()
     buckets = max(1, math.ceil(rows / rows_per_bucket))
+    if buckets == 1:
+        whole = Window.partitionBy(*keys)
+        position = F.row_number().over(whole.orderBy(order)) - 1
+        out = df.withColumn(name, position.cast("bigint"))
+        return out.withColumn(total, F.count(F.lit(1)).over(whole)) if total else out
     marked = range_bucket(df, order, buckets, "_bucket")
     inner = Window.partitionBy(*keys, "_bucket").orderBy(order)
     numbered = marked.withColumn("_pos", F.row_number().over(inner) - 1)

@@ -10,7 +10,7 @@ from verdictframe.functions.draws import dense_index, draw, uniform
 from verdictframe.session import broadcast_if_small
 
 CELLS = 1024
-MAX_MODELS = 5_000
+MAX_MODELS = 2_000
 
 
 def judge_tasks(
@@ -121,16 +121,16 @@ def battle_pairs(
         "_first", own * F.when(F.col("boost"), F.lit(2.0)).otherwise(F.lit(1.0))
     )
     chosen = _intervals(rated.select("model", "_first"), [], "model", "_first")
-    everyone = rated.agg(
-        F.collect_list(F.struct(
-            F.col("model").alias("rival"), F.col("_rival").alias("r_weight"), F.col("anonymous").alias("r_anonymous"),
-            F.col("strict").alias("r_strict"),
-        )).alias("rivals"),
-        F.sum("_first").alias("_total"),
-    ).withColumn("_one", F.lit(1))
-    # One row on the right: every model gets the list of all models.
-    table = rated.withColumn("_one", F.lit(1)).join(F.broadcast(everyone), "_one")
-    table = table.select("*", F.explode("rivals").alias("r")).select("*", "r.*").filter(
+    # Every model gets the list of all models: the table is bounded by MAX_MODELS.
+    everyone = Window.partitionBy()
+    rival = F.struct(
+        F.col("model").alias("rival"), F.col("_rival").alias("r_weight"),
+        F.col("anonymous").alias("r_anonymous"), F.col("strict").alias("r_strict"),
+    )
+    table = rated.withColumn("_total", F.sum("_first").over(everyone)).withColumn(
+        "_rivals", F.collect_list(rival).over(everyone)
+    )
+    table = table.select("*", F.explode("_rivals").alias("r")).select("*", "r.*").filter(
         F.col("rival") != F.col("model")
     )
 

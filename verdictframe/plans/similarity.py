@@ -55,24 +55,26 @@ def deduplicated_by_index(spark, sf):
     return kept.select("vec_id")
 
 
+def with_hot_copies(spark, sf):
+    """The vectors, and as many copies of the first one under other ids."""
+    vectors = view(spark, sf, "embeddings").select("vec_id", "embedding")
+    first = vectors.orderBy("vec_id").first()["embedding"]
+    same = F.array(*[F.lit(float(x)) for x in first]).cast("array<float>")
+    return vectors, vectors.select((F.col("vec_id") + 1_000_000).alias("vec_id"), same.alias("embedding"))
+
+
 @query("dedup_with_copies", f"""WITH {PAIRS.format(op='>=', t=0.4)}, {greedy('s DESC, i, j')}
 SELECT vec_id, 1 AS copy FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM removed)""")
 def dedup_with_copies(spark, sf):
     """Half of all rows are copies of one vector; only the first survives."""
-    vectors = view(spark, sf, "embeddings").select("vec_id", "embedding")
-    first = vectors.orderBy("vec_id").limit(1).select(F.col("embedding").alias("hot"), F.lit(1).alias("k"))
-    copies = vectors.select((F.col("vec_id") + 1_000_000).alias("vec_id"), F.lit(1).alias("k"))
-    hot = copies.join(F.broadcast(first), "k").select("vec_id", F.col("hot").alias("embedding"))
+    vectors, hot = with_hot_copies(spark, sf)
     kept = similarity.deduplicated(vectors.unionByName(hot), "vec_id", "embedding", 0.4)
     return kept.select("vec_id", F.lit(1).alias("copy"))
 
 
 @query("copy_stars", """SELECT (SELECT min(vec_id) FROM embeddings) AS i, vec_id + 1000000 AS j FROM embeddings""")
 def copy_stars(spark, sf):
-    vectors = view(spark, sf, "embeddings").select("vec_id", "embedding")
-    first = vectors.orderBy("vec_id").limit(1).select(F.col("embedding").alias("hot"), F.lit(1).alias("k"))
-    copies = vectors.select((F.col("vec_id") + 1_000_000).alias("vec_id"), F.lit(1).alias("k"))
-    hot = copies.join(F.broadcast(first), "k").select("vec_id", F.col("hot").alias("embedding"))
+    vectors, hot = with_hot_copies(spark, sf)
     return similarity.copy_pairs(vectors.unionByName(hot), "vec_id", "embedding").select("i", "j")
 
 

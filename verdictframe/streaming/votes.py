@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -110,17 +111,13 @@ def newest(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def batch_numbers(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the completely written batch folders."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
+    """Numbers of the stored batches that hold rows, from the folder names.
+
+    A stream starts a batch only after the one before is complete, so every
+    number below the current one can be relied on.
+    """
+    try:
+        stored = spark.read.schema("batch int").parquet(path)
+    except AnalysisException:  # nothing stored yet
         return []
-    done = []
-    for status in fs.listStatus(root):
-        folder = status.getPath()
-        name = folder.getName()
-        marker = jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")
-        if name.startswith("batch=") and fs.exists(marker):
-            done.append(int(name[6:]))
-    return done
+    return sorted(r["batch"] for r in stored.select("batch").distinct().collect())
