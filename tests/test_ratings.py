@@ -206,3 +206,5 @@ def test_binary_fit_agrees_with_newton(spark):
     assert np.abs(grad).max() < 1e-2
     means = {r["feature"]: r["m"] for r in ratings.bootstrap_binary(df, ["x", "z"], "won", 60).groupBy("feature").agg(F.avg("coef").alias("m")).collect()}
     assert means["x"] == pytest.approx(w[0], abs=0.15)
+    few = ratings.bootstrap_binary(df, ["x", "z"], "won", 3, max_cells=2).groupBy("feature").agg(F.avg("coef").alias("m"))
+    assert {r["feature"]: r["m"] for r in few.collect()}["x"] == pytest.approx(w[0], abs=0.8)

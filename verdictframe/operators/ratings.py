@@ -21,6 +21,7 @@ from verdictframe.session import scratch_path, truncate
 K_FACTOR, SCALE, BASE, INIT = 4.0, 400.0, 10.0, 1000.0
 DRAWS_PER_TASK = 2_000_000
 BROADCAST_ROWS = 1_000_000
+MAX_CELLS = 2_000_000
 
 
 # ---------------------------------------------------------------- online Elo
@@ -417,20 +418,41 @@ def binary_cells(rows: DataFrame, features: list[str], outcome: str) -> DataFram
     return rows.groupBy(*features, outcome).agg(F.count(F.lit(1)).alias("weight"))
 
 
+def _bootstrap_binary_at_scale(
+    rows: DataFrame, features: list[str], outcome: str, rounds: int, seed: int
+) -> DataFrame:
+    """Resample by hashed draws, weigh each row by how often it was drawn, fit."""
+    spark = rows.sparkSession
+    # Materialised, so the ids stay the same for the numbering and the draws.
+    slim = truncate(
+        rows.select(*features, outcome).withColumn("_id", F.monotonically_increasing_id())
+    )
+    indexed = truncate(dense_index(slim, [], "_id", "idx", "size"))
+    fits = []
+    for replicate in range(rounds):
+        picks = indexed.select((draw(seed, F.lit(replicate), "idx") % F.col("size")).alias("idx"))
+        weights = picks.groupBy("idx").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+        model = fit_binary(indexed.join(weights, "idx"), features, outcome, "weight")
+        values = [*model.coefficients.toArray().tolist(), model.intercept]
+        fits += [(replicate, f, float(v)) for f, v in zip([*features, "intercept"], values)]
+    return spark.createDataFrame(fits, "replicate int, feature string, coef double")
+
+
 def bootstrap_binary(
     rows: DataFrame, features: list[str], outcome: str, rounds: int = 100, seed: int = 17,
+    max_cells: int = MAX_CELLS,
 ) -> DataFrame:
     """Coefficients per replicate, intercept included.
 
-    Rows are grouped to distinct feature rows first; a replicate is a multinomial
-    draw over them, solved by Newton steps in its own task.
+    Rows are grouped to distinct feature rows first. While those are few, a
+    replicate is a multinomial draw over them, solved by Newton steps in its own
+    task; beyond ``MAX_CELLS`` the replicates are fitted one by one on all
+    executors.
     """
     cells = binary_cells(rows, features, outcome)
-    # One task per replicate holds the distinct feature rows; control features
-    # are few-valued, which this check enforces.
-    if cells.limit(2_000_001).count() > 2_000_000:
-        raise ValueError("round the control features: over 2 million distinct rows")
     names = [*features, "intercept"]
+    if cells.limit(max_cells + 1).count() > max_cells:
+        return _bootstrap_binary_at_scale(rows, features, outcome, rounds, seed)
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.default_rng([seed, int(key[0])])
