@@ -10,6 +10,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from verdictframe.session import build_session
 
-    session = build_session("tests", 8)
+    session = build_session("tests", int(os.environ.get("TEST_CORES", "8")))
     yield session
     session.stop()

@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.oracle_check import compare, duck
+from verdictframe import plans
 
 SF_DIR = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
 
@@ -15,7 +16,7 @@ def con():
     return duck(SF_DIR)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(plans.QUERIES))
 def test_query(spark, con, name):
     problem, *_ = compare(spark, con, name, SF_DIR)
     if problem == "no rows" and SF_DIR.endswith("sf0.001"):

@@ -3,9 +3,10 @@
 import pytest
 
 import __spark_entry__ as entry
+from verdictframe import plans
 
 SF_DIR = "/root/testdata/sf0.001"
-BATCH = [name for name in entry.queries() if not name.startswith("stream_")]
+BATCH = [name for name in plans.QUERIES if not name.startswith("stream_")]
 
 
 def plan(df):

@@ -53,13 +53,15 @@ def dense_index(
     name: str = "idx",
     total: str | None = None,
     rows_per_bucket: int = 2_000_000,
+    bucket_by: Column | None = None,
 ) -> DataFrame:
     """Contiguous 0-based position per key, without one task per key.
 
     A plain ``row_number`` over a key sorts that whole key in one task. Here rows
     are numbered inside (key, range bucket) and shifted by the size of the
     earlier buckets, a table with one row per key and bucket.
-    ``order`` must be unique within a key.
+    ``order`` must be unique within a key; where it is not a number (a struct, a
+    text), ``bucket_by`` is a number that grows with it, the leading field say.
     """
     rows = df.count()
     buckets = max(1, math.ceil(rows / rows_per_bucket))
@@ -68,7 +70,10 @@ def dense_index(
         position = F.row_number().over(whole.orderBy(order)) - 1
         out = df.withColumn(name, position.cast("bigint"))
         return out.withColumn(total, F.count(F.lit(1)).over(whole)) if total else out
-    marked = range_bucket(df, order, buckets, "_bucket")
+    if bucket_by is None:
+        marked = range_bucket(df, order, buckets, "_bucket")
+    else:
+        marked = range_bucket(df.withColumn("_by", bucket_by), "_by", buckets, "_bucket").drop("_by")
     inner = Window.partitionBy(*keys, "_bucket").orderBy(order)
     numbered = marked.withColumn("_pos", F.row_number().over(inner) - 1)
     sizes = marked.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))

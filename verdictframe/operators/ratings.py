@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verdictframe.functions import pairfit
-from verdictframe.functions.draws import dense_index, draw, range_bucket
+from verdictframe.functions.draws import dense_index, draw
 from verdictframe.functions.predicates import a_score
 from verdictframe.operators.battles import pair_outcomes
 from verdictframe.session import scratch_path, truncate
@@ -21,7 +21,6 @@ from verdictframe.session import scratch_path, truncate
 K_FACTOR, SCALE, BASE, INIT = 4.0, 400.0, 10.0, 1000.0
 DRAWS_PER_TASK = 2_000_000
 BROADCAST_ROWS = 1_000_000
-MAX_CELLS = 2_000_000
 
 
 # ---------------------------------------------------------------- online Elo
@@ -66,11 +65,12 @@ def online_elo(
     ``largest`` is the row count of the largest key, counted when not given.
 
     The update is a strict recurrence, so one key cannot be split in parallel.
-    It is split in *time* instead: the order column is cut into chunks of
-    bounded size, and wave c folds chunk c of every key at once, starting from
-    the small rating table of wave c-1. No task ever holds a whole key, the sort
-    of a key is spread over its chunks, and a lost executor repeats one chunk.
-    Keys (systems, bootstrap replicates) run in parallel within a wave.
+    It is split in *time* instead: battle n of a key belongs to chunk
+    ``n div rows_per_chunk``, and wave c folds chunk c of every key at once,
+    starting from the small rating table of wave c-1. No task holds more than
+    ``rows_per_chunk`` battles of a key, whatever the order of the keys in time;
+    a lost executor repeats one chunk. Keys (systems, bootstrap replicates) run
+    in parallel within a wave.
     """
     schema = T.StructType(
         [battles.schema[key] for key in keys]
@@ -113,10 +113,11 @@ def online_elo(
     # One folder per chunk: a wave reads its own rows only.
     spark = battles.sparkSession
     folder = scratch_path(spark, "elo-chunks")
-    marked = range_bucket(slim, order, chunks, "chunk")
+    marked = dense_index(slim, keys, order, "_place", rows_per_bucket=rows_per_chunk)
+    marked = marked.withColumn("chunk", F.floor(F.col("_place") / rows_per_chunk).cast("int")).drop("_place")
     marked.repartition("chunk", *keys).write.partitionBy("chunk").parquet(folder)
     state = start
-    for c in [r["chunk"] for r in marked.select("chunk").distinct().orderBy("chunk").collect()]:
+    for c in range(chunks):
         part = spark.read.schema(slim.schema).parquet(f"{folder}/chunk={c}")
         state = truncate(wave(part, state))
     return state
@@ -418,62 +419,68 @@ def binary_cells(rows: DataFrame, features: list[str], outcome: str) -> DataFram
     return rows.groupBy(*features, outcome).agg(F.count(F.lit(1)).alias("weight"))
 
 
-def _bootstrap_binary_at_scale(
-    rows: DataFrame, features: list[str], outcome: str, rounds: int, seed: int
-) -> DataFrame:
-    """Resample by hashed draws, weigh each row by how often it was drawn, fit."""
-    spark = rows.sparkSession
-    # Materialised, so the ids stay the same for the numbering and the draws.
-    slim = truncate(
-        rows.select(*features, outcome).withColumn("_id", F.monotonically_increasing_id())
-    )
-    indexed = truncate(dense_index(slim, [], "_id", "idx", "size"))
-    fits = []
-    for replicate in range(rounds):
-        picks = indexed.select((draw(seed, F.lit(replicate), "idx") % F.col("size")).alias("idx"))
-        weights = picks.groupBy("idx").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-        model = fit_binary(indexed.join(weights, "idx"), features, outcome, "weight")
-        values = [*model.coefficients.toArray().tolist(), model.intercept]
-        fits += [(replicate, f, float(v)) for f, v in zip([*features, "intercept"], values)]
-    return spark.createDataFrame(fits, "replicate int, feature string, coef double")
+def _cell_draws(cells: pd.DataFrame, rounds: int, seed: int) -> np.ndarray:
+    """How often each cell is drawn in each replicate: Poisson with the cell's count as mean.
+
+    The generator is seeded by the cell's own key, so the draws do not depend on
+    how the cells are spread over tasks.
+    """
+    out = np.empty((len(cells), rounds))
+    for row, (key, count) in enumerate(zip(cells["_key"].tolist(), cells["weight"].tolist())):
+        out[row] = np.random.Generator(np.random.PCG64([seed, key & (2**64 - 1)])).poisson(count, rounds)
+    return out
 
 
 def bootstrap_binary(
     rows: DataFrame, features: list[str], outcome: str, rounds: int = 100, seed: int = 17,
-    max_cells: int = MAX_CELLS,
+    steps: int = 100,
 ) -> DataFrame:
     """Coefficients per replicate, intercept included.
 
-    Rows are grouped to distinct feature rows first. While those are few, a
-    replicate is a multinomial draw over them, solved by Newton steps in its own
-    task; beyond ``MAX_CELLS`` the replicates are fitted one by one on all
-    executors.
+    Equal feature rows become one weighted cell, drawn Poisson(weight) times in
+    each replicate. All replicates are fitted together: in a Newton step every
+    task adds up gradients and Hessians of its cells for all of them, the sums
+    (replicates x features^2 numbers) are combined, and the small systems solved.
+    One way for every size; no task holds a replicate.
     """
-    cells = binary_cells(rows, features, outcome)
     names = [*features, "intercept"]
-    if cells.limit(max_cells + 1).count() > max_cells:
-        return _bootstrap_binary_at_scale(rows, features, outcome, rounds, seed)
-
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng([seed, int(key[0])])
-        part = part.sort_values([*features, outcome])
-        count = part["weight"].to_numpy(dtype=np.int64)
-        w = rng.multinomial(count.sum(), count / count.sum()).astype(float)
-        x = np.column_stack([part[features].to_numpy(dtype=float), np.ones(len(part))])
-        y = part[outcome].to_numpy(dtype=float)
-        penalty = np.append(np.ones(len(features)), 0.0)
-        beta = np.zeros(len(names))
-        for _ in range(100):
-            p = pairfit.sigmoid(x @ beta)
-            grad = x.T @ (w * (y - p)) - penalty * beta
-            info = (x * (w * p * (1 - p))[:, None]).T @ x + np.diag(penalty)
-            step = np.linalg.lstsq(info, grad, rcond=None)[0]
-            beta = beta + np.clip(step, -5, 5)
-            if np.abs(step).max() < 1e-10:
-                break
-        return pd.DataFrame({"replicate": key[0], "feature": names, "coef": beta})
-
-    spread = cells.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    return spread.groupBy("replicate").applyInPandas(
-        run, "replicate int, feature string, coef double"
+    cells = truncate(
+        binary_cells(rows, features, outcome).withColumn("_key", F.xxhash64(*features, outcome))
+    )
+    size = len(names)
+    beta = np.zeros((rounds, size))
+    penalty = np.append(np.ones(len(features)), 0.0)
+
+    def sums(at: np.ndarray):
+        def run(batches):
+            grad, info = np.zeros((rounds, size)), np.zeros((rounds, size, size))
+            for part in batches:
+                x = np.column_stack([part[features].to_numpy(dtype=float), np.ones(len(part))])
+                y = part[outcome].to_numpy(dtype=float)[:, None]
+                w = _cell_draws(part, rounds, seed)
+                p = pairfit.sigmoid(x @ at.T)
+                grad += (w * (y - p)).T @ x
+                info += np.einsum("nr,ni,nj->rij", w * p * (1 - p), x, x, optimize=True)
+            flat = np.concatenate([grad, info.reshape(rounds, -1)], axis=1)
+            yield pd.DataFrame({
+                "replicate": np.repeat(np.arange(rounds), flat.shape[1]),
+                "place": np.tile(np.arange(flat.shape[1]), rounds), "value": flat.ravel(),
+            })
+
+        return run
+
+    for _ in range(steps):
+        parts = cells.mapInPandas(sums(beta), "replicate int, place int, value double")
+        total = np.zeros((rounds, size + size * size))
+        for r in parts.groupBy("replicate", "place").agg(F.sum("value").alias("v")).collect():
+            total[r["replicate"], r["place"]] = r["v"]
+        grad = total[:, :size] - penalty * beta
+        info = total[:, size:].reshape(rounds, size, size) + np.diag(penalty)
+        step = np.stack([np.linalg.lstsq(m, g, rcond=None)[0] for m, g in zip(info, grad)])
+        beta = beta + np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-9:
+            break
+    return rows.sparkSession.createDataFrame(
+        [(r, f, float(v)) for r in range(rounds) for f, v in zip(names, beta[r])],
+        "replicate int, feature string, coef double",
     )

@@ -10,7 +10,6 @@ from verdictframe.functions.draws import dense_index, draw, uniform
 from verdictframe.session import broadcast_if_small
 
 CELLS = 1024
-MAX_MODELS = 2_000
 
 
 def judge_tasks(
@@ -111,17 +110,15 @@ def battle_pairs(
     ``models(model, weight, outage, boost, anonymous, strict ARRAY, targets
     ARRAY)``, where ``strict`` holds name parts a rival must contain and
     ``targets`` preferred rivals, whose weight becomes
-    ``0.5 * total / number of targets``. Anonymous models do not meet. The model
-    table is configuration; its size is checked, the prompts may be any number.
+    ``0.5 * total / number of targets``. Anonymous models do not meet. The only
+    model of a pool meets itself. Rivals are weighed per pair of models; the
+    prompts may be any number.
     """
-    if models.limit(MAX_MODELS + 1).count() > MAX_MODELS:
-        raise ValueError(f"more than {MAX_MODELS} models")
     own = F.when(F.col("outage"), F.lit(0.0)).otherwise(F.col("weight"))
     rated = models.withColumn("_rival", own).withColumn(
         "_first", own * F.when(F.col("boost"), F.lit(2.0)).otherwise(F.lit(1.0))
     )
     chosen = _intervals(rated.select("model", "_first"), [], "model", "_first")
-    # Every model gets the list of all models: the table is bounded by MAX_MODELS.
     everyone = Window.partitionBy()
     rival = F.struct(
         F.col("model").alias("rival"), F.col("_rival").alias("r_weight"),
@@ -131,7 +128,7 @@ def battle_pairs(
         "_rivals", F.collect_list(rival).over(everyone)
     )
     table = table.select("*", F.explode("_rivals").alias("r")).select("*", "r.*").filter(
-        F.col("rival") != F.col("model")
+        (F.col("rival") != F.col("model")) | (F.size("_rivals") == 1)
     )
 
     def fits(name: Column, patterns: Column) -> Column:

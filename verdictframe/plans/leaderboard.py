@@ -88,14 +88,14 @@ def leaderboard_bootstrap(spark, sf):
  s AS (SELECT model, score, row_number() OVER (PARTITION BY model ORDER BY score) - 1 AS idx, count(*) OVER (PARTITION BY model) AS n
    FROM points WHERE score IS NOT NULL),
  d AS (SELECT model, r.round, ('0x' || substr(md5('17:Overall:' || model || ':' || r.round || ':' || idx), 1, 15))::BIGINT % n AS pick
-   FROM s, (SELECT unnest(range(0, 20)) AS round) r),
+   FROM s, (SELECT unnest(range(0, 100)) AS round) r),
  m AS (SELECT d.model, d.round, avg(s.score) AS mean FROM d JOIN s ON s.model = d.model AND s.idx = d.pick GROUP BY ALL),
  q AS (SELECT model, avg(mean) AS mean, quantile_cont(mean, 0.05) AS lo, quantile_cont(mean, 0.95) AS hi FROM m GROUP BY model)
 SELECT 'Overall' AS slice, model, round(mean * 100, 1) AS score_pct, -round((mean - lo) * 100, 1) AS ci_low,
  round((hi - mean) * 100, 1) AS ci_high FROM q UNION ALL SELECT 'Overall', 'm99', 50.0, 0.0, 0.0""")
 def leaderboard_by_draws(spark, sf):
     cells = ops.score_cells(points(spark, sf))
-    return ops.leaderboard(ops.bootstrap_means_by_draws(cells, 20, 17), "m99")
+    return ops.leaderboard(ops.bootstrap_means_by_draws(cells, 100, 17), "m99")
 
 
 META = """meta AS (SELECT DISTINCT model_a AS model, concat('org', right(model_a, 1)) AS organization,

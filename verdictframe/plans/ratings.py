@@ -223,7 +223,7 @@ def binary_fit(spark, sf):
 @query("binary_fit_bootstrap")
 def binary_fit_bootstrap(spark, sf):
     features = ["strength", "category_no"]
-    fits = ratings.bootstrap_binary(length_controls(spark, sf), features, "won", rounds=50)
+    fits = ratings.bootstrap_binary(length_controls(spark, sf), features, "won")
     return fits.groupBy("feature").agg(
         F.round(F.avg("coef"), 5).alias("mean"), F.round(F.stddev("coef"), 5).alias("deviation"),
         F.count(F.lit(1)).alias("replicates"),

@@ -78,20 +78,66 @@ def copy_stars(spark, sf):
     return similarity.copy_pairs(vectors.unionByName(hot), "vec_id", "embedding").select("i", "j")
 
 
-@query("top_duplicate_pairs", f"WITH {BASE} SELECT i, j, round(s, 6) AS similarity FROM pairs ORDER BY s DESC, i, j LIMIT 5")
+# The vectors of the first hundred ids have two copies each, the first one as many as
+# there are vectors: stars from the first id, ranked among the other pairs.
+COPIED = f"""WITH {BASE}, stars AS (
+  SELECT vec_id AS i, vec_id + 2000000 AS j, 1.0::DOUBLE AS s FROM embeddings WHERE vec_id < 100
+  UNION ALL SELECT vec_id, vec_id + 3000000, 1.0 FROM embeddings WHERE vec_id < 100
+  UNION ALL SELECT (SELECT min(vec_id) FROM embeddings), vec_id + 1000000, 1.0 FROM embeddings),
+ every_pair AS (SELECT i, j, round(s, 9) AS s FROM (SELECT * FROM pairs UNION ALL SELECT * FROM stars))"""
+
+
+def with_copies(spark, sf):
+    vectors, hot = with_hot_copies(spark, sf)
+    some = vectors.filter("vec_id < 100")
+    for shift in (2_000_000, 3_000_000):
+        vectors = vectors.unionByName(some.withColumn("vec_id", F.col("vec_id") + shift))
+    return vectors.unionByName(hot)
+
+
+def all_pairs(spark, sf):
+    pairs = similarity.duplicate_pairs(with_copies(spark, sf), "vec_id", "embedding", THRESHOLD)
+    return pairs.withColumn("similarity", F.round("similarity", 9))
+
+
+@query("duplicate_pairs_with_copies", f"{COPIED} SELECT i, j, round(s, 6) AS similarity FROM every_pair")
+def duplicate_pairs_with_copies(spark, sf):
+    return all_pairs(spark, sf).select("i", "j", F.round("similarity", 6).alias("similarity"))
+
+
+@query("top_duplicate_pairs", f"{COPIED} SELECT i, j, round(s, 6) AS similarity FROM every_pair ORDER BY s DESC, i, j LIMIT 5")
 def top_duplicate_pairs(spark, sf):
-    pairs = similarity.similar_pairs(view(spark, sf, "embeddings"), "vec_id", "embedding", THRESHOLD)
-    return similarity.ranked_pairs(pairs, 5).select("i", "j", F.round("similarity", 6).alias("similarity"))
+    """The most similar pairs, copies first; equal similarities by id."""
+    pairs = similarity.ranked_pairs(all_pairs(spark, sf), 5)
+    return pairs.select("i", "j", F.round("similarity", 6).alias("similarity"))
 
 
-@query("ranked_duplicate_pairs", f"WITH {BASE} SELECT i, j, row_number() OVER (ORDER BY s DESC, i, j) - 1 AS rank FROM pairs")
+@query("ranked_duplicate_pairs", f"{COPIED} SELECT i, j, row_number() OVER (ORDER BY s DESC, i, j) - 1 AS rank FROM every_pair")
 def ranked_duplicate_pairs(spark, sf):
     """Global rank of every pair, numbered without a single-task sort."""
     from verdictframe.functions.draws import dense_index
 
-    pairs = similarity.similar_pairs(view(spark, sf, "embeddings"), "vec_id", "embedding", THRESHOLD)
-    order = pairs.withColumn("order", -F.col("similarity"))
-    return dense_index(order, [], "order", "rank").select("i", "j", "rank")
+    order = all_pairs(spark, sf).withColumn("order", similarity.pair_order())
+    return dense_index(order, [], "order", "rank", bucket_by=-F.col("similarity")).select("i", "j", "rank")
+
+
+@query("ranked_text_id_pairs", f"""{COPIED} SELECT 'v' || lpad(i::VARCHAR, 9, '0') AS i, 'v' || lpad(j::VARCHAR, 9, '0') AS j,
+ row_number() OVER (ORDER BY s DESC, i, j) - 1 AS rank FROM every_pair""")
+def ranked_text_id_pairs(spark, sf):
+    """Ids of any type."""
+    from verdictframe.functions.draws import dense_index
+
+    vectors = with_copies(spark, sf).withColumn("vec_id", F.concat(F.lit("v"), F.lpad(F.col("vec_id").cast("string"), 9, "0")))
+    pairs = similarity.duplicate_pairs(vectors, "vec_id", "embedding", THRESHOLD).withColumn("similarity", F.round("similarity", 9))
+    order = pairs.withColumn("order", similarity.pair_order())
+    return dense_index(order, [], "order", "rank", bucket_by=-F.col("similarity")).select("i", "j", "rank")
+
+
+@query("deduplicated_text_ids", f"""WITH {BASE}, {greedy('s DESC, i, j')}
+SELECT 'v' || lpad(vec_id::VARCHAR, 9, '0') AS vec_id FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM removed)""")
+def deduplicated_text_ids(spark, sf):
+    vectors = view(spark, sf, "embeddings").withColumn("vec_id", F.concat(F.lit("v"), F.lpad(F.col("vec_id").cast("string"), 9, "0")))
+    return similarity.deduplicated(vectors, "vec_id", "embedding", THRESHOLD).select("vec_id")
 
 
 @query("deduplicated_labels", f"""WITH {BASE}, {greedy('s DESC, i, j')}

@@ -85,7 +85,7 @@ FROM {events}
 
 VIEWS["answers"] = """
 SELECT conv_id * 100 + turn AS uid, concat('cat', cast(conv_id % 6 AS string)) AS category,
-  CASE turn % 4 WHEN 1 THEN concat('Try:', chr(10), '```python', chr(10), 'import pandas', chr(10), 'def f(x):', chr(10), '    return x # ', substr(text, 1, 40), chr(10), '```', chr(10), '```bash', chr(10), 'pip install pandas==2.0', chr(10), '```')
+  CASE turn % 4 WHEN 1 THEN concat('Try:', chr(10), '```python', chr(10), 'import pandas', chr(10), 'def f(x):', chr(10), '    return x # ', replace(text, chr(10), ' '), chr(10), '```', chr(10), '```bash', chr(10), 'pip install pandas==2.0', chr(10), '```')
    WHEN 3 THEN concat(text, ' class X(', CASE WHEN conv_id % 3 = 0 THEN ')' ELSE '' END) ELSE text END AS answer
 FROM {conversations} WHERE role = 'assistant'
 UNION ALL SELECT conv_id * 100 + 99, 'cat0', 'ERROR: 500' FROM {conversations} WHERE turn = 0 AND conv_id % 20 = 0
@@ -100,7 +100,7 @@ FROM {benchmark}
 VIEWS["resources"] = """
 SELECT doc_id AS rid, concat('cat', cast(doc_id % 6 AS string)) AS category,
   CASE doc_id % 3 WHEN 0 THEN 'stackoverflow' WHEN 1 THEN 'official_docs' ELSE 'github_repo' END AS source,
-  substr(text, 1, 100) AS title, CASE doc_id % 4 WHEN 0 THEN 'array' WHEN 1 THEN 'react' WHEN 2 THEN 'tree' ELSE 'Sort' END AS tag,
+  text AS title, CASE doc_id % 4 WHEN 0 THEN 'array' WHEN 1 THEN 'react' WHEN 2 THEN 'tree' ELSE 'Sort' END AS tag,
   n_chars AS votes, doc_id % 60 AS answer_count, lang AS language, concat('acme/', source) AS repo
 FROM {documents}
 """
