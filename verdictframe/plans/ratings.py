@@ -21,7 +21,7 @@ def elo_sql(source: str, key: str, order: str, k: int = 4) -> str:
  steps AS (SELECT b.{key} AS key, row_number() OVER (PARTITION BY b.{key} ORDER BY b.{order}) AS n, x.i AS a, y.i AS b,
    CASE b.vote WHEN 'vote_left' THEN 1.0::DOUBLE WHEN 'vote_right' THEN 0.0 ELSE 0.5 END AS s
    FROM {source} b JOIN models x ON x.model = b.model_a JOIN models y ON y.model = b.model_b),
- elo(key, n, r) AS (
+ elo(key, n, r) USING KEY (key) AS (
    SELECT key, 0::BIGINT, (SELECT list(1000.0::DOUBLE) FROM models) FROM (SELECT DISTINCT key FROM steps)
    UNION ALL
    SELECT e.key, t.n, list_transform(e.r, lambda x, i: CASE
@@ -56,17 +56,22 @@ def elo_anchored(spark, sf):
     return out.select("model", F.round("rating", 4).alias("rating"))
 
 
+# Rounds of the Elo bootstrap and the order statistics of its 90% interval.
+ROUNDS = 1000
+LOW, HIGH = int((1 - 0.9) / 2 * ROUNDS), int((1 - (1 - 0.9) / 2) * ROUNDS)
+
+
 @query("elo_bootstrap", f"""WITH src AS (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS idx, count(*) OVER () AS n FROM battles),
  d AS (SELECT r.replicate, s.idx AS pos, ('0x' || substr(md5('17:' || r.replicate || ':' || s.idx), 1, 15))::BIGINT % s.n AS pick
-   FROM src s, (SELECT unnest(range(0, 4)) AS replicate) r),
+   FROM src s, (SELECT unnest(range(0, {ROUNDS})) AS replicate) r),
  b AS (SELECT d.replicate, d.pos, s.model_a, s.model_b, s.vote FROM d JOIN src s ON s.idx = d.pick
    UNION ALL SELECT -1, idx, model_a, model_b, vote FROM src), {elo_sql('b', 'replicate', 'pos')},
  l AS (SELECT model, list_sort(list(rating)) AS r FROM elo_final WHERE key >= 0 GROUP BY model)
-SELECT l.model, round(p.rating, 4) AS rating, round(r[1], 4) AS lower_bound, round(r[4], 4) AS upper_bound,
- len(r) AS replicates, round(r[1] - p.rating, 4) AS ci_low, round(r[4] - p.rating, 4) AS ci_high
+SELECT l.model, round(p.rating, 4) AS rating, round(r[{LOW + 1}], 4) AS lower_bound, round(r[{HIGH + 1}], 4) AS upper_bound,
+ len(r) AS replicates, round(r[{LOW + 1}] - p.rating, 4) AS ci_low, round(r[{HIGH + 1}] - p.rating, 4) AS ci_high
 FROM l JOIN elo_final p ON p.model = l.model AND p.key = -1""")
 def elo_bootstrap(spark, sf):
-    out = ratings.elo_with_intervals(view(spark, sf, "battles"), [], rounds=4)
+    out = ratings.elo_with_intervals(view(spark, sf, "battles"), [], rounds=ROUNDS)
     numbers = ("rating", "lower_bound", "upper_bound", "ci_low", "ci_high")
     return out.select("model", "replicates", *[F.round(c, 4).alias(c) for c in numbers])
 
