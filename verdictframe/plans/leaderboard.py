@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from verdictframe.operators import battles
 from verdictframe.operators import leaderboard as ops
+from verdictframe.operators import ratings as rating_ops
+from verdictframe.plans.ratings import strength_sql
 from verdictframe.plans.registry import query
 from verdictframe.sources.views import view
 
@@ -124,3 +126,28 @@ def ranking_with_metadata(spark, sf):
     )
     votes = stats.select("model", F.col("total").alias("votes"))
     return ops.ranking_frame(ratings, votes, metadata(spark, sf))
+
+
+def voted_board(spark, sf):
+    """Votes to pair counts to Bradley-Terry with margin to the public ranking."""
+    votes = view(spark, sf, "battles")
+    fitted = rating_ops.bradley_terry_with_margin(votes, [])
+    counts = battles.battle_stats(votes).select("model", F.col("total").alias("votes"))
+    return ops.ranking_frame(fitted.select("model", "rating", "margin"), counts, metadata(spark, sf))
+
+
+@query("public_leaderboard")
+def public_leaderboard(spark, sf):
+    """With the bootstrap margin, whose draws come from a generator."""
+    return voted_board(spark, sf)
+
+
+@query("public_leaderboard_ranks", f"""WITH {META}, b AS (SELECT 0 AS g, * FROM battles), {strength_sql('b', 'g', ('vote_left', 'vote_right'))},
+ v AS (SELECT model, count(*) AS votes FROM (SELECT model_a AS model FROM battles UNION ALL SELECT model_b FROM battles) GROUP BY model),
+ s AS (SELECT t.model, round(t.rating, 1) AS score, votes, coalesce(organization, 'Unknown') AS organization, coalesce(license, 'Unknown') AS license
+  FROM strengths t JOIN v USING (model) LEFT JOIN meta USING (model))
+SELECT *, true AS has_margin, row_number() OVER (ORDER BY score DESC, model) AS rank FROM s""")
+def public_leaderboard_ranks(spark, sf):
+    """The same board with the margin as a flag."""
+    board = voted_board(spark, sf)
+    return board.withColumn("has_margin", F.col("ci_margin").isNotNull()).drop("ci_margin")

@@ -254,11 +254,9 @@ def win_probability(spark, sf):
     return out.select("model", F.round("win_probability", 6).alias("win_probability"))
 
 
-# Rating table used for the correlations: win rate scaled, rounded so both
-# engines see equal numbers (and equal ties).
-RATINGS = """ratings AS (SELECT system, model, round(1000 + 400 * sum(w) / count(*), 1) AS rating FROM (
-  SELECT system, model_a AS model, CASE vote WHEN 'vote_left' THEN 1 ELSE 0 END AS w FROM system_battles UNION ALL
-  SELECT system, model_b, CASE vote WHEN 'vote_right' THEN 1 ELSE 0 END FROM system_battles) GROUP BY ALL),
+# Rating table used for the correlations: online Elo of every system, rounded so
+# both engines see equal numbers (and equal ties).
+RATINGS = f"""{elo_sql('system_battles', 'system', 'seq')}, ratings AS (SELECT key AS system, model, round(rating, 2) AS rating FROM elo_final),
  pairs AS (SELECT a.system AS system1, b.system AS system2, a.model, a.rating AS x, b.rating AS y
   FROM ratings a JOIN ratings b ON a.model = b.model AND a.system < b.system),
  ranked AS (SELECT *, rank() OVER (PARTITION BY system1, system2 ORDER BY x) + (count(*) OVER (PARTITION BY system1, system2, x) - 1) / 2 AS rx,
@@ -267,8 +265,8 @@ RATINGS = """ratings AS (SELECT system, model, round(1000 + 400 * sum(w) / count
 
 
 def system_ratings(spark, sf):
-    stats = battle_ops.battle_stats(view(spark, sf, "system_battles"), ["system"])
-    return stats.select("system", "model", F.round(1000 + 400 * F.col("wins") / F.col("total"), 1).alias("rating"))
+    elo = ratings.online_elo(view(spark, sf, "system_battles"), ["system"])
+    return elo.select("system", "model", F.round("rating", 2).alias("rating"))
 
 
 @query("common_model_pairs", f"WITH {RATINGS} SELECT system1, system2, model, x, y FROM pairs")
