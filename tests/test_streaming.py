@@ -51,12 +51,26 @@ def test_last_leaderboard_equals_the_batch_fit(spark):
 
 
 def test_worklist_takes_each_key_once(spark):
+    """Over several arrivals, with the stream started again after each."""
     path = scratch_path(spark, "work")
-    step = logs.worklist_step(path, "k")
-    step(spark.createDataFrame([("a",), ("a",), ("b",)], "k string"), 0)
-    step(spark.createDataFrame([("b",), ("c",)], "k string"), 1)
-    step(spark.createDataFrame([("b",), ("c",)], "k string"), 1)
-    assert sorted(r["k"] for r in spark.read.schema("k string").parquet(path).collect()) == ["a", "b", "c"]
+    for keys in (["a", "a", "b"], ["b", "c"], ["c", "a", "d"]):
+        spark.createDataFrame([(k,) for k in keys], "k string").write.mode("append").parquet(f"{path}/in")
+        live = votes.vote_stream(spark, f"{path}/in", "k string", kind="parquet")
+        step = votes.keep_step(f"{path}/taken")
+        votes.per_batch(logs.taken_once(live, "k"), step, f"{path}/checkpoint").awaitTermination()
+    taken = spark.read.schema("k string, batch int").parquet(f"{path}/taken")
+    assert sorted(r["k"] for r in taken.collect()) == ["a", "b", "c", "d"]
+
+
+def test_counts_read_the_last_batch_only(spark):
+    path = scratch_path(spark, "running")
+    step = votes.pair_count_step(path)
+    rows = random_battles(60)
+    for number in range(3):
+        step(space_votes(spark, rows[20 * number:20 * number + 20]), number)
+    assert votes.batch_numbers(spark, path) == [0, 1, 2]
+    total = votes.newest(spark, path).selectExpr("sum(a_win + b_win + tie) n").first()["n"]
+    assert total == len(rows) and votes.newest(spark, path, 0) is None
 
 
 def test_json_vote_stream_has_the_declared_schema(spark):

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from verdictframe.functions.predicates import all_present, merged_label, vote_of
 from verdictframe.operators import battles as ops
 from verdictframe.plans.registry import query
+from verdictframe.session import scratch_path
+from verdictframe.sources import sinks
 from verdictframe.sources.views import view
 
 VOTE_CASE = """CASE {c} WHEN 'vote_model_A' THEN 'vote_left' WHEN 'vote_model_B' THEN 'vote_right'
@@ -194,9 +196,12 @@ def sessions_without_judgment(spark, sf):
 SELECT vote, count(*) AS n FROM (SELECT vote FROM space_votes UNION ALL
  SELECT vote FROM space_votes WHERE vote = 'both_bad') GROUP BY vote""")
 def appended_votes(spark, sf):
-    """Appending new votes is a union with the stored ones, never a rewrite."""
-    stored = view(spark, sf, "space_votes")
-    return stored.unionByName(stored.filter("vote = 'both_bad'")).groupBy("vote").agg(F.count(F.lit(1)).alias("n"))
+    """Votes written, new ones appended as files of their own, and all read back."""
+    path = scratch_path(spark, "votes")
+    votes = view(spark, sf, "space_votes").select("seq", "vote")
+    sinks.append_votes(votes, path)
+    sinks.append_votes(votes.filter("vote = 'both_bad'"), path)
+    return spark.read.schema(votes.schema).parquet(path).groupBy("vote").agg(F.count(F.lit(1)).alias("n"))
 
 
 SESSION_PAIRS = """

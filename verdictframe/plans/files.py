@@ -267,22 +267,33 @@ def report_export(spark, sf):
 
 
 @query("split_outcomes", """SELECT CASE WHEN event_type = 'error' THEN 'failed' ELSE 'done' END AS output, count(*) AS n,
- count(*) FILTER (event_type = 'error') AS with_error FROM events GROUP BY 1""")
+ count(*) FILTER (event_type = 'error') AS with_error, count(*) FILTER (user_id % 3 = 0) AS backed_up,
+ count(*) AS states FROM events GROUP BY 1""")
 def split_outcomes(spark, sf):
+    """A first run is backed up by a second one, which a retry then adds to."""
     path = fresh(spark, "outcome")
     rows = table(spark, sf, "events").select(
         "event_id", F.struct("user_id", "props").alias("state"),
         F.when(F.col("event_type") == "error", F.concat(F.lit("error at "), F.col("ts").cast("string"))).alias("error"),
     )
     half = F.col("state.user_id") % 2 == 0
-    sinks.write_outcome(rows.filter(half), f"{path}/ok", f"{path}/failed", "jA")
+    third = F.col("state.user_id") % 3 == 0
+    sinks.write_outcome(rows.filter(third), f"{path}/ok", f"{path}/failed", "jA")
+    backups = sinks.write_outcome(rows.filter(half), f"{path}/ok", f"{path}/failed", "jA")
     sinks.write_outcome(rows.filter(~half), f"{path}/ok", f"{path}/failed", "jA", retry=True)
-    ok = spark.read.schema("event_id bigint").json(f"{path}/ok").select(F.lit("done").alias("output"), F.lit(0).alias("e"))
-    failed = spark.read.schema("event_id bigint, processing_error string").json(f"{path}/failed").select(
-        F.lit("failed").alias("output"),
-        F.get_json_object("processing_error", "$.error_message").startswith("error at").cast("int").alias("e"),
+    schema = "event_id bigint, state string, processing_error string"
+    found = None
+    for output, folder, backup in zip(("done", "failed"), (f"{path}/ok", f"{path}/failed"), backups):
+        now = spark.read.schema(schema).json(folder).withColumn("old", F.lit(0))
+        part = now.unionByName(spark.read.schema(schema).json(backup).withColumn("old", F.lit(1))).withColumn("output", F.lit(output))
+        found = part if found is None else found.unionByName(part)
+    current = F.col("old") == 0
+    message = F.get_json_object("processing_error", "$.error_message")
+    return found.groupBy("output").agg(
+        F.count_if(current).alias("n"), F.count_if(current & message.startswith("error at")).alias("with_error"),
+        F.count_if(~current).alias("backed_up"),
+        F.count_if(current & F.get_json_object("state", "$.user_id").isNotNull()).alias("states"),
     )
-    return ok.unionByName(failed).groupBy("output").agg(F.count(F.lit(1)).alias("n"), F.sum("e").alias("with_error"))
 
 
 @query("new_visual_files", """WITH f AS (SELECT page_id, html, CASE page_id % 4 WHEN 0 THEN 'html' WHEN 1 THEN 'svg' WHEN 2 THEN 'md' ELSE 'txt' END AS ext FROM pages)

@@ -107,8 +107,8 @@ def stream_worklist(spark, sf):
     """Every session is taken up once, however often it arrives."""
     rows = view(spark, sf, "judge_rows").select("seq", "chat_session_id")
     out = fresh(spark, "worklist")
-    step = logs.worklist_step(f"{out}/taken", "chat_session_id")
-    feed(spark, rows, "seq", out, lambda live: votes.per_batch(live, step, f"{out}/checkpoint"))
+    step = votes.keep_step(f"{out}/taken")
+    feed(spark, rows, "seq", out, lambda live: votes.per_batch(logs.taken_once(live, "chat_session_id"), step, f"{out}/checkpoint"))
     return spark.read.schema("chat_session_id string, batch int").parquet(f"{out}/taken").select("chat_session_id")
 
 

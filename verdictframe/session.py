@@ -24,6 +24,7 @@ def build_session(app: str = "verdictframe", cores: int | None = None) -> SparkS
         .config("spark.driver.memory", os.environ.get("VERDICTFRAME_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", os.environ.get("VERDICTFRAME_SHARED_DIR") or tempfile.mkdtemp(prefix="verdictframe-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -63,6 +64,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names below ``path``, none where it does not exist. Reads no data."""
+    files, at = _file_system(spark, path)
+    return [s.getPath().getName() for s in files.listStatus(at)] if files.exists(at) else []
+
+
+def move_aside(spark: SparkSession, path: str) -> str | None:
+    """Rename an existing folder to a fresh backup name; the name, or None without a folder."""
+    files, at = _file_system(spark, path)
+    if not files.exists(at):
+        return None
+    backup = f"{path.rstrip('/')}_backup_{uuid.uuid4().hex}"
+    if not files.rename(at, spark._jvm.org.apache.hadoop.fs.Path(backup)):
+        raise OSError(f"cannot move {path} to {backup}")
+    return backup
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """Broadcast hint only after a bounded count proved the side small.
 

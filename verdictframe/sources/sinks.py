@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdictframe.operators.agreement import ratio
+from verdictframe.session import move_aside
 
 PREVIEW = 150
 
@@ -109,12 +110,24 @@ def split_outcome(results: DataFrame, judge: str, at: Column) -> tuple[DataFrame
 def write_outcome(
     results: DataFrame, path: str, failed_path: str, judge: str, retry: bool = False,
     at: Column | None = None,
-) -> None:
-    """Both outputs; appended on a retry, else replaced."""
+) -> tuple[str | None, str | None]:
+    """Both outputs with nested values as JSON text; appended on a retry.
+
+    Otherwise the outputs of an earlier run move to a backup folder beside them
+    first; their names are returned (None where there was none).
+    """
     good, bad = split_outcome(results, judge, at if at is not None else F.current_timestamp())
-    mode = "append" if retry else "overwrite"
-    good.write.mode(mode).json(path)
-    sanitised(bad).write.mode(mode).json(failed_path)
+    backups = (None, None)
+    if not retry:
+        backups = tuple(move_aside(results.sparkSession, p) for p in (path, failed_path))
+    sanitised(good).write.mode("append").json(path)
+    sanitised(bad).write.mode("append").json(failed_path)
+    return backups
+
+
+def append_votes(new: DataFrame, path: str) -> None:
+    """Add votes to the stored table as new files; stored files are never rewritten."""
+    new.write.mode("append").parquet(path)
 
 
 # Kinds of visual files by extension.

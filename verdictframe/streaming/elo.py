@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from verdictframe.functions.predicates import a_score
 from verdictframe.operators import ratings
-from verdictframe.streaming.votes import batch_numbers
+from verdictframe.streaming.votes import newest
 
 
 def elo_step(
@@ -27,9 +27,7 @@ def elo_step(
     """
 
     def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = [n for n in batch_numbers(spark, path) if n < number]
-        start = spark.read.parquet(f"{path}/batch={max(before)}") if before else None
+        start = newest(batch.sparkSession, path, number)
         fold = ratings.online_elo(batch, keys, order, outcome, start=start, **elo)
         fold.write.mode("overwrite").parquet(f"{path}/batch={number}")
 

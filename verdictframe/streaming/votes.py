@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from verdictframe.operators import battles, ratings
+from verdictframe.session import folder_names
 from verdictframe.sources.jsonl import VOTE
 
 
@@ -72,22 +72,28 @@ def keep_step(path: str) -> Callable[[DataFrame, int], None]:
     return step
 
 
+COUNTS = ("a_win", "b_win", "tie")
+
+
 def pair_count_step(path: str) -> Callable[[DataFrame, int], None]:
-    """Store the outcome counts of each batch; counts of batches simply add."""
+    """Store the running outcome counts after each batch.
+
+    Counts of batches simply add, so a batch reads the total of the one before
+    and nothing older; a retried batch starts from the same total.
+    """
 
     def step(batch: DataFrame, number: int) -> None:
-        counts = battles.pair_outcomes(battles.winners(batch), [], "winner")
+        counts = battles.pair_outcomes(battles.winners(batch), [], "winner").select("model_a", "model_b", *COUNTS)
+        before = newest(batch.sparkSession, path, number)
+        if before is not None:
+            counts = counts.unionByName(before).groupBy("model_a", "model_b").agg(*[F.sum(c).alias(c) for c in COUNTS])
         counts.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return step
 
 
 def stored_pair_counts(spark: SparkSession, path: str) -> DataFrame:
-    schema = "model_a string, model_b string, a_win bigint, b_win bigint, tie bigint, batch int"
-    rows = spark.read.schema(schema).parquet(path)
-    return rows.groupBy("model_a", "model_b").agg(
-        *[F.sum(c).alias(c) for c in ("a_win", "b_win", "tie")]
-    )
+    return newest(spark, path)
 
 
 def leaderboard_step(counts_path: str, board_path: str) -> Callable[[DataFrame, int], None]:
@@ -104,20 +110,17 @@ def leaderboard_step(counts_path: str, board_path: str) -> Callable[[DataFrame,
     return step
 
 
-def newest(spark: SparkSession, path: str) -> DataFrame | None:
-    """Rows of the highest stored batch, None before the first."""
-    numbers = batch_numbers(spark, path)
+def newest(spark: SparkSession, path: str, below: int | None = None) -> DataFrame | None:
+    """Rows of the highest stored batch (below a number), None without one."""
+    numbers = [n for n in batch_numbers(spark, path) if below is None or n < below]
     return spark.read.parquet(f"{path}/batch={max(numbers)}") if numbers else None
 
 
 def batch_numbers(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the stored batches that hold rows, from the folder names.
+    """Numbers of the stored batches, from the folder names alone.
 
     A stream starts a batch only after the one before is complete, so every
     number below the current one can be relied on.
     """
-    try:
-        stored = spark.read.schema("batch int").parquet(path)
-    except AnalysisException:  # nothing stored yet
-        return []
-    return sorted(r["batch"] for r in stored.select("batch").distinct().collect())
+    found = [name.partition("batch=") for name in folder_names(spark, path)]
+    return sorted(int(number) for head, mark, number in found if mark and not head)
