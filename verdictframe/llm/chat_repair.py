@@ -123,7 +123,8 @@ def numbered_turns(turns: DataFrame, conv: str, turn: str, role: str, text: str)
     ranged = ranged.withColumn("bin", F.shiftright("at", 33))
     inside = ranged.groupBy("conv", "bin").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("conv").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shifts = inside.select(F.col("conv").alias("c"), F.col("bin").alias("b"), "first", before.alias("before"))
+    # stored, so that the join deals out both sides anew and may split a long conversation
+    shifts = stored(inside.select(F.col("conv").alias("c"), F.col("bin").alias("b"), "first", before.alias("before")), "shifts")
     out = ranged.join(shifts, F.col("conv").eqNullSafe(F.col("c")) & (F.col("bin") == F.col("b")))
     seq = F.col("at") - F.col("first") + F.col("before")
     return out.select("conv", "turn", "code", "text", seq.alias("seq"), F.floor(seq / BLOCK).alias("block"))
@@ -212,7 +213,7 @@ def repair(
     # number the output turns: inside a block, shifted by the turns that earlier blocks open
     opened = pieces.groupBy("conv", "block").agg(F.sum("opens").alias("n"))
     earlier = F.coalesce(F.sum("n").over(Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    opened = opened.select(F.col("conv").alias("c"), F.col("block").alias("b"), earlier.alias("earlier"))
+    opened = stored(opened.select(F.col("conv").alias("c"), F.col("block").alias("b"), earlier.alias("earlier")), "opened")
     order = Window.partitionBy("conv", "block").orderBy("seq")
     pieces = pieces.withColumn("inside", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     pieces = pieces.join(opened, F.col("conv").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b")))

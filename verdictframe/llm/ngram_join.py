@@ -151,7 +151,8 @@ def forest(n: np.ndarray, bits: np.ndarray, left: np.ndarray, right: np.ndarray,
 def candidate_edges(classes: DataFrame, percent: int) -> DataFrame:
     """Edges between classes that connect all pairs which may link."""
     posted = classes.select(F.explode("prefix").alias("h"), "node")
-    shared = posted.groupBy("h").count().filter("count > 1")
+    # stored, so that the join deals out both sides anew and may split a frequent shingle
+    shared = stored(posted.groupBy("h").count().filter("count > 1"), "shared")
     members = posted.join(shared, "h").join(classes.select("node", "n", "bits"), "node")
     # a list of many members is cut into parts; each pair of parts is one unit
     parts = F.ceil(F.col("count") / LIST_PART).cast("int")
@@ -236,7 +237,7 @@ def linked(docs: DataFrame, classes: DataFrame, blocks: DataFrame, key: str, tex
     sizes = blocks.join(classes.select("node", "n"), "node").groupBy("label").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_PART), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts")
     )
-    active = stored(inside.join(sizes, "label"), "active")
+    active = stored(inside.join(stored(sizes, "sizes"), "label"), "active")
     wanted = active.select(F.col("id").alias("_id"), "fa", "fb", "node", "label", "parts", "copies")
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     texts = texts.join(broadcast_within(wanted, BROADCAST_ROWS), F.col("id").eqNullSafe(F.col("_id")))
@@ -321,7 +322,7 @@ def _components(docs: DataFrame, key: str, text: str, words: int, percent: int)
     labels = components(edges, "linked")
     named = classes.select("node", "n", "fa", "fb", "id", "copies").join(labels, "node", "left").join(counts, "node", "left")
     named = named.withColumn("label", F.coalesce("label", "node"))
-    smallest = named.groupBy("label").agg(F.min("id").alias("component_id"))
+    smallest = stored(named.groupBy("label").agg(F.min("id").alias("component_id")), "smallest")
     links = (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
     named = stored(named.join(smallest, "label").select("n", "fa", "fb", "component_id", F.col("label").alias("component"), links), "named")
     out = rows.select("id", "t", "n", "fa", "fb").join(named, ["n", "fa", "fb"], "left")
