@@ -56,10 +56,8 @@ TYPESCRIPT_FORMS = [
     r"\b(?:private|protected|public|readonly)\s+\w+",
 ]
 SCRIPT_URL = r"""(?i)<script[^>]*src="https?://([^"]+)"[^>]*>"""
-UNPKG = r"(?i)^unpkg\.com/(@?[^@/]+(?:/[^@/]+)?(?:@[^/]+)?)"
-JSDELIVR = r"(?i)^cdn\.jsdelivr\.net/npm/(@?[^@/]+(?:/[^@/]+)?(?:@[^/]+)?)"
-PATH_WORD_URL = r"(?i)^(?:.+/)?(?:npm|dist|lib|build|umd|esm|cjs|min)/"
-FIRST_SEGMENT = r"^.+?/(@?[\w-]+)"
+# Folders under which each content network keeps its packages.
+CDN_FOLDERS = {"unpkg.com": [], "cdn.jsdelivr.net": ["npm"]}
 INLINE_SCRIPT = r"(?is)<script[^>]*>(.*?)</script>"
 MODULE_URL = r"""import\s+[\w\s{},*]+\s+from\s+['"]https?://[^/]+/npm/([^/@"\s]+)[@/][^"]*['"]"""
 ANY_MODULE_URL = r"""import\s+[\w\s{},*]+\s+from\s+['"]https?://[^"]+['"]"""
@@ -163,27 +161,59 @@ def npm_imports(code: Column) -> Column:
     return F.array_distinct(F.transform(F.concat(*found), npm_package))
 
 
+def _package_of(path: Column) -> Column:
+    """Package that a list of path segments begins with; a scoped one has two segments."""
+    first = F.get(path, F.lit(0))
+    scoped = F.array_join(F.slice(path, 1, 2), "/")
+    return F.when(first.startswith("@"), scoped).otherwise(F.split(first, "@")[0])
+
+
+def _under(segments: Column, host: str, folders: list[str]) -> Column:
+    """What follows the package folder of a content network; empty for other URLs."""
+    depth = 1 + len(folders)
+    here = F.lower(F.array_join(F.slice(segments, 1, depth), "/")) == "/".join([host, *folders])
+    return F.when(here, F.slice(segments, depth + 1, F.size(segments))).otherwise(F.slice(segments, 1, 0))
+
+
 def cdn_packages(html: Column) -> Column:
-    """Distinct packages of script-tag URLs, version and path removed."""
-    urls = F.regexp_extract_all(html, F.lit(SCRIPT_URL), 1)
-    generic = F.filter(urls, lambda u: ~u.rlike(PATH_WORD_URL))
-    found = F.concat(
-        F.transform(urls, lambda u: F.regexp_extract(u, UNPKG, 1)),
-        F.transform(urls, lambda u: F.regexp_extract(u, JSDELIVR, 1)),
-        F.transform(generic, lambda u: F.regexp_extract(u, FIRST_SEGMENT, 1)),
-    )
+    """Distinct packages of script-tag URLs, version and path removed.
 
-    def name(path: Column) -> Column:
-        parts = F.split(path, "/")
-        plain = F.split(parts[0], "@")[0]
-        return F.when(path.startswith("@"), F.array_join(F.slice(parts, 1, 2), "/")).otherwise(plain)
+    Three sources: the package folders of the two content networks, and for any
+    URL without a build folder on its way the first path segment that starts
+    like a name.
+    """
+    urls = F.transform(F.regexp_extract_all(html, F.lit(SCRIPT_URL), 1), lambda u: F.split(u, "/"))
+    networks = [
+        F.transform(urls, in_network(host, folders)) for host, folders in CDN_FOLDERS.items()
+    ]
 
+    def folders_of(segments: Column) -> Column:
+        return F.slice(segments, 1, F.greatest(F.size(segments) - 1, F.lit(0)))
+
+    plain = F.filter(
+        urls, lambda u: ~F.exists(folders_of(u), lambda folder: F.lower(folder).isin(CDN_PATH_WORDS))
+    )
+    starts = F.transform(
+        plain,
+        lambda u: F.get(
+            F.filter(
+                F.transform(F.slice(u, 2, F.size(u)), lambda part: F.regexp_extract(part, r"^@?[\w-]+", 0)),
+                lambda name: name != "",
+            ),
+            F.lit(0),
+        ),
+    )
     names = F.filter(
-        F.transform(found, name), lambda s: (s != "") & ~F.lower(s).isin(CDN_PATH_WORDS)
+        F.concat(*networks, F.filter(starts, lambda name: name.isNotNull())),
+        lambda name: name.isNotNull() & (name != "") & ~F.lower(name).isin(CDN_PATH_WORDS),
     )
     return F.array_distinct(names)
 
 
+def in_network(host: str, folders: list[str]):
+    return lambda segments: _package_of(_under(segments, host, folders))
+
+
 def script_tag_packages(html: Column) -> Column:
     """Packages of an HTML page: CDN tags, and imports of its inline scripts.
 
