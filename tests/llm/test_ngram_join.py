@@ -15,8 +15,8 @@ def sets_of(rows, k=4):
     return out
 
 
-def brute(rows, percent=85):
-    sets, root, links = sets_of(rows), list(range(len(rows))), [0] * len(rows)
+def brute(rows, percent=85, k=4):
+    sets, root, links = sets_of(rows, k), list(range(len(rows))), [0] * len(rows)
 
     def find(x):
         while root[x] != x:
@@ -57,10 +57,17 @@ def test_against_all_pairs(docs_of, monkeypatch, parts):
     monkeypatch.setattr(ngram_join, "LIST_PART", parts[0])
     monkeypatch.setattr(ngram_join, "BLOCK_PART", parts[1])
     rows = corpus(5)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in ngram_join.jaccard_components(docs_of(rows)).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in ngram_join.jaccard_components(docs_of(rows), words=4, percent=85).collect()}
     assert got == brute(rows)
 
 
+def test_other_parameters(docs_of):
+    """The defaults: five words, 80 percent."""
+    rows = corpus(6)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in ngram_join.jaccard_components(docs_of(rows)).collect()}
+    assert got == brute(rows, 80, 5)
+
+
 def test_divide_skip_equals_all_overlaps():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 300, dtype=np.uint64)
@@ -86,14 +93,14 @@ def test_hot_shingles_and_one_large_group(docs_of):
     rows = [(k, passage + " " + " ".join(f"u{k}x{j}" for j in range(60))) for k in range(120)]
     copy = " ".join(f"c{j}" for j in range(90))
     rows += [(1000 + k, copy) for k in range(80)] + [(2000 + k, copy + f" tail{rng.randrange(9)}") for k in range(20)]
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in ngram_join.jaccard_components(docs_of(rows)).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in ngram_join.jaccard_components(docs_of(rows), words=4, percent=85).collect()}
     assert got == brute(rows)
 
 
 def test_defined_results(docs_of):
     text = " ".join(f"w{k}" for k in range(50))
     rows = [(7, text), (3, text), (3, text), (None, text), (9, None), (10, ""), (None, "alone here now then"), (3, "another text altogether here")]
-    out = ngram_join.jaccard_components(docs_of(rows, extra=True)).collect()
+    out = ngram_join.jaccard_components(docs_of(rows, extra=True), words=4, percent=85).collect()
     assert sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"] or -1, r["n_links"]) for r in out) == sorted(
         [(7, 47, 3, 3), (3, 47, 3, 3), (3, 47, 3, 3), (-1, 47, 3, 3), (9, 0, 9, 0), (10, 0, 10, 0), (-1, 1, -1, 0), (3, 1, 3, 0)])
     kept = ngram_join.representatives(docs_of(rows, extra=True))

@@ -32,8 +32,8 @@ from verdictframe.llm import textops
 from verdictframe.llm.shared import broadcast_within, components, groups, stored
 
 #: Words of a shingle, and the smallest similarity in percent.
-WORDS = 4
-PERCENT = 85
+WORDS = 5
+PERCENT = 80
 #: Documents whose shingles tell which ones are frequent; steers the order only.
 SAMPLE = 4_096
 FREQUENT = 4

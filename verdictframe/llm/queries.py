@@ -123,8 +123,8 @@ FROM sets s JOIN reach r USING (doc_id) LEFT JOIN counted c ON c.p = s.doc_id GR
 
 @query("op9_ngram_jaccard", OP9_SQL)
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its component and links."""
-    return ngram_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Every document with its component and links: four words, 85 percent."""
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, percent=85)
 
 
 OP10_SQL = f"""
