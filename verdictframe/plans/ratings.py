@@ -225,6 +225,22 @@ def binary_fit(spark, sf):
     )
 
 
+@query("binary_fit_gradient", """SELECT feature, 0.0::DOUBLE AS slope
+FROM (VALUES ('strength'), ('category_no'), ('intercept')) AS v(feature) WHERE EXISTS (SELECT 1 FROM battles)""")
+def binary_fit_gradient(spark, sf):
+    """Slope of the penalised likelihood at the fit, per battle: 0 at the maximum."""
+    features = ["strength", "category_no"]
+    cells = ratings.binary_cells(length_controls(spark, sf), features, "won").cache()
+    model = ratings.fit_binary(cells, features, "won", "weight")
+    coefs = dict(zip(features, model.coefficients.toArray().tolist()))
+    z = sum((F.col(f) * c for f, c in coefs.items()), F.lit(float(model.intercept)))
+    gap = F.col("weight") * (F.col("won") - 1 / (1 + F.exp(-z)))
+    columns = {**{f: (F.col(f), c) for f, c in coefs.items()}, "intercept": (F.lit(1.0), 0.0)}
+    sums = cells.agg(F.sum("weight").alias("total"), *[(F.sum(gap * x) - c).alias(f) for f, (x, c) in columns.items()])
+    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.abs(F.round(F.col(f) / F.col("total"), 5)).alias("slope")) for f in columns])
+    return sums.select(F.inline(pairs))
+
+
 @query("binary_fit_bootstrap")
 def binary_fit_bootstrap(spark, sf):
     features = ["strength", "category_no"]
@@ -286,7 +302,18 @@ def pearson(spark, sf):
     return corr.select("system1", "system2", F.round("correlation", 6).alias("correlation"), "common_models")
 
 
-@query("correlation_p_values")
+# Two-sided p-value of a correlation: Student's t with n - 2 degrees of freedom by its
+# finite series in the angle (even and odd degrees).
+P_VALUES = f"""WITH {RATINGS}, c AS (SELECT system1, system2, spearman AS r, common_models - 2 AS df FROM cor),
+ a AS (SELECT *, atan(abs(r) / sqrt(greatest(1 - r * r, 1e-300))) AS angle FROM c),
+ e AS (SELECT *, CASE WHEN df % 2 = 0 THEN sin(angle) * list_sum(list_transform(range(0, df // 2),
+    lambda k: gamma(k + 0.5) / (sqrt(pi()) * gamma(k + 1.0)) * cos(angle) ** (2 * k)))
+  ELSE 2 / pi() * (angle + sin(angle) * coalesce(list_sum(list_transform(range(0, (df - 1) // 2),
+    lambda k: sqrt(pi()) / 2 * gamma(k + 1.0) / gamma(k + 1.5) * cos(angle) ** (2 * k + 1))), 0)) END AS inside FROM a)
+SELECT system1, system2, round(greatest(1 - inside, 0), 8) AS p_value, 1 - inside < 0.05 AS significant FROM e"""
+
+
+@query("correlation_p_values", P_VALUES)
 def correlation_p_values(spark, sf):
     corr = correlate.correlations(correlate.system_pairs(system_ratings(spark, sf)))
     return corr.select("system1", "system2", F.round("p_value", 8).alias("p_value"), "significant")
