@@ -72,6 +72,7 @@ def resource_features(resources: DataFrame) -> DataFrame:
         "rid", "source",
         matched.alias("r_keywords"), langs.alias("langs"),
         F.when(F.col("source") == "stackoverflow", quality).otherwise(F.lit(0.0)).alias("quality"),
+        F.substring(F.lower(F.coalesce("title", F.lit(""))), 1, TITLE_CHARS).alias("text"),
     )
 
 
@@ -99,7 +100,7 @@ def match_resources(questions: DataFrame, resources: DataFrame, k: int = 5) -> D
     signed = question_signatures(questions).filter(F.size("q_keywords") > 0)
     signatures = signed.select("q_keywords", "q_language").distinct()
     best = _top(
-        resource_features(resources), ["source", "r_keywords", "langs"], "quality", k, "_class"
+        resource_features(resources).drop("text"), ["source", "r_keywords", "langs"], "quality", k, "_class"
     ).drop("_class")
     by_word = signatures.withColumn("word", F.explode("q_keywords")).join(
         best.withColumn("word", F.explode("r_keywords")), "word"
@@ -259,10 +260,7 @@ def match_resources_by_text(
         "uid", F.substring(F.lower("instruction"), 1, TITLE_CHARS).alias("text"),
         "q_keywords", "q_language", F.coalesce("floor", F.lit(0.0)).alias("floor"),
     )
-    titles = resources.select(
-        "rid", F.substring(F.lower(F.coalesce("title", F.lit(""))), 1, TITLE_CHARS).alias("text")
-    )
-    right = resource_features(resources).join(titles, "rid")
+    right = resource_features(resources)
 
     def parts(question, part: pd.DataFrame):
         words = set(question["q_keywords"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdictframe.functions.predicates import squeeze
@@ -191,5 +191,5 @@ def coverage(solutions: DataFrame) -> DataFrame:
 def shares(rows: DataFrame, by: str) -> DataFrame:
     """Rows per value of a column and their share of all rows in percent."""
     counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
-    total = rows.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    return counts.withColumn("share_pct", ratio(F.col("n") * 100.0, F.lit(float(total))))
+    total = F.sum("n").over(Window.partitionBy(F.lit(1)))  # over the few counts
+    return counts.withColumn("share_pct", ratio(F.col("n") * 100.0, total.cast("double")))
