@@ -29,15 +29,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdictframe.llm import textops
-from verdictframe.llm.shared import broadcast_within, components, groups, stored
+from verdictframe.llm.shared import bounded_sample, broadcast_within, components, groups, stored
 
 #: Words of a shingle, and the smallest similarity in percent.
 WORDS = 5
 PERCENT = 80
 #: Documents whose shingles tell which ones are frequent; steers the order only.
-SAMPLE = 4_096
-FREQUENT = 4
-#: 64-bit words of a parity bitmap.
+SAMPLE = 8_192
+FREQUENT = 3
+FREQUENT_AT_MOST = 500_000
+#: 64-bit words of the smallest parity bitmap; larger sets have half a bit per shingle, in powers of two.
 BITMAP = 16
 #: Members of a part of an inverted list.
 LIST_PART = 4_096
@@ -65,10 +66,19 @@ def fingerprint(sets: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)), int(b.view(np.int64))
 
 
+def parity_bitmap(sets: np.ndarray) -> bytes:
+    """Bit b: whether an odd number of shingles falls on b. Two bitmaps differ in no more bits than the sets in shingles.
+
+    With half a bit per shingle, unrelated sets still differ in more bits than linked ones may.
+    """
+    size = max(BITMAP * 64, 1 << max(len(sets) // 2 - 1, 1).bit_length())
+    odd = np.bincount((sets % np.uint64(size)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
 def frequent_shingles(docs: DataFrame, key: str, text: str, words: int) -> np.ndarray:
     """Shingles of several documents of a sample of ``SAMPLE`` rows, taken by the hash of the id."""
-    rows = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(key)).alias("h"))
-    chosen = F.broadcast(rows.orderBy("h", "k").limit(SAMPLE).select("k").distinct())
+    chosen = F.broadcast(bounded_sample(docs.select(F.col(key).alias("k")), SAMPLE, "k").distinct())
     texts = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(chosen, "k").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,7 +86,8 @@ def frequent_shingles(docs: DataFrame, key: str, text: str, words: int) -> np.nd
             for _, s in shingle_sets(batch, words):
                 yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], names=["s"])
 
-    found = texts.mapInArrow(run, "s long").groupBy("s").count().filter(F.col("count") >= FREQUENT).select("s").toArrow()
+    found = texts.mapInArrow(run, "s long").groupBy("s").count().filter(F.col("count") >= FREQUENT)
+    found = found.orderBy(F.desc("count"), "s").limit(FREQUENT_AT_MOST).select("s").toArrow()
     return np.sort(found.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
@@ -110,9 +121,7 @@ def profiles(docs: DataFrame, key: str, text: str, words: int, percent: int) ->
                     hot = frequent[at] == s
                 cold = s[~hot][:length]
                 prefixes.append(np.concatenate([cold, s[hot][: length - len(cold)]]).view(np.int64))
-                bits = (s % np.uint64(BITMAP * 64)).astype(np.int64)
-                odd = np.bincount(bits, minlength=BITMAP * 64) & 1
-                maps.append(np.packbits(odd.astype(bool)).tobytes())
+                maps.append(parity_bitmap(s))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(rows, type=pa.int64())), batch.column(1).take(pa.array(rows, type=pa.int64())),
                  pa.array(sizes, type=pa.int64()), pa.array(fa, type=pa.int64()), pa.array(fb, type=pa.int64()),
@@ -124,8 +133,12 @@ def profiles(docs: DataFrame, key: str, text: str, words: int, percent: int) ->
     return work.mapInArrow(run, "id long, t long, n long, fa long, fb long, prefix array<long>, bits binary")
 
 
-def forest(n: np.ndarray, bits: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
-    """Spanning forest of the pairs (left, right) whose bitmaps allow a link; members are rows of n and bits."""
+def forest(n: np.ndarray, maps: list[bytes], part: np.ndarray | None, percent: int) -> Iterator[tuple[int, int]]:
+    """Spanning forest of the pairs whose bitmaps allow a link; with ``part``, of pairs of different parts only.
+
+    Bitmaps of one size are compared directly; a bitmap of twice the size is folded first. Sets of still
+    other sizes are too unequal to link.
+    """
     root = np.arange(len(n))
 
     def find(x: int) -> int:
@@ -134,18 +147,31 @@ def forest(n: np.ndarray, bits: np.ndarray, left: np.ndarray, right: np.ndarray,
             x = int(root[x])
         return x
 
-    for x in left.tolist():
-        others = right[right > x] if left is right else right
-        if not len(others):
-            continue
-        apart = np.bitwise_count(bits[others] ^ bits[x]).sum(axis=1, dtype=np.int64)
-        sizes = n[others]
-        need = required(n[x], sizes, percent)
-        for y in others[(apart <= n[x] + sizes - 2 * need) & (need <= np.minimum(n[x], sizes))].tolist():
-            a, b = find(x), find(y)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                yield x, y
+    length = np.array([len(m) for m in maps])
+    rows = {int(k): np.flatnonzero(length == k) for k in np.unique(length)}
+    bits = {k: np.frombuffer(b"".join([maps[r] for r in at]), dtype=np.uint64).reshape(len(at), -1) for k, at in rows.items()}
+    for k, at in rows.items():
+        pools = [(at, bits[k], True)]
+        if 2 * k in rows:
+            twice = bits[2 * k]
+            pools.append((rows[2 * k], twice[:, : k // 8] ^ twice[:, k // 8 :], False))
+        for place, x in enumerate(at.tolist()):
+            for others, theirs, same in pools:
+                if same:
+                    others, theirs = others[place + 1 :], theirs[place + 1 :]
+                need = required(n[x], n[others], percent)
+                near = need <= np.minimum(n[x], n[others])
+                if part is not None:
+                    near &= part[others] != part[x]
+                near = np.flatnonzero(near)
+                if not len(near):
+                    continue
+                apart = np.bitwise_count(theirs[near] ^ bits[k][place]).sum(axis=1, dtype=np.int64)
+                for y in others[near[apart <= n[x] + n[others[near]] - 2 * need[near]]].tolist():
+                    a, b = find(x), find(y)
+                    if a != b:
+                        root[max(a, b)] = min(a, b)
+                        yield x, y
 
 
 def candidate_edges(classes: DataFrame, percent: int) -> DataFrame:
@@ -168,13 +194,8 @@ def candidate_edges(classes: DataFrame, percent: int) -> DataFrame:
                 continue
             node = unit.column("node").to_numpy()
             n = unit.column("n").to_numpy()
-            bits = np.frombuffer(b"".join(unit.column("bits").to_pylist()), dtype=np.uint64).reshape(len(n), BITMAP)
             i, j, part = unit.column("i")[0].as_py(), unit.column("j")[0].as_py(), unit.column("part").to_numpy()
-            everyone = np.arange(len(n))
-            left, right = (everyone, everyone) if i == j else (np.flatnonzero(part == i), np.flatnonzero(part == j))
-            if i == j:
-                right = left
-            edges = list(forest(n, bits, left, right, percent))
+            edges = list(forest(n, unit.column("bits").to_pylist(), part if i != j else None, percent))
             if edges:
                 x, y = np.array(edges).T
                 yield pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y])], names=["a", "b"])
