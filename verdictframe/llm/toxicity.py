@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from verdictframe.llm.shared import bounded_sample
+
 #: Labelled rows that train at most.
 SAMPLE = 16_384
 BUCKET_BITS = 18
@@ -69,7 +71,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label
         .filter(F.col("_id").isNotNull() & F.col("_y").isNotNull() & ~held_out(F.col("_id")))
         .groupBy("_id").agg(F.max("_y").alias("_y"))
     )
-    return one.orderBy(F.xxhash64(F.col("_id")), "_id").limit(SAMPLE)
+    return bounded_sample(one, SAMPLE, "_id")
 
 
 def class_counts(rows: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdictframe.llm.shared import bounded_sample
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Hashed features, n-gram lengths, rows of the labelled table at most.
 DIMENSIONS = 4_096
@@ -70,7 +72,7 @@ def labelled_by_rules(pages: DataFrame, rules: list[Rule], url: str = "url") ->
     """A labelled URL table from the urls that a rule decides: (url, label), at most ``LABELLED`` by hash."""
     rows = with_parts(pages.select(url), url).withColumn("r", longest_rule(rules)).filter(F.col("r").isNotNull())
     rows = rows.select(F.col(url).alias("url"), (F.col("r.verdict") == "block").cast("int").alias("label")).distinct()
-    return rows.orderBy(F.xxhash64("url"), "url").limit(LABELLED)
+    return bounded_sample(rows, LABELLED, "url")
 
 
 def train(labelled: DataFrame) -> tuple[dict[int, float], float]:
@@ -78,7 +80,7 @@ def train(labelled: DataFrame) -> tuple[dict[int, float], float]:
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import CountVectorizerModel
 
-    rows = labelled.filter(F.col("label").isNotNull()).orderBy(F.xxhash64("url"), "url").limit(LABELLED)
+    rows = bounded_sample(labelled.filter(F.col("label").isNotNull()), LABELLED, "url")
     rows = with_parts(rows, "url").select(F.transform(features(), lambda x: x.cast("string")).alias("tokens"), F.col("label").cast("double").alias("label")).cache()
     seen = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(seen) < 2:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdictframe.llm.shared import stored
+from verdictframe.llm.shared import bounded_sample, stored
 
 SCALE = 256
 #: Cells, and the rows of a part of a cell.
@@ -179,7 +179,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", v
     """(query_id, rank, vec_id, score): the k best rows of ``vectors`` for every row of ``queries``."""
     spark = vectors.sparkSession
     rows = stored(whole_vectors(vectors, key, vector), "vectors")
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).select("v").distinct().orderBy("v").collect()
+    sample = bounded_sample(rows, PIVOTS, "id").select("v").distinct().orderBy("v").collect()
     empty = "query_id long, rank int, vec_id long, score long"
     if not sample:
         return spark.createDataFrame([], empty)
