@@ -21,7 +21,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of line runs go; a document of which no word is left goes, too."""
-    left = line_dedup.dedup_lines(docs)
+    left = line_dedup.dedup_lines(docs, min_words=line_dedup.EVERY_RUN)
     touched = F.col("lines_deleted") > 0
     left = left.filter(~touched | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:

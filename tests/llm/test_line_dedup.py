@@ -1,8 +1,10 @@
+import hashlib
 import random
 
 import pytest
 
-from verdictframe.llm import line_dedup
+import corpus_pipeline
+from verdictframe.llm import line_dedup, queries
 
 
 def brute(rows, words):
@@ -51,3 +53,17 @@ def test_long_text(docs_of):
     text = "\n".join(f"{line} {k}" for k in range(12_000))
     out = {r["doc_id"]: r["lines_deleted"] for r in line_dedup.dedup_lines(docs_of([(1, text), (2, text[: len(text) // 2])])).collect()}
     assert out[1] == 0 and out[2] >= 5_990
+
+
+def test_queries_count_every_run(spark, docs_of, tmp_path):
+    rng = random.Random(7)
+    lines = ["a", "b b", "c c c", "d", "", " ", "a line of six words here", *(f"only {k}" for k in range(20))]
+    rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 9)))) for i in range(60)]
+    rows.append((60, "b b\na"))
+    docs_of(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute(rows, 1)
+    got = {r["doc_id"]: r["text_sha256"] for r in queries.op5_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {d: hashlib.sha256(text.encode()).hexdigest() for d, text in want.items()}
+    stage = corpus_pipeline.without_repeated_lines(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    left = {r["doc_id"]: r["text"] for r in stage.collect()}
+    assert 60 not in left and all(text == want[d] for d, text in left.items())
