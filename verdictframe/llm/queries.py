@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdictframe.llm import (
-    byte_bpe, chat_repair, decontaminate, fill_in_middle, line_dedup, ngram_join, pii, token_counts, toxicity, url_filter,
-    voronoi_knn,
+    byte_bpe, chat_repair, decontaminate, fill_in_middle, line_dedup, ngram_join, pii, source_divergence, token_counts, toxicity,
+    url_filter, voronoi_knn,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,6 +148,39 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voronoi_knn.top_k(vectors, vectors.filter(F.col("vec_id") % QUERY_STEP == 0), NEIGHBOURS)
 
 
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+held AS (SELECT id, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS lang_n FROM held GROUP BY 1, 2 HAVING count(DISTINCT id) >= 30),
+groups AS (SELECT DISTINCT lang, source FROM d),
+counts AS (SELECT h.lang, h.source, h.term, count(*) AS n FROM held h JOIN kept k USING (lang, term) GROUP BY 1, 2, 3),
+size AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v, CAST(sum(lang_n) AS HUGEINT) AS lang_total FROM kept GROUP BY 1),
+total AS (SELECT lang, source, CAST(sum(n) AS HUGEINT) AS total FROM counts GROUP BY 1, 2),
+cells AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (coalesce(t.total, 0) + 5 * s.v) AS p,
+    1 + (1000000000::HUGEINT * (k.lang_n + 5)) // (s.lang_total + 5 * s.v) AS q
+  FROM groups g JOIN kept k USING (lang) JOIN size s USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+    LEFT JOIN total t ON t.lang = g.lang AND t.source = g.source),
+far AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM cells a JOIN cells b ON a.lang = b.lang AND a.term = b.term
+  WHERE a.source <> b.source GROUP BY 1, 2, 3),
+rows AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN far f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM cells WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM rows)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+
+@query("op11_source_divergence", OP11_SQL)
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source against its language and the other sources."""
+    return source_divergence.audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
 OP13_SQL = r"""
 WITH hashed AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
 drawn AS (SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS w,
