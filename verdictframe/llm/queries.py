@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from verdictframe.llm import (
     byte_bpe, chat_repair, decontaminate, fill_in_middle, line_dedup, ngram_join, pii, source_divergence, token_counts, toxicity,
-    url_filter, voronoi_knn,
+    url_filter, voronoi_knn, warc,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,6 +181,28 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
 
 
+OP12_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+d AS (SELECT *, strlen(html) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first_id FROM d),
+k AS (SELECT *, regexp_extract(url, '^[^:/?#]*://([^/?#]*)([^#]*)', ['authority', 'rest']) AS x FROM f),
+u AS (SELECT *, CASE WHEN NOT regexp_matches(url, '^[^:/?#]*://') THEN lower(url) ELSE
+  array_to_string(list_reverse(string_split(regexp_replace(regexp_replace(lower(x.authority), '^.*@', ''), ':[0-9]*$', ''), '.')), ',')
+  || ')' || CASE WHEN x.rest = '' THEN '/' ELSE lower(x.rest) END END AS urlkey FROM k)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first_id <> page_id THEN first_id END AS refers_to,
+  urlkey, CAST(row_number() OVER (PARTITION BY urlkey ORDER BY page_id % 100000000, page_id) AS BIGINT) AS capture_rank
+FROM u
+"""
+
+
+@query("op12_warc", OP12_SQL)
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a record of an archive, read back, with its rank in the history of its address."""
+    records = warc.archived(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "capture_rank")
+
+
 OP13_SQL = r"""
 WITH hashed AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
 drawn AS (SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS w,
