@@ -75,7 +75,7 @@ def test_full_blocks_become_runs():
     text = " ".join(made_rows(3)[k][2] for k in range(100)).encode()
     data = np.frombuffer(text, dtype=np.uint8)
     block.add_texts(data, np.array([0, len(data) // 2, len(data)]), np.array([block.group("en", "a"), block.group("en", "b")]))
-    row = list(block.run(7))[0].to_pylist()
+    row = [r for part in block.run(7) for r in part.to_pylist()]
     keys = [(r["shard"], t) for r in row for t in r["terms"]]
     assert keys == sorted(keys) and len(keys) == len(set(keys))
     assert all(r["run"] == 7 and r["first"] == r["terms"][0] and sum(r["sizes"]) == len(r["codes"]) for r in row)

@@ -46,9 +46,11 @@ SCALE = 1_000_000_000
 TOP = 50
 
 #: Bytes of postings a task holds before it writes a run.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 #: Terms, and postings, of one row of a run.
-CHUNK, CHUNK_POSTINGS = 1024, 1 << 16
+CHUNK, CHUNK_POSTINGS = 1024, 1 << 13
+#: Rows of a run handed over at once.
+ROWS = 64
 #: Runs merged at once.
 FAN_IN = 256
 #: Sources in a block of the pair corrections, and about the groups whose names a merging task remembers.
@@ -171,9 +173,11 @@ class Block:
             rank[order] = np.arange(len(order))
             place = np.argsort(rank[term] * len(self.names) + code, kind="stable")
             sizes = np.bincount(rank[term], minlength=len(order))
-            yield chunk_rows(
+            rows = chunk_rows(
                 shard[order], number, terms.take(pa.array(order)), sizes, list(self.names), code[place], n[place], docs[place]
             )
+            for k in range(0, rows.num_rows, ROWS):
+                yield rows.slice(k, ROWS)
         self.clear()
 
 
