@@ -36,10 +36,10 @@ FEW = 200
 SOLVED = 8_192
 #: Slots, as a power of two, of the table of checked token pairs.
 SEEN_BITS = 20
-#: Pieces a task remembers before it forgets them all.
-REMEMBERED = 1_000_000
+#: Pieces a task remembers before it forgets them all, some 200 bytes each.
+REMEMBERED = 250_000
 #: Characters of text split and encoded at once.
-AT_ONCE = 2_000_000
+AT_ONCE = 500_000
 
 
 def default_vocabulary() -> str:

@@ -6,8 +6,9 @@ itself, in blocks of ``BLOCK`` segments with the largest impact of each block. E
 document (``2 * SEGMENT`` words, half overlapping the next) is a query. A passage only
 goes on to a block whose bounds add up to the threshold; there, WAND with
 block-max checks scores segments in order and skips what cannot reach it. A hit counts when the passage's
-neighbourhood holds the item: five-word shingles of the whole, words of question and of answer
-(the last sentence; the whole item where it is one sentence), each ``OVERLAP`` or more.
+neighbourhood holds the item's question and its answer (the last sentence; the whole item where it is one sentence):
+``OVERLAP`` of the different words of each, of short ones all but one, and against chance ``ORDER`` of
+the item's pairs of following words. So items with a few words changed are found, too.
 
 The index is cut into shards of ``SHARD`` segments, the bound of what a task gets; documents
 are read once per shard. Words are runs of letters and digits, lower case.
@@ -34,12 +35,15 @@ from verdictframe.llm import textops
 SEGMENT = 32
 BLOCK = 8
 SHARD = 20_000
+#: (word, block) pairs whose bounds are added up at once.
+PAIRS_AT_ONCE = 500_000
 K1, B = 1.2, 0.75
 #: Share of a segment's own score that a passage must reach.
 THRESHOLD = 0.6
 #: Share of an item that must be found again.
 OVERLAP = 0.8
-SHINGLE = 5
+#: Share of its pairs of following words.
+ORDER = 0.5
 #: Share of the threshold that the most frequent terms may hold together in any segment.
 COMMON = 0.25
 
@@ -179,6 +183,28 @@ class Index:
         base = np.concatenate([[0], np.cumsum(np.diff(bounds) // SEGMENT + 2)])
         first = base[doc] + half
         count = self.block_first[t + 1] - self.block_first[t]
+        kept = []
+        held = np.cumsum(count)
+        begin = 0
+        while begin < len(t):
+            # whole halves, as many as make PAIRS_AT_ONCE pairs; the half before is read again for the passage on the cut
+            done = held[begin - 1] if begin else 0
+            stop = int(np.searchsorted(held, done + PAIRS_AT_ONCE, side="right"))
+            stop = int(np.searchsorted(first, first[max(stop - 1, begin)], side="right"))
+            again = int(np.searchsorted(first, first[begin] - 1))
+            high = int(first[stop - 1])
+            behind = stop == len(t) or first[stop] > high + 1  # nothing more comes for the passage behind
+            kept.append(self._bounded(first[again:stop], t[again:stop], int(first[begin]), high + behind))
+            begin = stop
+        passage, block = (np.concatenate(c) for c in zip(*kept)) if kept else (np.zeros(0, dtype=np.int64),) * 2
+        doc = np.searchsorted(base, passage - 1, side="right") - 1
+        # the passage before a document's first half holds a part of its first passage only
+        real = passage - 1 >= base[np.maximum(doc, 0)]
+        return doc[real], (passage - 1 - base[doc])[real], block[real]
+
+    def _bounded(self, first: np.ndarray, t: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """(passage, block) that reach the bound, of the passages low .. high."""
+        count = self.block_first[t + 1] - self.block_first[t]
         row = np.repeat(np.arange(len(t)), count)
         entry = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.block_first[t], count)
         blocks = int(self.block_no.max()) + 1 if len(self.block_no) else 1
@@ -188,10 +214,8 @@ class Index:
         bound = np.bincount(back, weights=np.tile(self.block_max[entry], 2), minlength=len(keys))
         good = keys[bound >= THRESHOLD - COMMON - 1e-9]
         passage, block = good // blocks, good % blocks
-        doc = np.searchsorted(base, passage - 1, side="right") - 1
-        # the passage before a document's first half holds a part of its first passage only
-        real = passage - 1 >= base[np.maximum(doc, 0)]
-        return doc[real], (passage - 1 - base[doc])[real], block[real]
+        own = (passage >= low) & (passage <= high)
+        return passage[own], block[own]
 
     def wand(self, terms: np.ndarray, blocks: np.ndarray) -> list[tuple[int, float]]:
         """Segments of the blocks that the terms give ``THRESHOLD`` or more; document-at-a-time."""
@@ -230,13 +254,19 @@ class Index:
                     found.append((pivot, score))
         return found
 
-    def overlap(self, item: int, words: np.ndarray) -> float:
-        """Smallest of the three shares of the item found in the words."""
+    def overlap(self, item: int, words: np.ndarray) -> float | None:
+        """The smaller share of question and answer found in the words; None if they do not hold the item."""
         _, whole, question, answer = self.items[item]
-        mine = np.unique(words)
-        shares = [np.isin(textops.shingles(whole, SHINGLE), textops.shingles(words, min(SHINGLE, len(whole)))).mean()]
-        shares += [np.isin(np.unique(p), mine).mean() for p in (question, answer)]
-        return float(min(shares))
+        if np.isin(textops.shingles(whole, 2), textops.shingles(words, min(2, len(whole)))).mean() < ORDER:
+            return None
+        mine, shares = np.unique(words), []
+        for part in (question, answer):
+            part = np.unique(part)
+            missing = len(part) - int(np.isin(part, mine).sum())
+            if missing > max(math.floor((1 - OVERLAP) * len(part) + 1e-9), min(1, len(part) - 1)):
+                return None
+            shares.append(1 - missing / len(part))
+        return min(shares)
 
     def matches(self, words: np.ndarray, bounds: np.ndarray) -> dict[int, dict[int, tuple[float, float, int]]]:
         """Per document: item -> (overlap, score, first word of the passage)."""
@@ -256,7 +286,7 @@ class Index:
                 size = len(self.items[item][1])
                 near = words[max(start - size, int(bounds[d])) : min(stop + size, int(bounds[d + 1]))]
                 share = self.overlap(item, near)
-                if share >= OVERLAP - 1e-9:
+                if share is not None:
                     best = out.setdefault(d, {})
                     place = start - int(bounds[d])
                     if item not in best or (score, -place) > (best[item][1], -best[item][2]):
@@ -266,7 +296,8 @@ class Index:
 
 def build_index(items: DataFrame, key: str = "item_id", text: str = "text") -> list[Index]:
     """The shards of the index; statistics are gathered over all items, a shard is collected at its bounded size."""
-    scored = impacts(postings(items, key, text).cache()).cache()
+    found = postings(items, key, text).cache()
+    scored = impacts(found).cache()
     shards = shard_count(scored.select("item", "same", "part").distinct().count())
     texts = items.select(F.col(key).alias("item"), F.xxhash64(text).alias("same"), F.col(text).alias("text")).dropDuplicates(["item", "same"])
     out = []
@@ -277,6 +308,7 @@ def build_index(items: DataFrame, key: str = "item_id", text: str = "text") -> l
         out.append(Index(rows, sorted(((r["item"], r["same"], r["text"]) for r in mine if (r["item"], r["same"]) in used),
                                       key=lambda r: (r[0] is None, r[0] or 0, r[1]))))
     scored.unpersist()
+    found.unpersist()
     return out
 
 

@@ -129,8 +129,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         counts.unpersist()
         return weights, math.log((toxic + 0.5) / (clean + 0.5)) if clean + toxic else 0.0
     ratio = F.log((F.col("toxic") + 1) / F.lit(toxic + 2.0)) - F.log((F.col("clean") + 1) / F.lit(clean + 2.0))
+    # every partition sends FEATURES rows to the driver: few partitions of the bounded table
     best = (
-        counts.filter("bucket >= 0").withColumn("ratio", ratio)
+        counts.filter("bucket >= 0").withColumn("ratio", ratio).coalesce(4)
         .orderBy(F.desc(F.abs("ratio") * F.sqrt(F.col("toxic") + F.col("clean"))), "bucket").limit(FEATURES)
         .select("bucket", "ratio").collect()
     )
