@@ -12,15 +12,24 @@ from pyspark.sql import functions as F
 from verdictframe.llm import byte_bpe, decontaminate, line_dedup, ngram_join, toxicity
 from verdictframe.llm.shared import stored
 
+#: Bytes of rows that a Python worker gets at once; Spark's default is 64 MB, of which a stage on texts holds several copies.
+BATCH_BYTES = 4 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones, rejects go."""
+    bounded(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.classify(docs, labels).filter("predicted = 0").select(*docs.columns)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of line runs go; a document of which no word is left goes, too."""
+    bounded(spark)
     left = line_dedup.dedup_lines(docs, min_words=line_dedup.EVERY_RUN)
     touched = F.col("lines_deleted") > 0
     left = left.filter(~touched | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
@@ -31,16 +40,19 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones stays."""
+    bounded(spark)
     return ngram_join.representatives(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    bounded(spark)
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
+    bounded(spark)
     return byte_bpe.encode_documents(docs)
 
 
