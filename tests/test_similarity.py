@@ -4,9 +4,11 @@ import random
 from difflib import SequenceMatcher
 
 import numpy as np
-import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from verdictframe.functions import charsim
+from verdictframe.functions.gramindex import GramIndex
 from verdictframe.operators import enrichment, similarity
 
 
@@ -144,7 +146,7 @@ def test_resource_matching_equals_brute_force(spark, with_text):
         resources, "rid bigint, source string, title string, votes bigint, answer_count bigint, "
         "tags array<string>, topics array<string>, language string, repo string")
     if with_text:
-        got = enrichment.match_resources_by_text(q, r, 5, question_rows=6, resource_rows=20)
+        got = enrichment.match_resources_by_text(q, r, 5, first_read=8)
     else:
         got = enrichment.match_resources(q, r, 5)
     rows = {}
@@ -164,7 +166,7 @@ def test_issue_matching_equals_brute_force(spark):
     q = spark.createDataFrame(questions, "uid bigint, category string, instruction string")
     s = spark.createDataFrame(issues, "rid bigint, category string, instruction string")
     got = {}
-    for row in enrichment.match_issues(q, s, 3, question_rows=5, issue_rows=17).orderBy("uid", "rank").collect():
+    for row in enrichment.match_issues(q, s, 3, question_bytes=2000, index_rows=7).orderBy("uid", "rank").collect():
         got.setdefault(row["uid"], []).append((row["rid"], row["score"]))
     for uid, category, instruction in questions:
         scored = []
@@ -177,14 +179,58 @@ def test_issue_matching_equals_brute_force(spark):
         assert [r for r, _ in got[uid]] == [r for *_, r in best]
 
 
-def test_match_bound_is_never_too_small():
+def test_matching_characters_equal_the_definition():
+    """Against the standard library's matcher, with and without popular characters."""
+    rng = random.Random(1)
+    alphabets = ["ab", "abcdefgh é", "abcdefghijklmnopqrstuvwxyz .,0123"]
+    for trial in range(300):
+        letters = alphabets[trial % 3]
+        a = "".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 20, 100, 200])))
+        b = ["".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 5, 30, 199, 200, 210, 260]))) for _ in range(6)]
+        b[0] = (a[: len(a) // 2] + b[0])[:230]
+        want = [SequenceMatcher(None, a, t).ratio() if a and t else 0.0 for t in b]
+        assert charsim.ratios(a, b).tolist() == want
+    long = ["xy" * 40_000, "x" * 70_000 + "yx"]
+    assert charsim.ratios("xyx", long).tolist() == [SequenceMatcher(None, "xyx", t).ratio() for t in long]
+
+
+def test_bounds_of_the_lists_are_never_too_small():
     rng = random.Random(9)
-    alphabet = "etaoinshrdlu cmfwyp"
-    left = ["".join(rng.choice(alphabet) for _ in range(200)) for _ in range(12)] + [text(rng, 60)[:200]]
-    right = ["".join(rng.choice(alphabet) for _ in range(200)) for _ in range(40)] + [text(rng, 60)[:200], left[0], "short"]
-    bound = enrichment._matched_bound(left, right)
-    for i, a in enumerate(left):
-        limits = bound(i)
-        for j, b in enumerate(right):
-            matched = sum(m.size for m in SequenceMatcher(None, a, b).get_matching_blocks())
-            assert matched <= limits[j]
+    for trial in range(60):
+        letters = "etaoinshrdlu cmfwyp" if trial % 2 else "abcdefgh"
+        b = ["".join(rng.choice(letters) for _ in range(rng.choice([0, 5, 150, 200, 230, 400]))) for _ in range(20)]
+        a = "".join(rng.choice(letters) for _ in range(rng.choice([0, 3, 100, 200, 300])))
+        b[0], b[1] = (a * 3)[:230], b[2][:50] + a[:100] + b[3][:100]
+        index, codes = GramIndex(b), charsim.codes_of([a])[0]
+        found = index.matched(codes, np.array([0, len(codes)]), np.zeros(len(b), dtype=np.int64), np.arange(len(b)))
+        assert found.tolist() == [sum(m.size for m in SequenceMatcher(None, a, t).get_matching_blocks()) for t in b]
+        assert (index.bounds_of(codes) >= found).all()
+        flat, bounds = charsim.codes_of(b)
+        assert (charsim.shared(codes, np.array([0, len(codes)]), np.zeros(len(b), dtype=np.int64), flat, bounds) >= found).all()
+
+
+def test_tried_pairs_grow_far_slower_than_all_pairs(spark):
+    from verdictframe.plans.enrichment import issue_table
+    from verdictframe.sources.views import view
+
+    tried, pairs = [], []
+    for sf in ("0.01", "0.1"):
+        questions, issues = view(spark, f"/root/testdata/sf{sf}", "questions"), issue_table(spark, f"/root/testdata/sf{sf}")
+        count = spark.sparkContext.accumulator(0)
+        assert enrichment.match_issues(questions, issues, tried=count).count() == 3 * questions.count()
+        tried.append(count.value)
+        pairs.append(questions.count() * issues.count())
+    assert tried[1] < 0.05 * pairs[1] and tried[1] / tried[0] < pairs[1] / pairs[0] / 2, (tried, pairs)
+
+
+def test_resource_lists_are_read_in_part(spark):
+    from verdictframe.plans.enrichment import resources
+    from verdictframe.sources.views import view
+
+    sf = "/root/testdata/sf0.1"
+    asked, table = view(spark, sf, "questions"), resources(spark, sf)
+    top = enrichment.match_resources_by_text(asked, table)
+    floors = top.filter("rank = 5").select("uid", F.col("score").alias("floor"))
+    asked = enrichment.question_signatures(asked).join(floors, "uid").withColumn("q_text", F.lit(""))
+    read = enrichment.resource_candidates(asked, enrichment.resource_features(table)).count()
+    assert read < 0.1 * asked.count() * table.count()

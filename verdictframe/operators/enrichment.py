@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
-from difflib import SequenceMatcher
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.accumulators import Accumulator
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from verdictframe.functions import charsim
 from verdictframe.functions import keywords as kw
+from verdictframe.functions.gramindex import PAIRS, GramIndex, best_texts
+from verdictframe.session import truncate
 
 # Weights of the relevance score per source.
 SOURCES = ["stackoverflow", "official_docs", "github_repo"]
@@ -98,10 +101,12 @@ def match_resources(questions: DataFrame, resources: DataFrame, k: int = 5) -> D
     side is crossed with the other.
     """
     signed = question_signatures(questions).filter(F.size("q_keywords") > 0)
+    return _best_without_text(signed, resource_features(resources), k)
+
+
+def _best_without_text(signed: DataFrame, features: DataFrame, k: int) -> DataFrame:
     signatures = signed.select("q_keywords", "q_language").distinct()
-    best = _top(
-        resource_features(resources).drop("text"), ["source", "r_keywords", "langs"], "quality", k, "_class"
-    ).drop("_class")
+    best = _top(features.drop("text"), ["source", "r_keywords", "langs"], "quality", k, "_class").drop("_class")
     by_word = signatures.withColumn("word", F.explode("q_keywords")).join(
         best.withColumn("word", F.explode("r_keywords")), "word"
     ).drop("word")
@@ -122,186 +127,177 @@ def match_resources(questions: DataFrame, resources: DataFrame, k: int = 5) -> D
 
 # -------------------------------------------------------- character similarity
 
-def _histograms(texts: list[str], size: int, known: dict[str, int]) -> np.ndarray:
-    """Counts of the known grams per text, one row per gram."""
-    out = np.zeros((len(known), len(texts)), dtype=np.int16)
-    for column, text in enumerate(texts):
-        for gram, n in Counter(text[i:i + size] for i in range(len(text) - size + 1)).items():
-            if gram in known:
-                out[known[gram], column] = n
-    return out
-
-
-def _matched_bound(left: list[str], right: list[str]):
-    """Function of a left row: upper bounds on its matching characters.
-
-    They never exceed the shared characters. A right text of 200 characters or
-    more is indexed without its popular characters (over 1% + 1): every matching
-    block then holds a rare shared character, or is one block at the start of a
-    gap between those. With s rare ones shared there are at most 2 s + 1
-    blocks, and all but the first character of a block begin a shared pair.
-    """
-    def grams(size: int) -> tuple[np.ndarray, np.ndarray]:
-        names = sorted({t[i:i + size] for t in left for i in range(len(t) - size + 1)})
-        known = {g: i for i, g in enumerate(names)}
-        return _histograms(left, size, known), _histograms(right, size, known)
-
-    lengths = np.array([len(t) for t in right])
-    long = lengths >= 200
-    chars_left, chars_right = grams(1)
-    rare_right = np.where(chars_right > lengths // 100 + 1, 0, chars_right)
-    pairs_left, pairs_right = grams(2) if long.any() else (None, None)
-
-    def shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        used = np.nonzero(a)[0]
-        return np.minimum(a[used, None], b[used]).sum(axis=0)
-
-    def bound(row: int) -> np.ndarray:
-        total = shared(chars_left[:, row], chars_right)
-        if pairs_left is None:
-            return total
-        rare = shared(chars_left[:, row], rare_right)
-        blocks = shared(pairs_left[:, row], pairs_right) + 2 * rare + 1
-        return np.where(long, np.minimum(total, blocks), total)
-
-    return bound
-
-
-def best_by_text(
-    left: pd.DataFrame, right: pd.DataFrame, parts, k: int, positive: bool = True
-) -> pd.DataFrame:
-    """k best right rows per left row by ``fixed + factor * ratio``, exactly.
-
-    ``parts(left row, right)`` gives fixed, factor and the order of equal scores
-    as arrays over the right rows; ``positive`` leaves out scores of 0.
-    A bound on the matching characters bounds the ratio, see :func:`_matched_bound`.
-    Pairs are tried in order of that bound until it cannot reach the k-th best
-    score found; ``floor`` is a score the left row is known to reach elsewhere.
-    """
-    texts = right["text"].tolist()
-    right_len = np.array([len(t) for t in texts])
-    bounds = _matched_bound(left["text"].tolist(), texts)
-    # The order of the two texts matters; the index of each right text is kept.
-    matchers: dict[str, SequenceMatcher] = {}
-
-    def similarity(text: str, other: str) -> float:
-        if not text or not other:
-            return 0.0
-        if other not in matchers:
-            matchers[other] = SequenceMatcher(None, "", other)
-        matchers[other].set_seq1(text)
-        return matchers[other].ratio()
-
-    rows = []
-    for i, (uid, text, floor) in enumerate(zip(left["uid"], left["text"], left["floor"])):
-        bound = 2.0 * bounds(i) / np.maximum(right_len + len(text), 1)
-        known: dict[str, float] = {}
-        fixed, factor, order = parts(left.iloc[i], right)
-        reach = fixed + factor * bound
-        found: list[tuple[float, int, int]] = []
-        for j in np.lexsort((order, -reach)):
-            limit = max(floor, found[-1][0] if len(found) == k else -math.inf)
-            if reach[j] < limit - 1e-9 or (positive and reach[j] <= 0):
-                break
-            if texts[j] not in known:
-                known[texts[j]] = similarity(text, texts[j])
-            score = float(fixed[j] + factor[j] * known[texts[j]])
-            if score > 0 or not positive:
-                found = sorted([*found, (score, order[j], j)], key=lambda f: (-f[0], f[1]))[:k]
-        rows += [(uid, right["rid"].iloc[j], score, int(position)) for score, position, j in found]
-    return pd.DataFrame(rows, columns=["uid", "rid", "score", "order"])
-
-
-def _tiles(df: DataFrame, key: str, rows: int, name: str, least: int = 1) -> tuple[DataFrame, int]:
-    """At most ``rows`` rows per tile, and ``least`` tiles where there are rows for it."""
-    size = df.count()
-    count = max(1, math.ceil(size / rows), min(size, least))
-    return df.withColumn(name, F.pmod(F.xxhash64(key), F.lit(count)).cast("int")), count
-
-
-def _tiled_top(left: DataFrame, right: DataFrame, fit, k: int, left_rows: int, right_rows: int) -> DataFrame:
-    """Top-k over all pairs of bounded tiles; a tile pair emits k rows per left row."""
-    cores = left.sparkSession.sparkContext.defaultParallelism
-    left, n_left = _tiles(left, "uid", left_rows, "lt", 2 * cores)
-    right, n_right = _tiles(right, "rid", right_rows, "rt")
-    parts = n_left * n_right
-    left = left.withColumn("rt", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))))
-    right = right.withColumn("lt", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))))
-    # A fixed partition count: the work of a tile pair is far above its bytes,
-    # which adaptive coalescing would go by.
-    width = min(parts, 20_000)
-    uid, rid = left.schema["uid"], right.schema["rid"]
-    schema = T.StructType([
-        T.StructField("uid", uid.dataType), T.StructField("rid", rid.dataType),
-        T.StructField("score", T.DoubleType()), T.StructField("order", T.LongType()),
-    ])
-    found = left.repartition(width, "lt", "rt").groupBy("lt", "rt").cogroup(
-        right.repartition(width, "lt", "rt").groupBy("lt", "rt")
-    ).applyInPandas(fit, schema)
-    best = Window.partitionBy("uid").orderBy(F.desc("score"), "order")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).drop("order")
-
-
-def match_resources_by_text(
-    questions: DataFrame, resources: DataFrame, k: int = 5,
-    question_rows: int = 500, resource_rows: int = 8_000,
-) -> DataFrame:
-    """Top-k resources per question by the full score, text similarity included.
-
-    The k-th best score without the text term is a floor every question already
-    reaches, so most pairs fall to the character bound untried.
-    """
-    floors = match_resources(questions, resources, k).filter(F.col("rank") == k).select(
-        "uid", F.col("score").alias("floor")
-    )
-    left = question_signatures(questions).filter(F.size("q_keywords") > 0).join(
-        floors, "uid", "left"
-    ).select(
-        "uid", F.substring(F.lower("instruction"), 1, TITLE_CHARS).alias("text"),
-        "q_keywords", "q_language", F.coalesce("floor", F.lit(0.0)).alias("floor"),
-    )
-    right = resource_features(resources)
-
-    def parts(question, part: pd.DataFrame):
-        words = set(question["q_keywords"])
-        hits = np.array([len(words.intersection(r)) for r in part["r_keywords"]]) / len(words)
-        bonus = np.array([question["q_language"] in langs for langs in part["langs"]])
-        own = hits * part["source"].map(KEYWORD_WEIGHT).to_numpy()
-        fixed = own + part["quality"].to_numpy() + LANGUAGE_WEIGHT * bonus
-        return fixed, part["source"].map(TEXT_WEIGHT).to_numpy(), part["rid"].to_numpy()
+#: Bytes of questions searched at once, and rows of one index.
+QUESTION_BYTES, INDEX_ROWS = 8 << 20, 20_000
+#: Texts per index and question that are tried for a first k-th best score, and rows to look for them in, at the least.
+SEEDS, SEED_ROWS = 6, 1_000
 
-    def fit(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return best_by_text(a, b, parts, k)
 
-    return _tiled_top(left, right, fit, k, question_rows, resource_rows)
+def _blocks(rows: Iterator[Row], size: int) -> Iterator[list[Row]]:
+    """Rows (uid, category, text) in blocks of about ``size`` bytes."""
+    held, total = [], 0
+    for row in rows:
+        if held and total >= size:
+            yield held
+            held, total = [], 0
+        held.append(row)
+        total += 200 + 4 * len(row["text"] or "")
+    if held:
+        yield held
 
 
 def match_issues(
-    questions: DataFrame, issues: DataFrame, k: int = 3,
-    question_rows: int = 500, issue_rows: int = 8_000,
+    questions: DataFrame, issues: DataFrame, k: int = 3, question_bytes: int = QUESTION_BYTES, index_rows: int = INDEX_ROWS,
+    tried: Accumulator | None = None,
 ) -> DataFrame:
     """Top-k issues per question by text similarity, own category weighted up.
 
-    Equal scores keep the own category first, then the order of the issues.
+    Equal scores keep the own category first, then the order of the issues. The issues stay where they are: each task builds
+    inverted lists of grams over its own ones, and the questions come to it in broadcast blocks of a fixed size. A first pass tries the
+    few most likely issues of a share of each index, which gives a score that the k-th best one reaches at least; in the second the
+    lists of all issues leave only what can reach it. ``tried`` counts the ratios computed.
     """
-    left = questions.select(
-        "uid", "category", F.substring(F.lower("instruction"), 1, ISSUE_CHARS).alias("text"),
-        F.lit(0.0).alias("floor"),
-    )
-    right = issues.select(
-        "rid", "category", F.substring(F.lower("instruction"), 1, ISSUE_CHARS).alias("text")
+    spark = questions.sparkSession
+    prefix = F.substring(F.lower(F.coalesce("instruction", F.lit(""))), 1, ISSUE_CHARS).alias("text")
+    right = issues.select(F.col("rid").cast("long").alias("rid"), "category", prefix)
+    count = right.count()
+    parts = max(math.ceil(count / index_rows), spark.sparkContext.defaultParallelism)
+    right = truncate(right.repartition(parts, "rid"))
+    few = right.filter(F.pmod(F.xxhash64("rid", F.lit("seeds")), F.lit(min(max(count // SEED_ROWS, 1), 16))) == 0)
+    left = questions.select("uid", "category", prefix)
+    schema = T.StructType([T.StructField("place", T.LongType()), T.StructField("uid", left.schema["uid"].dataType)])
+    schema = schema.add("rid", "long").add("score", "double").add("order", "long")
+    best = Window.partitionBy("place", "uid").orderBy(F.desc("score"), "order")
+    found = None
+    for block in _blocks(left.toLocalIterator(), question_bytes):
+        asked = spark.sparkContext.broadcast([(n, r["uid"], r["category"], r["text"]) for n, r in enumerate(block)])
+
+        def search(where: DataFrame, floors: dict[int, float], at_most: int | None, asked=asked) -> DataFrame:
+            def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for part in _slices(batches, index_rows):
+                    index = GramIndex(part["text"].tolist())
+                    rid, category = part["rid"].to_numpy(), part["category"].to_numpy()
+                    none, rows = np.zeros(len(part)), []
+
+                    def weights(n, none=none, rid=rid, category=category):
+                        same = category == asked.value[n][2]
+                        return none, np.where(same, SAME_CATEGORY, OTHER_CATEGORY), rid + np.where(same, 0, 2**62)
+
+                    texts = [text for *_, text in asked.value]
+                    known = [floors.get(n, 0.0) for n in range(len(texts))]
+                    for n, hits, count in best_texts(index, texts, weights, known, k, at_most):
+                        rows += [(n, asked.value[n][1], int(rid[row]), score, order) for score, order, row in hits]
+                        if tried is not None:
+                            tried.add(count)
+                    yield pd.DataFrame(rows, columns=["place", "uid", "rid", "score", "order"])
+
+            hits = where.mapInPandas(run, schema)
+            return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+        seeds = search(few, {}, k + SEEDS).filter(F.col("rank") == k).select("place", "score").collect()
+        top = truncate(search(right, {r["place"]: r["score"] for r in seeds}, None))
+        asked.unpersist()
+        found = top if found is None else found.unionByName(top)
+    if found is None:
+        found = spark.createDataFrame([], schema).withColumn("rank", F.lit(0))
+    return found.select("uid", "rid", "score", "rank")
+
+
+def _slices(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """The rows of a task, ``rows`` at the most together."""
+    held, size = [], 0
+    for batch in batches:
+        while len(batch):
+            part, batch = batch.iloc[: rows - size], batch.iloc[rows - size :]
+            held.append(part)
+            size += len(part)
+            if size == rows:
+                yield pd.concat(held, ignore_index=True)
+                held, size = [], 0
+    if size:
+        yield pd.concat(held, ignore_index=True)
+
+
+#: Resources per signature that are read for a first k-th best score.
+FIRST_READ = 32
+
+
+def _text_scores(pairs: DataFrame) -> DataFrame:
+    """(uid, rid, source, score) of pairs (uid, q_text, rid, source, text, fixed, floor) that can reach their floor."""
+    spark = pairs.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    columns = ["uid", "q_text", "rid", "source", "text", "fixed", "floor"]
+    # a question of very many candidates is dealt to several tasks; the work of a pair is far above its bytes
+    dealt = pairs.select(*columns).repartition(parts, "uid", F.pmod(F.xxhash64("rid"), F.lit(8)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for first in range(0, len(batch), PAIRS):
+                part = batch.iloc[first : first + PAIRS]
+                which, texts = pd.factorize(part["q_text"])
+                a, a_bounds = charsim.codes_of(list(texts))
+                b, bounds = charsim.codes_of(part["text"].tolist())
+                length = np.maximum(np.diff(a_bounds)[which] + np.diff(bounds), 1)
+                fixed, factor = part["fixed"].to_numpy(), part["source"].map(TEXT_WEIGHT).to_numpy()
+                reach = fixed + factor * 2.0 * charsim.shared(a, a_bounds, which, b, bounds) / length
+                able = np.flatnonzero(reach >= part["floor"].to_numpy() - 1e-9)
+                part, which = part.iloc[able], which[able]
+                b, bounds = charsim.codes_of(part["text"].tolist())
+                found = charsim.matched(a, a_bounds, which, b, bounds, charsim.beginners(b, bounds))
+                ratio = 2.0 * found / length[able]
+                yield part[["uid", "rid", "source"]].assign(score=fixed[able] + factor[able] * ratio)
+
+    kinds = [f"{c} {pairs.schema[c].dataType.simpleString()}" for c in ("uid", "rid", "source")]
+    return dealt.mapInPandas(run, ", ".join([*kinds, "score double"])).filter("score > 0")
+
+
+def _fixed_score(hits: Column, language: Column) -> Column:
+    return hits * _by_source(KEYWORD_WEIGHT) + F.when(F.array_contains("langs", language), F.lit(LANGUAGE_WEIGHT)).otherwise(F.lit(0.0))
+
+
+def resource_candidates(asked: DataFrame, features: DataFrame) -> DataFrame:
+    """Pairs of questions (uid, q_text, q_keywords, q_language, floor) and resources whose score may reach the floor.
+
+    Resources are lists, one per source, keyword set and languages, ordered by quality. A signature of questions knows a list's
+    other points, so it reads a list only down to the quality that, with the full text weight, still makes its lowest
+    floor. Lists are cut by whole points of quality, the key of the join.
+    """
+    lists = ["source", "r_keywords", "langs"]
+    tops = features.groupBy(*lists).agg(F.max("quality").alias("top"))
+    signatures = asked.groupBy("q_keywords", "q_language").agg(F.min("floor").alias("lowest"))
+    wanted = signatures.withColumn("source", F.explode(F.array(*[F.lit(s) for s in SOURCES])))
+    opened = wanted.join(tops, "source")
+    hits = F.size(F.array_intersect("q_keywords", "r_keywords")) / F.size("q_keywords")
+    opened = opened.withColumn("rest", _fixed_score(hits, F.col("q_language")))
+    need = F.greatest(F.col("lowest") - F.col("rest") - _by_source(TEXT_WEIGHT) - 1e-9, F.lit(0.0))
+    opened = opened.withColumn("need", need).filter("top >= need").withColumn(
+        "point", F.explode(F.sequence(F.floor("need"), F.floor("top")))
     )
+    read = opened.join(features.withColumn("point", F.floor("quality")), [*lists, "point"]).filter("quality >= need")
+    read = read.select("q_keywords", "q_language", "rid", "source", "text", (F.col("rest") + F.col("quality")).alias("fixed"))
+    pairs = asked.join(read, ["q_keywords", "q_language"])
+    return pairs.filter(F.col("fixed") + _by_source(TEXT_WEIGHT) >= F.col("floor") - 1e-9)
 
-    def parts(question, part: pd.DataFrame):
-        same = part["category"].to_numpy() == question["category"]
-        factor = np.where(same, SAME_CATEGORY, OTHER_CATEGORY)
-        order = part["rid"].to_numpy() + np.where(same, 0, 2**62)
-        return np.zeros(len(part)), factor, order
 
-    def fit(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return best_by_text(a, b, parts, k, positive=False)
+def match_resources_by_text(questions: DataFrame, resources: DataFrame, k: int = 5, first_read: int = FIRST_READ) -> DataFrame:
+    """Top-k resources per question by the full score, text similarity included.
 
-    return _tiled_top(left, right, fit, k, question_rows, issue_rows)
+    A threshold search in two reads: the ``first_read`` best resources without the text term give a k-th score; then the
+    lists are read down to the entries that cannot beat it any more.
+    """
+    asked = truncate(question_signatures(questions).filter(F.size("q_keywords") > 0).select(
+        "uid", F.substring(F.lower("instruction"), 1, TITLE_CHARS).alias("q_text"), "q_keywords", "q_language"
+    ))
+    features = truncate(resource_features(resources))
+    first = _best_without_text(asked, features, first_read).select("uid", "rid", F.col("score").alias("fixed"))
+    pairs = first.join(asked, "uid").join(features.select("rid", "source", "text"), "rid").withColumn("floor", F.lit(0.0))
+    by_score = Window.partitionBy("uid").orderBy(F.desc("score"), "rid")
+    floors = _text_scores(pairs).withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") == k)
+    floors = truncate(floors.select("uid", F.col("score").alias("floor")))
+    asked = asked.join(floors, "uid", "left").fillna(0.0, ["floor"])
+    scored = _text_scores(resource_candidates(asked, features))
+    top = scored.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
+    return top.select("uid", "rid", "source", "score", "rank")
 
 
 # ------------------------------------------------------------ enriched prompts

@@ -8,6 +8,7 @@ from verdictframe.functions import keywords as kw
 from verdictframe.operators import battles, enrichment, quality
 from verdictframe.plans.code import q
 from verdictframe.plans.registry import query
+from verdictframe.plans.textratio import RATIO
 from verdictframe.sources.views import view
 
 
@@ -29,6 +30,13 @@ SIGNED = f"""signed AS (SELECT uid, category, instruction,
   {language_sql('lower(instruction)')} AS lang FROM questions)"""
 
 
+LANG_CASE = "CASE " + " ".join(f"WHEN {any_of('lower(repo)', w)} THEN {q(n)}" for n, w in kw.REPO_LANGUAGES.items()) + " ELSE 'general' END"
+TASKS = f"""tasks AS (SELECT 'github-' || replace(repo, '/', '-') || '-' || number AS uid, left(title || chr(10) || chr(10) || body, 400) AS instruction, category, repo, number, label_pos, author,
+  CASE WHEN {any_of('lower(labels)', kw.EASY_WORDS)} THEN 'easy' WHEN {any_of('lower(labels)', kw.HARD_WORDS)} THEN 'hard' ELSE 'medium' END AS difficulty,
+  {LANG_CASE} AS language, 'GitHub - ' || repo AS source_name, 'https://github.com/' || repo || '/issues/' || number AS source
+  FROM issues WHERE NOT is_pull_request AND body <> '')"""
+
+
 def resources(spark, sf):
     rows = view(spark, sf, "resources")
     return rows.withColumn("tags", F.array("tag")).withColumn("topics", F.array("tag")).withColumn(
@@ -66,9 +74,18 @@ def matched_resources(spark, sf):
     return out.select("uid", "rid", "source", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("matched_resources_by_text")
+# Pairs that the text term cannot lift to the fifth best score without it are left out.
+BY_TEXT = SCORED.replace("top AS (", "top_fixed AS (") + f""", weighed AS (SELECT s.uid, s.rid, s.score, CASE s.source WHEN 'github_repo' THEN 30 ELSE 20 END AS weight,
+   lower(left(q.instruction, 100)) AS a, lower(left(coalesce(r.title, ''), 100)) AS b FROM scored s JOIN questions q USING (uid) JOIN resources r USING (rid)),
+ able AS (SELECT w.* FROM weighed w LEFT JOIN (SELECT uid, score AS fifth FROM top_fixed WHERE rank = 5) f USING (uid) WHERE w.score + w.weight >= coalesce(fifth, 0)),
+ pairs AS (SELECT uid AS aid, a, rid AS bid, b FROM able WHERE a <> '' AND b <> ''), {RATIO},
+ full_score AS (SELECT w.uid, w.rid, w.score + w.weight * coalesce(t.ratio, 0) AS score FROM able w LEFT JOIN ratios t ON t.aid = w.uid AND t.bid = w.rid),
+ best AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, rid) AS rank FROM full_score WHERE score > 0)"""
+
+
+@query("matched_resources_by_text", f"WITH {BY_TEXT} SELECT uid, rid, round(score, 6) AS score, rank FROM best WHERE rank <= 5")
 def matched_resources_by_text(spark, sf):
-    """Full score with text similarity; checked by brute force in the tests."""
+    """Full score with text similarity."""
     out = enrichment.match_resources_by_text(view(spark, sf, "questions"), resources(spark, sf))
     return out.select("uid", "rid", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
@@ -81,14 +98,25 @@ def issue_table(spark, sf):
     )
 
 
-@query("related_issues")
+RELATED = f"""{TASKS}, pairs AS (SELECT q.uid AS aid, lower(left(q.instruction, 200)) AS a, t.number AS bid, lower(left(t.instruction, 200)) AS b
+  FROM questions q, tasks t WHERE q.instruction <> '' AND t.instruction <> ''), {RATIO},
+ judged AS (SELECT q.uid, t.number AS rid, q.category = t.category AS same, CASE WHEN q.category = t.category THEN 1.5::DOUBLE ELSE 0.5::DOUBLE END * coalesce(r.ratio, 0) AS score
+  FROM questions q CROSS JOIN tasks t LEFT JOIN ratios r ON r.aid = q.uid AND r.bid = t.number),
+ related AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, same DESC, rid) AS rank FROM judged) WHERE rank <= 3)"""
+
+
+@query("related_issues", f"WITH {RELATED} SELECT uid, rid, round(score, 6) AS score, rank FROM related")
 def related_issues(spark, sf):
-    """Category-weighted text similarity; checked by brute force in the tests."""
+    """Category-weighted text similarity."""
     out = enrichment.match_issues(view(spark, sf, "questions"), issue_table(spark, sf))
     return out.select("uid", "rid", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("issue_prompts")
+@query("issue_prompts", f"""WITH {RELATED}, listed AS (SELECT r.uid, string_agg(chr(10) || r.rank || '. **' || left(string_split(t.instruction, chr(10))[1], 80) || '**' || chr(10)
+  || '   - Source: ' || t.source_name || chr(10) || '   - Difficulty: ' || t.difficulty || chr(10) || '   - Language: ' || t.language || chr(10)
+  || '   - Link: ' || t.source || chr(10), '' ORDER BY r.rank) AS entries FROM related r JOIN tasks t ON t.number = r.rid GROUP BY r.uid)
+SELECT q.uid, q.category, q.instruction || coalesce(chr(10) || chr(10) || '---' || chr(10) || chr(10) || '**Related Real-World Examples from GitHub:**' || chr(10) || entries, '') AS enriched
+FROM questions q LEFT JOIN listed USING (uid)""")
 def issue_prompts(spark, sf):
     questions, issues = view(spark, sf, "questions"), issue_table(spark, sf)
     return enrichment.issue_prompts(questions, enrichment.match_issues(questions, issues), issues)
@@ -144,13 +172,6 @@ def enrichment_stats(spark, sf):
 
 # ------------------------------------------------------------------ collections
 
-LANG_CASE = "CASE " + " ".join(f"WHEN {any_of('lower(repo)', w)} THEN {q(n)}" for n, w in kw.REPO_LANGUAGES.items()) + " ELSE 'general' END"
-TASKS = f"""tasks AS (SELECT 'github-' || replace(repo, '/', '-') || '-' || number AS uid, left(title || chr(10) || chr(10) || body, 400) AS instruction, category, repo, number, label_pos, author,
-  CASE WHEN {any_of('lower(labels)', kw.EASY_WORDS)} THEN 'easy' WHEN {any_of('lower(labels)', kw.HARD_WORDS)} THEN 'hard' ELSE 'medium' END AS difficulty,
-  {LANG_CASE} AS language, 'GitHub - ' || repo AS source_name, 'https://github.com/' || repo || '/issues/' || number AS source
-  FROM issues WHERE NOT is_pull_request AND body <> '')"""
-
-
 def tasks(spark, sf):
     return enrichment.collected_issues(view(spark, sf, "issues"))
 
