@@ -7,6 +7,7 @@ import sys
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from verdictframe.functions import lexers
 from verdictframe.functions.predicates import squeeze
 
 # Fence pattern, low-priority tags, language prefixes, patterns.
@@ -28,12 +29,13 @@ ENVIRONMENTS = [
     "Python Runner", "Javascript Runner", "C Runner", "C++ Runner", "Java Runner",
     "Rust Runner", "Golang Runner",
 ]
-NPM_PATTERNS = [
-    r"""(?:import|require)\s*\(\s*['"](@?[\w-]+(?:/[\w-]+)*)['"]""",
-    r"""(?:import|from)\s+['"](@?[\w-]+(?:/[\w-]+)*)['"]""",
+PYTHON_IMPORT = r"(?m)(?:^|[;:])[ \t]*import[ \t]+([^\n;]+)"
+PYTHON_FROM = r"(?m)(?:^|[;:])[ \t]*from[ \t]+([A-Za-z_][\w.]*)[ \t]+import\b"
+VUE_TEMPLATE_PATTERNS = [
+    r"\bv-(if|else|for|bind|on|model|show|html|text)=",
+    r"@(?:click|change|input|submit|keyup|keydown)\s*=",
+    r":(?:class|style|src|href|value|disabled|checked)\s*=",
 ]
-PYTHON_IMPORT = r"(?m)^[ \t]*import[ \t]+([^#\n;]+)"
-PYTHON_FROM = r"(?m)^[ \t]*from[ \t]+([A-Za-z_][\w.]*)[ \t]+import\b"
 VUE_PATTERNS = [
     r"export\s+default\s+\{[\s\S]*?(components|props|emits|data|methods|computed|watch)\s*:",
     r"defineComponent\s*\(",
@@ -54,6 +56,9 @@ TYPESCRIPT_FORMS = [
     r"\)\s*:\s*(?:string|number|boolean|any|unknown|void|never|[A-Z]\w*)\b",
     r"\bimplements\s+\w+",
     r"\b(?:private|protected|public|readonly)\s+\w+",
+    r"\bdeclare\s+(?:const|let|var|function|class|module|namespace|global|enum)\b",
+    r"(?m)^\s*@[A-Za-z_]\w*(?:\([^()]*\))?\s*(?:export\s+)?(?:abstract\s+)?class\b",
+    r"\b(?:Array|Promise|Map|Set|Record|Partial|useState|useRef)<[\w\s,.<>\[\]|]+>",
 ]
 SCRIPT_URL = r"""(?i)<script[^>]*src="https?://([^"]+)"[^>]*>"""
 # Folders under which each content network keeps its packages.
@@ -67,10 +72,24 @@ INLINE_PIP = (
     r"(?:(?:--upgrade|--user|--no-cache-dir|-U)\s+)*"
     r"([^-\s][\w\-\[\]<>=~.]+(?:\s+[^-\s][\w\-\[\]<>=~.]+)*)"
 )
+# A name that is no attribute, no import alias and no keyword of a call.
+SHORT_NAME = r"(?<![\w.])(?<!\bas\s{{1,8}}){name}\b(?!\s*=[^=].*[,)])"
 PLACEHOLDER = r"/api/placeholder/(\d+)/(\d+)"
 JAVA_CLASS = r"public\s+class\s+(\w+)"
 
-STDLIB = sorted(sys.stdlib_module_names)
+# Modules that Python dropped after 3.11, and those it got later: the list is that of 3.11 under any version.
+DROPPED = """aifc asynchat asyncore audioop cgi cgitb chunk crypt distutils imghdr imp lib2to3 mailcap msilib nis nntplib
+ ossaudiodev pipes smtpd sndhdr spwd sunau telnetlib uu xdrlib""".split()
+LATER = ["annotationlib", "compression", "pathlib._abc"]
+
+
+def standard_library() -> list[str]:
+    """Top-level modules that are no packages."""
+    later = {n for n in sys.stdlib_module_names if n in LATER or n.startswith("_")}
+    return sorted((set(sys.stdlib_module_names) - later) | set(DROPPED) | {"__future__"})
+
+
+STDLIB = standard_library()
 
 
 def _lit_array(values: list[str]) -> Column:
@@ -131,17 +150,14 @@ def matches_any(column: Column, patterns: list[str]) -> Column:
 
 # ------------------------------------------------------------------ packages
 
-def python_imports(code: Column) -> Column:
-    """Distinct top-level packages outside the standard library."""
-    lists = F.flatten(
-        F.transform(F.regexp_extract_all(code, F.lit(PYTHON_IMPORT), 1), lambda s: F.split(s, ","))
-    )
+def python_imports(code: Column, stdlib: list[str] = STDLIB) -> Column:
+    """Distinct top-level packages outside the standard library that code imports; comments and strings import nothing."""
+    bare = lexers.python_code_only(code)
+    lists = F.flatten(F.transform(F.regexp_extract_all(bare, F.lit(PYTHON_IMPORT), 1), lambda s: F.split(s, ",")))
     direct = F.transform(lists, lambda s: F.regexp_extract(s, r"^\s*(\w+)", 1))
-    source = F.transform(
-        F.regexp_extract_all(code, F.lit(PYTHON_FROM), 1), lambda s: F.split(s, r"\.")[0]
-    )
-    names = F.filter(F.array_union(direct, source), lambda s: s != "")
-    return F.array_except(names, _lit_array(STDLIB))
+    modules = F.concat(F.regexp_extract_all(bare, F.lit(PYTHON_FROM), 1), lexers.python_import_calls(code))
+    names = F.filter(F.array_union(direct, F.transform(modules, lambda s: F.split(s, r"\.")[0])), lambda s: s != "")
+    return F.array_except(names, _lit_array(stdlib))
 
 
 def npm_package(path: Column) -> Column:
@@ -151,14 +167,17 @@ def npm_package(path: Column) -> Column:
 
 
 def npm_imports(code: Column) -> Column:
-    """Distinct npm packages imported or required; relative paths do not match.
+    """Distinct npm packages that code imports; relative, absolute and aliased paths and URLs are none.
 
     A Vue single-file component is read from its first script section.
     """
     section = F.regexp_extract(code, r"(?s)<script.*?>(.*?)</script>", 1)
-    source = F.when(code.rlike(r"(?s)<script.*?>.*?</script>"), section).otherwise(code)
-    found = [F.regexp_extract_all(source, F.lit(p), 1) for p in NPM_PATTERNS]
-    return F.array_distinct(F.transform(F.concat(*found), npm_package))
+    source = F.when(code.contains("<script") & code.rlike(r"(?s)<script.*?>.*?</script>"), section).otherwise(code)
+    paths = F.filter(
+        lexers.script_modules(source),
+        lambda p: ~(p.startswith(".") | p.startswith("/") | p.startswith("@/") | p.contains("://")),
+    )
+    return F.array_distinct(F.transform(paths, npm_package))
 
 
 def _package_of(path: Column) -> Column:
@@ -221,13 +240,16 @@ def script_tag_packages(html: Column) -> Column:
     read like a script file, URL imports left out.
     """
 
+    none = F.array().cast("array<string>")
+
     def inline(script: Column) -> Column:
         modules = F.regexp_extract_all(script, F.lit(MODULE_URL), 1)
         local = npm_imports(F.regexp_replace(script, ANY_MODULE_URL, ""))
         return F.when(F.size(modules) > 0, modules).otherwise(local)
 
     scripts = F.regexp_extract_all(html, F.lit(INLINE_SCRIPT), 1)
-    return F.array_union(cdn_packages(html), F.flatten(F.transform(scripts, inline)))
+    found = F.array_union(cdn_packages(html), F.flatten(F.transform(scripts, inline)))
+    return F.when(F.lower(html).contains("<script"), found).otherwise(none)
 
 
 # A word may hold quoted parts with blanks; the quotes themselves go.
@@ -311,11 +333,11 @@ def without_inline_pip(code: Column) -> Column:
 def python_environment(code: Column, imports: Column, install: Column | None = None) -> Column:
     """Gradio or Streamlit by the short names, else by import, else the runner.
 
-    Of the names ``gr`` and ``st`` the one earlier in the text decides. The
-    optional install command is searched for package names.
+    Of the names ``gr`` and ``st`` the one earlier in the text decides; attributes, import aliases, keywords
+    of calls, comments and strings are no names. The optional install command is searched for package names.
     """
-    gr = F.regexp_instr(code, F.lit(r"\bgr\b"))
-    st = F.regexp_instr(code, F.lit(r"\bst\b"))
+    bare = lexers.python_code_only(code)
+    gr, st = (F.regexp_instr(bare, F.lit(SHORT_NAME.format(name=name))) for name in ("gr", "st"))
 
     def imported(name: str) -> Column:
         hit = F.array_contains(imports, name)
@@ -339,16 +361,17 @@ def script_environment(code: Column, imports: Column) -> Column:
         F.when(contains_any(code, ["<template>", "<script setup"]), "Vue")
         .when(react, "React")
         .when(vue, "Vue")
-        .when(code.rlike(JSX_ELEMENT), "React")
+        .when(lexers.script_code_only(code).rlike(JSX_ELEMENT), "React")
+        .when(F.exists(lexers.script_templates(code), lambda t: matches_any(t, VUE_TEMPLATE_PATTERNS)), "Vue")
         .when(matches_any(code, VUE_PATTERNS), "Vue")
         .otherwise("Javascript Runner")
     )
 
 
 def script_language(code: Column) -> Column:
-    """typescript where a typed form occurs, else javascript."""
+    """typescript where a typed form occurs outside comments and strings, else javascript."""
     tagged = contains_any(code, ['<script lang="ts">', '<script lang="typescript">'])
-    return F.when(tagged | matches_any(code, TYPESCRIPT_FORMS), "typescript").otherwise("javascript")
+    return F.when(tagged | matches_any(lexers.script_code_only(code), TYPESCRIPT_FORMS), "typescript").otherwise("javascript")
 
 
 def is_html_document(lang: Column, code: Column) -> Column:

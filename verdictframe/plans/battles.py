@@ -174,12 +174,16 @@ def union_of_models(spark, sf):
 
 
 @query("common_models", """
-SELECT model_a AS model FROM system_battles WHERE system = 'Human Votes'
-INTERSECT SELECT model_b FROM system_battles WHERE system = 'jA (with_execution)'""")
+(SELECT model_a AS model FROM system_battles WHERE system = 'Human Votes' UNION SELECT model_b FROM system_battles WHERE system = 'Human Votes')
+INTERSECT (SELECT model_a FROM system_battles WHERE system = 'jA (with_execution)' UNION SELECT model_b FROM system_battles WHERE system = 'jA (with_execution)')""")
 def common_models(spark, sf):
-    b = view(spark, sf, "system_battles")
-    left = b.filter("system = 'Human Votes'").select(F.col("model_a").alias("model"))
-    return left.intersect(b.filter("system = 'jA (with_execution)'").select("model_b"))
+    """Models that stand on either side of a battle in both systems."""
+    rows = view(spark, sf, "system_battles").select("system", F.explode(F.array("model_a", "model_b")).alias("model"))
+
+    def of(system: str):
+        return rows.filter(F.col("system") == system).select("model")
+
+    return of("Human Votes").intersect(of("jA (with_execution)"))
 
 
 @query("sessions_without_judgment", """

@@ -95,31 +95,54 @@ def code_dependencies(spark, sf):
 STDLIB_VALUES = ", ".join(f"({q(n)})" for n in cb.STDLIB)
 
 
-@query("python_package_usage", f"""WITH stdlib(name) AS (VALUES {STDLIB_VALUES}),
- line AS (SELECT uid, unnest(regexp_extract_all(answer, {q(cb.PYTHON_IMPORT)}, 1)) AS items FROM code_answers),
+def has_prefix(prefixes: list[str]) -> str:
+    return "(" + " OR ".join(f"starts_with(lang, {q(p)})" for p in prefixes) + ")"
+
+
+# The lexemes again, for an engine without look-around and possessive repeats.
+PYTHON_LEXEMES = q(r"""(?s:#[^\n\r]*|("")".*?\"\"\"|('')'.*?\'\'\'|(")(?:[^"\\\n]|\\.)*"|(')(?:[^'\\\n]|\\.)*')""")
+SCRIPT_LEXEMES = q(
+    r"""(?s://[^\n\r]*|/\*.*?\*/|\b(?:import|from)\s*["']([^"'\n\\]+)["']|\brequire\s*\(\s*["']([^"'\n\\]+)["']"""
+    r"""|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`)"""
+)
+SCRIPTS = cb.VUE_PREFIXES + cb.REACT_PREFIXES + cb.JS_PREFIXES + cb.TS_PREFIXES + cb.HTML_PREFIXES
+
+
+def main_blocks(spark, sf, prefixes: list[str]):
+    """The main blocks of the languages, one row per answer."""
+    rows = code_blocks_all_languages(spark, sf)
+    return rows.filter(cb.starts_with_any(F.col("block_lang"), prefixes))
+
+
+@query("python_package_usage", f"""WITH {main_block_sql('code_answers')}, stdlib(name) AS (VALUES {STDLIB_VALUES}),
+ bare AS (SELECT uid, regexp_replace(code, {PYTHON_LEXEMES}, {q(chr(92) + '1' + chr(92) + '2' + (chr(92) + '3') * 2 + (chr(92) + '4') * 2)}, 'g') AS code
+  FROM main WHERE {has_prefix(cb.PYTHON_PREFIXES)}),
+ line AS (SELECT uid, unnest(regexp_extract_all(code, {q(cb.PYTHON_IMPORT)}, 1)) AS items FROM bare),
  direct AS (SELECT uid, unnest(string_split(items, ',')) AS item FROM line),
  pk AS (SELECT uid, regexp_extract(item, {q(r'^\s*(\w+)')}, 1) AS package FROM direct
-  UNION SELECT uid, string_split(unnest(regexp_extract_all(answer, {q(cb.PYTHON_FROM)}, 1)), '.')[1] FROM code_answers)
+  UNION SELECT uid, string_split(unnest(regexp_extract_all(code, {q(cb.PYTHON_FROM)}, 1)), '.')[1] FROM bare)
 SELECT package, 'python' AS kind, count(*) AS n FROM pk WHERE package <> '' AND package NOT IN (SELECT name FROM stdlib) GROUP BY package""")
 def python_package_usage(spark, sf):
-    return jobs.package_usage(view(spark, sf, "code_answers"), cb.python_imports(F.col("answer")), "python")
+    rows = main_blocks(spark, sf, cb.PYTHON_PREFIXES)
+    return jobs.package_usage(rows, cb.python_imports(F.col("code")), "python")
 
 
-@query("npm_package_usage", f"""WITH src AS (SELECT uid, CASE WHEN regexp_matches(answer, '(?s)<script.*?>.*?</script>')
-   THEN regexp_extract(answer, '(?s)<script.*?>(.*?)</script>', 1) ELSE answer END AS code FROM code_answers),
- p AS ({' UNION ALL '.join(f"SELECT uid, unnest(regexp_extract_all(code, {q(x)}, 1)) AS path FROM src" for x in cb.NPM_PATTERNS)}),
+@query("npm_package_usage", f"""WITH {main_block_sql('code_answers')},
+ src AS (SELECT uid, CASE WHEN regexp_matches(code, '(?s)<script.*?>.*?</script>')
+   THEN regexp_extract(code, '(?s)<script.*?>(.*?)</script>', 1) ELSE code END AS code FROM main WHERE {has_prefix(SCRIPTS)}),
+ p AS (SELECT uid, unnest(list_concat(regexp_extract_all(code, {SCRIPT_LEXEMES}, 1), regexp_extract_all(code, {SCRIPT_LEXEMES}, 2))) AS path FROM src),
  n AS (SELECT DISTINCT uid, CASE WHEN path LIKE '@%' THEN array_to_string(string_split(path, '/')[1:2], '/')
-   ELSE string_split(path, '/')[1] END AS package FROM p)
+   ELSE string_split(path, '/')[1] END AS package FROM p WHERE path <> '' AND NOT (path LIKE '.%' OR path LIKE '/%' OR path LIKE '@/%' OR contains(path, '://')))
 SELECT package, 'npm' AS kind, count(*) AS n FROM n GROUP BY package""")
 def npm_package_usage(spark, sf):
-    return jobs.package_usage(view(spark, sf, "code_answers"), cb.npm_imports(F.col("answer")), "npm")
+    return jobs.package_usage(main_blocks(spark, sf, SCRIPTS), cb.npm_imports(F.col("code")), "npm")
 
 
-@query("script_tag_usage", """WITH n AS (SELECT doc_id, unnest(['vue', '@scope/kit@2', 'jquery-3', 'd3']) AS package FROM documents WHERE doc_id % 17 = 5)
+@query("script_tag_usage", """WITH n AS (SELECT doc_id, unnest(CASE doc_id % 17 WHEN 5 THEN ['vue', '@scope/kit@2', 'jquery-3', 'd3'] WHEN 2 THEN ['axios'] ELSE [] END) AS package FROM documents)
 SELECT package, 'npm' AS kind, count(*) AS n FROM n GROUP BY package""")
 def script_tag_usage(spark, sf):
-    pages = view(spark, sf, "code_answers").filter(F.col("answer").contains("<script src"))
-    return jobs.package_usage(pages, cb.script_tag_packages(F.col("answer")), "npm")
+    answers = view(spark, sf, "code_answers")
+    return jobs.package_usage(answers, cb.script_tag_packages(F.col("answer")), "npm")
 
 
 @query("page_script_packages", f"""WITH h AS (SELECT page_id, replace(html, '<head>', '<head><script src="https://unpkg.com/' ||
@@ -150,15 +173,13 @@ def install_commands(spark, sf):
 
 
 @query("inline_pip", f"""WITH {main_block_sql('code_answers')}
-SELECT uid, CASE uid % 17 WHEN 0 THEN 'numpy' ELSE 'rich requests' END AS packages,
+SELECT uid, CASE uid % 17 WHEN 0 THEN 'numpy' WHEN 1 THEN 'rich requests' ELSE '' END AS packages,
  array_to_string(list_filter(string_split(code, chr(10)), lambda s: s NOT LIKE '%pip install%'), chr(10)) AS cleaned
-FROM main WHERE uid % 17 IN (0, 1)""")
+FROM main WHERE {has_prefix(cb.PYTHON_PREFIXES)}""")
 def inline_pip(spark, sf):
-    rows = code_blocks_all_languages(spark, sf).filter(F.col("code").rlike(cb.INLINE_PIP))
-    rows = rows.filter(F.col("block_lang").startswith("py"))
-    return rows.select(
-        "uid", F.array_join(cb.inline_pip_packages(F.col("code")), " ").alias("packages"),
-        cb.without_inline_pip(F.col("code")).alias("cleaned"),
+    code = F.col("code")
+    return main_blocks(spark, sf, cb.PYTHON_PREFIXES).select(
+        "uid", F.array_join(cb.inline_pip_packages(code), " ").alias("packages"), cb.without_inline_pip(code).alias("cleaned")
     )
 
 

@@ -115,14 +115,16 @@ SELECT doc_id AS uid, concat('cat', cast(doc_id % 6 AS string)) AS category, lan
     WHEN 6 THEN 'json' WHEN 7 THEN 'typescript' WHEN 8 THEN 'mermaid' WHEN 9 THEN 'cpp' WHEN 10 THEN 'c++' WHEN 11 THEN 'golang'
     WHEN 12 THEN 'java' WHEN 13 THEN 'rust' WHEN 14 THEN 'c' WHEN 15 THEN '' ELSE 'Python3' END, chr(10),
    CASE doc_id % 17
-    WHEN 0 THEN concat('# pip install numpy==1.26 --upgrade', chr(10), 'import os, numpy as np', chr(10), 'from pandas.core import frame', chr(10), 'print(np.ones(', cast(doc_id AS string), '))')
+    WHEN 0 THEN concat('# pip install numpy==1.26 --upgrade', chr(10), 'import os, numpy as np', chr(10), 'from pandas.core import frame', chr(10), repeat(chr(34), 3), chr(10), 'import trap_one', chr(10), repeat(chr(34), 3), chr(10),
+      'note = "st and gr"  # import trap_two', chr(10), 'print(np.ones(', cast(doc_id AS string), '))')
     WHEN 1 THEN concat('import pygame', chr(10), '!pip install rich requests>=2.0', chr(10), 'pygame.init()')
-    WHEN 2 THEN concat('<template><p>hi</p></template>', chr(10), '<script setup>', chr(10), 'import axios from "axios"', chr(10), '</script>')
-    WHEN 3 THEN concat('import React from "react";', chr(10), 'import {{ map }} from "lodash/map";', chr(10), 'export default () => <div>x</div>;')
+    WHEN 2 THEN concat('<template><p>hi</p></template>', chr(10), '<script setup>', chr(10), 'import axios from "axios" // const x: number = 1; import "trap-three"', chr(10),
+      'const row = "interface Row {{ }}";', chr(10), '</script>')
+    WHEN 3 THEN concat('import React from "react";', chr(10), 'import {{ map }} from "lodash/map"; /* import "trap-four" */', chr(10), 'export default () => <div>x</div>;')
     WHEN 4 THEN concat('import {{ Button }} from "@mui/material/Button";', chr(10), 'const n: number = 4;')
     WHEN 5 THEN concat('<!DOCTYPE html><html><head><script src="https://unpkg.com/vue@3/dist/vue.js"></script>',
       '<script src="https://cdn.jsdelivr.net/npm/@scope/kit@2/x.js"></script><script src="https://code.example.com/jquery-3.6/a.js"></script></head><body><script>import "d3";</script></body></html>')
-    WHEN 6 THEN concat('const v = require("fs-extra/lib");', chr(10), 'v.on("x", f);')
+    WHEN 6 THEN concat('const v = require("fs-extra/lib");', chr(10), 'v.on("x", f); const t = "import (trap-five)"; // require("trap-six")')
     WHEN 7 THEN concat('interface Row {{ id: number }}', chr(10), 'import {{ ref }} from "vue";', chr(10), 'const img = "/api/placeholder/300/20000";')
     WHEN 8 THEN concat('graph TD; A-->B', cast(doc_id AS string))
     WHEN 9 THEN 'int main() {{ return 0; }}'
