@@ -4,48 +4,52 @@ The corpus is one sequence of line ids per document (lines without words are lef
 out). Lines that occur once end every repeated run, so only the others
 take part. Prefix doubling ranks, round by round, the runs of 1, 2, 4, ... lines that start
 at each position: the pair (rank here, rank 2**k lines on) is counted, pairs that occur
-once drop out, the others are sorted across the cluster and numbered. The ranks order the
-suffixes, and any two runs of m lines are equal if the ranks of their first and
-last 2**floor(log2 m) lines are.
-
-A common prefix counts from ``min_words`` words on: the queries pass ``EVERY_RUN``, so every
-maximal repeated run counts; ``MIN_WORDS`` is the default of direct callers. Suffixes that share their first
-lines up to that depth form an interval of the longest-common-prefix array; its first
-position is the first copy, all others are later copies. The same intervals of the
-reversed sequences give the ends of the runs. A maximal repeated run is the union of its
-shortest prefixes and suffixes of that many words, so together both tell every line of every
-maximal run of ``min_words`` words or more that occurs earlier. Exactly these lines are deleted.
-An interval is a group-by on ranks, aggregated before the shuffle; no task holds a hot interval.
+once drop out, the others are sorted across the cluster and numbered, until no pair occurs twice. The ranks order
+the suffixes by their first 2**k lines.
+
+The intervals of suffixes with a longest common prefix then come from the levels, from the highest down. An interval of
+length m is split by the ranks of the 2**k lines behind its m lines: suffixes that agree form an interval of length m + 2**k,
+and the first of them stays in the old one for all. Behind level 0 no two suffixes of an interval agree in one more
+line, so m is their common prefix exactly, and the intervals are those of the suffix array. Positions whose
+line always stands behind the same line begin no maximal run and stay out. An interval is named by its first
+position and its length: the first copy. Every other suffix in it begins a later copy, whose lines are deleted. Each
+step is a group-by and a join on keys that are aggregated before; no task holds a hot interval.
+
+A run counts from ``min_words`` words on: the queries pass ``EVERY_RUN``, so every
+maximal repeated run counts; ``MIN_WORDS`` is the default of direct callers.
 
 Order is (doc_id, hash of the text, line), null ids first. Defined results: null and empty
 texts stay as they are; repeated rows (same id and text) count as one document and get the
 same result; a line deleted takes its line end along, and blank lines inside a deleted run go with it; other columns are kept. ``text`` shows what is left, ``lines_deleted``
-how many lines went; a text can become empty. Every different line stays somewhere once.
+how many lines went, ``longest_run`` the lines of the longest run of which the document holds a later copy and
+``run_copies`` how often that run occurs (null without one). A text can become empty. Every different line stays somewhere once.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdictframe.llm import textops
-from verdictframe.llm.shared import stored
+from verdictframe.llm.shared import numbered, stored
 
 #: Words from which a repeated run is a copy.
 MIN_WORDS = 20
 #: Every line here has a word, so from one word on no repeated run is too short.
 EVERY_RUN = 1
 
-#: Lines whose ids leave the JVM at once.
-LINES = "d long, t long, line int, raw int, words int, a long, b long"
+#: A word, as ``textops.SPACES`` part them.
+SEPARATED = re.compile(r"[^ \t\n\v\f\r]+")
+LINES = "d long, t long, line int, a long, b long"
 
 
 def line_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per line with words: document key (d, t), number among such lines, number among all lines, words, id (a, b)."""
+    """One row per line with words: document key (d, t), number among such lines, id (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,7 +71,6 @@ def line_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
                 words[begins + 1] = 1
                 words = np.cumsum(words)
                 count = words[stops] - words[starts]
-                raw = np.arange(len(starts)) - np.searchsorted(doc, doc)
                 keep = np.flatnonzero(count > 0)
                 starts, stops, doc = starts[keep], stops[keep], doc[keep]
                 a = textops.hash_spans(part, starts, stops, 0).view(np.int64)
@@ -75,149 +78,140 @@ def line_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
                 line = np.arange(len(doc)) - np.searchsorted(doc, doc)
                 at = pa.array(doc + first)
                 yield pa.RecordBatch.from_arrays(
-                    [ids[0].take(at), ids[1].take(at), pa.array(line.astype(np.int32)), pa.array(raw[keep].astype(np.int32)),
-                     pa.array(count[keep].astype(np.int32)), pa.array(a), pa.array(b)],
-                    names=["d", "t", "line", "raw", "words", "a", "b"],
+                    [ids[0].take(at), ids[1].take(at), pa.array(line.astype(np.int32)), pa.array(a), pa.array(b)],
+                    names=["d", "t", "line", "a", "b"],
                 )
 
     work = docs.select(F.col(key).cast("long").alias("d"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
     return work.mapInArrow(run, LINES)
 
 
-def ranked_lines(lines: DataFrame, min_words: int) -> tuple[DataFrame, int]:
-    """Lines that occur more than once with their ranks r0, r1, ... for runs of 1, 2, 4, ... lines, and the number of ranks.
+def repeated_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(n, line, r) of the lines that occur more than once, and the documents (n, d, t) that hold them, numbered in order."""
+    repeated = lines.groupBy("a", "b").count().filter("count > 1").select("a", "b")
+    ids = numbered(repeated, ["a", "b"], "r", "ranks")
+    found = stored(lines.join(ids, ["a", "b"]).select("d", "t", "line", "r").distinct(), "lines")
+    docs = numbered(found.select("d", "t").distinct(), ["d", "t"], "n", "numbers")
+    own = docs.select(F.col("d").alias("_d"), F.col("t").alias("_t"), "n")
+    placed = found.join(own, F.col("d").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t")))
+    return stored(placed.select("n", "line", "r"), "level"), docs
 
-    A null rank: the run occurs once, or passes the end of a stretch of repeated lines.
-    """
-    ids = _numbered_runs(lines.select("a", "b"), ["a", "b"], "r0")
-    ranks = stored(
-        lines.join(ids, ["a", "b"]).select("d", "t", "line", "raw", "words", "r0").dropDuplicates(["d", "t", "line"]), "lines"
-    )
-    level = 0
-    in_document = Window.partitionBy("d", "t").orderBy("line")
+
+def ranked_runs(first: DataFrame) -> list[DataFrame]:
+    """Per level k the ranks (n, line, r) of the runs of 2**k lines that occur more than once."""
+    levels = [first]
     while True:
-        step = 1 << level
-        # a run of 2 * step lines is needed if its first step lines hold too few words
-        here = F.sum("words").over(in_document.rowsBetween(0, step - 1))
-        nxt = ranks.withColumns({
-            "next": F.lead(f"r{level}", step).over(in_document),
-            "far": F.lead("line", step).over(in_document),
-            "held": here,
-        })
-        pair = (F.col("far") == F.col("line") + step) & F.col(f"r{level}").isNotNull()
-        nxt = nxt.withColumn("next", F.when(pair, F.col("next"))).drop("far")
-        nxt = stored(nxt, "lines")
-        if not nxt.filter(F.col("next").isNotNull() & (F.col("held") < min_words)).limit(1).count():
-            return ranks, level + 1
-        runs = _numbered_runs(
-            nxt.filter(F.col("next").isNotNull()).select(F.col(f"r{level}").alias("x"), F.col("next").alias("y")), ["x", "y"], f"r{level + 1}"
-        )
-        ranks = stored(
-            nxt.join(runs, (F.col(f"r{level}") == F.col("x")) & (F.col("next") == F.col("y")), "left").drop("x", "y", "next", "held"),
-            "lines",
-        )
-        level += 1
-
-
-def _numbered_runs(pairs: DataFrame, columns: list[str], name: str) -> DataFrame:
-    from verdictframe.llm.shared import numbered
-
-    repeated = pairs.groupBy(*columns).count().filter("count > 1").select(*columns)
-    return numbered(repeated, columns, name, "ranks")
-
-
-def minimal_runs(ranks: DataFrame, levels: int, min_words: int) -> DataFrame:
-    """Per position the shortest run of ``min_words`` words that starts there and the one that ends there; pairs of lines that each hold as many.
-
-    A run is named by its number of lines and the ranks of its first and last 2**k lines; (d, t, line) is where it starts.
-    """
-    names = [f"r{k}" for k in range(levels)]
-    of_document = ranks.groupBy("d", "t").agg(F.sort_array(F.collect_list(F.struct("line", "raw", "words", *names))).alias("rows"))
-    of_document = of_document.select("d", "t", *[F.col(f"rows.{c}").alias(c) for c in ("line", "raw", "words", *names)])
+        level, step = levels[-1], 1 << (len(levels) - 1)
+        behind = level.select("n", (F.col("line") - step).alias("line"), F.col("r").alias("y"))
+        pairs = stored(level.withColumnRenamed("r", "x").join(behind, ["n", "line"]), "pairs")
+        ranks = numbered(pairs.groupBy("x", "y").count().filter("count > 1").select("x", "y"), ["x", "y"], "r", "ranks")
+        if ranks.isEmpty():
+            return levels
+        levels.append(stored(pairs.join(ranks, ["x", "y"]).select("n", "line", "r"), "level"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                one = [batch.column(c)[k].values for c in range(2, batch.num_columns)]
-                line, raw, words = (np.asarray(c, dtype=np.int64) for c in one[:3])
-                table = np.stack([c.fill_null(-1).to_numpy(zero_copy_only=False) for c in one[3:]])
-                n = len(line)
-                total = np.concatenate([[0], np.cumsum(words)])
-                stretch = np.concatenate([[0], np.cumsum(line[1:] != line[:-1] + 1)])
-                at = np.arange(n)
-                stop = np.searchsorted(total, total[at] + min_words)  # past the last line
-                start = np.searchsorted(total, total[at + 1] - min_words, side="right") - 1
-                # blank lines between two lines that each are long enough go only with the pair, which may stand without them earlier
-                pair = np.flatnonzero((words[1:] >= min_words) & (words[:-1] >= min_words))
-                begins = np.concatenate([at, start, pair])
-                ends = np.concatenate([stop, at + 1, pair + 2])
-                good = (ends <= n) & (begins >= 0)
-                begins, ends = np.divmod(np.unique(begins[good] * (n + 1) + ends[good]), n + 1)
-                good = stretch[begins] == stretch[ends - 1]
-                begins, ends = begins[good], ends[good]
-                size = ends - begins
-                level = np.minimum(np.frexp(size)[1] - 1, levels - 1)
-                x = table[level, begins]
-                y = table[level, ends - (1 << level)]
-                good = (x >= 0) & (y >= 0) & (size <= (2 << level))
-                begins, ends, x, y, size = begins[good], ends[good], x[good], y[good], size[good]
-                if not len(begins):
-                    continue
-                same = pa.array(np.full(len(begins), k))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(same), batch.column(1).take(same), pa.array(size), pa.array(x), pa.array(y),
-                     pa.array(line[begins]), pa.array(raw[begins]), pa.array(raw[ends - 1])],
-                    names=["d", "t", "size", "x", "y", "line", "first_raw", "last_raw"],
-                )
 
-    return of_document.mapInArrow(run, "d long, t long, size long, x long, y long, line long, first_raw long, last_raw long")
+def run_starts(first: DataFrame) -> DataFrame:
+    """(n, line) at which a maximal run may begin: not all of the line's copies stand behind copies of one line."""
+    before = first.select("n", (F.col("line") + 1).alias("line"), F.col("r").alias("left"))
+    both = stored(first.join(before, ["n", "line"], "left"), "starts")
+    several = (F.count("left") < F.count(F.lit(1))) | (F.min("left") < F.max("left"))
+    open_lines = both.groupBy("r").agg(several.alias("open")).filter("open").select("r")
+    return both.join(open_lines, "r").select("n", "line")
+
 
+def intervals(levels: list[DataFrame]) -> DataFrame:
+    """(n, line, fn, fl, size, copies): each suffix in its interval, which is named by its first copy (fn, fl) and its lines.
 
-def deleted_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(d, t, lines): the lines of each document that go, as ranges (first, last) among all its lines."""
-    lines = stored(line_rows(docs, key, text), "lines")
-    ranks, levels = ranked_lines(lines, min_words)
-    runs = stored(minimal_runs(ranks, levels, min_words), "runs")
-    place = F.struct("d", "t", "line")
-    first = stored(
-        runs.groupBy("size", "x", "y").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "runs"
+    ``copies`` counts all suffixes of the interval. A suffix that speaks for a longer interval is in both.
+    """
+    root = run_starts(levels[0]).select(
+        "n", "line", F.lit(-1).cast("long").alias("fn"), F.lit(-1).alias("fl"), F.lit(0).alias("size"),
+        F.lit(0).cast("long").alias("copies"), F.lit(1).cast("long").alias("weight"),
+    )
+    members, group = root, ["fn", "fl", "size", "r"]
+    for k in range(len(levels) - 1, -1, -1):
+        ranks = levels[k].select(F.col("n").alias("_n"), F.col("line").alias("_line"), "r")
+        here = (F.col("n") == F.col("_n")) & (F.col("line") + F.col("size") == F.col("_line"))
+        keyed = stored(members.join(ranks, here, "left").drop("_n", "_line"), "members")
+        place = F.struct("n", "line")
+        agree = keyed.filter("r IS NOT NULL").groupBy(*group).agg(
+            F.min(place).alias("first"), F.count(F.lit(1)).alias("held"), F.sum("weight").alias("all")
+        ).filter("held > 1").drop("held")
+        # stored, so that the join deals out both sides anew and may split a hot interval
+        split = keyed.join(stored(agree, "splits"), group, "left")
+
+        def row(fn, fl, size, copies, weight):
+            return F.struct(
+                F.col(fn).alias("fn"), F.col(fl).cast("int").alias("fl"), size.alias("size"), F.col(copies).alias("copies"), F.col(weight).alias("weight")
+            )
+
+        old = row("fn", "fl", F.col("size"), "copies", "weight")
+        new = row("first.n", "first.line", F.col("size") + (1 << k), "all", "weight")
+        speaker = row("fn", "fl", F.col("size"), "copies", "all")
+        rows = F.when(F.col("first").isNull(), F.array(old)).when(F.col("first") == place, F.array(new, speaker)).otherwise(F.array(new))
+        members = split.select("n", "line", F.inline(rows))
+    return members.filter("size > 0").drop("weight")
+
+
+def deleted_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(d, t, runs): the later copies in each document as (first line, lines, copies), counted among its lines with words."""
+    first, numbers = repeated_lines(stored(line_rows(docs, key, text), "lines"))
+    found = intervals(ranked_runs(first))
+    later = found.filter("n <> fn OR line <> fl").groupBy("n").agg(
+        F.collect_set(F.struct("line", "size", "copies")).alias("runs")
     )
-    later = runs.join(first, ["size", "x", "y"]).filter(place > F.col("first"))
-    ranges = later.select("d", "t", F.struct(F.col("first_raw").alias("first"), F.col("last_raw").alias("last")).alias("range")).distinct()
-    return ranges.groupBy("d", "t").agg(F.collect_list("range").alias("ranges"))
+    return later.join(numbers, "n").select("d", "t", "runs")
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents without later copies of repeated line runs, with ``lines_deleted``."""
-    gone = stored(deleted_lines(docs, key, text, min_words), "ranges")
-    gone = gone.select(F.col("d").alias("__gd"), F.col("t").alias("__gt"), F.col("ranges").alias("__ranges"))
-    columns = [c for c in docs.columns if c != "lines_deleted"]
+    """The documents without later copies of repeated line runs, with ``lines_deleted``, ``longest_run`` and ``run_copies``."""
+    added = ["lines_deleted", "longest_run", "run_copies"]
+    gone = stored(deleted_lines(docs, key, text), "ranges")
+    gone = gone.select(F.col("d").alias("__gd"), F.col("t").alias("__gt"), F.col("runs").alias("__runs"))
+    columns = [c for c in docs.columns if c not in added]
     work = docs.select(*[docs[c] for c in columns], F.col(key).cast("long").alias("__d"), F.xxhash64(docs[text]).alias("__t"))
     joined = work.join(gone, F.col("__d").eqNullSafe(F.col("__gd")) & (F.col("__t") == F.col("__gt")), "left")
-    fields = joined.select(*columns, "__ranges").schema
+    fields = joined.select(*columns, "__runs").schema
     place = columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, counts = [], []
-            for value, ranges in zip(batch.column(place), batch.column(len(columns))):
-                value, ranges = value.as_py(), ranges.as_py()
-                if not ranges:
-                    texts.append(value)
-                    counts.append(0)
-                    continue
-                parts = value.split("\n")
-                keep = np.ones(len(parts), dtype=bool)
-                for r in ranges:
-                    keep[r["first"] : r["last"] + 1] = False
-                spoken = [bool(p.strip(" \t\v\f\r")) for p in parts]
-                counts.append(sum(s and not k for s, k in zip(spoken, keep)))
-                texts.append("\n".join([p for p, k in zip(parts, keep) if k]))
+            texts, counts, longest, copies = [], [], [], []
+            for value, runs in zip(batch.column(place), batch.column(len(columns))):
+                kept, count, best = without_runs(value.as_py(), runs, min_words)
+                texts.append(kept)
+                counts.append(count)
+                longest.append(best[0])
+                copies.append(best[1])
             out = [batch.column(i) for i in range(len(columns))]
             out[place] = pa.array(texts, type=batch.column(place).type)
-            yield pa.RecordBatch.from_arrays([*out, pa.array(counts, type=pa.int64())], names=[*columns, "lines_deleted"])
+            out += [pa.array(c, type=pa.int64()) for c in (counts, longest, copies)]
+            yield pa.RecordBatch.from_arrays(out, names=[*columns, *added])
 
     from pyspark.sql import types as T
 
-    schema = T.StructType([fields[c] for c in columns]).add("lines_deleted", "long")
-    return joined.select(*columns, "__ranges").mapInArrow(run, schema)
+    schema = T.StructType([fields[c] for c in columns])
+    for name in added:
+        schema = schema.add(name, "long")
+    return joined.select(*columns, "__runs").mapInArrow(run, schema)
+
+
+def without_runs(text: str | None, runs: pa.ListScalar, min_words: int) -> tuple[str | None, int, tuple[int | None, int | None]]:
+    """(what is left of a text, lines with words deleted, (lines, copies) of the longest run deleted)."""
+    if not runs.is_valid:
+        return text, 0, (None, None)
+    line, size, copies = (runs.values.field(c).to_numpy() for c in ("line", "size", "copies"))
+    parts = text.split("\n")
+    words = np.array([len(SEPARATED.findall(p)) for p in parts])
+    raw = np.flatnonzero(words)
+    total = np.concatenate([[0], np.cumsum(words[raw])])
+    enough = np.flatnonzero(total[line + size] - total[line] >= min_words)
+    if not len(enough):
+        return text, 0, (None, None)
+    line, size, copies = line[enough], size[enough], copies[enough]
+    change = np.zeros(len(parts) + 1, dtype=np.int64)
+    np.add.at(change, raw[line], 1)
+    np.add.at(change, raw[line + size - 1] + 1, -1)
+    keep = np.cumsum(change[:-1]) == 0
+    best = max(zip(size.tolist(), copies.tolist()))
+    return "\n".join([p for p, k in zip(parts, keep) if k]), int(((words > 0) & ~keep).sum()), best

@@ -75,7 +75,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What line dedup leaves of every document; every maximal repeated run counts."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     left = line_dedup.dedup_lines(documents, min_words=line_dedup.EVERY_RUN)
-    return left.select("doc_id", "lines_deleted", F.length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
+    return left.select(
+        "doc_id", "lines_deleted", "longest_run", "run_copies", F.length("text").cast("long").alias("n_chars_left"),
+        F.sha2("text", 256).alias("text_sha256"),
+    )
 
 
 @query("op6_pii")
