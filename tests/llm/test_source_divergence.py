@@ -85,6 +85,7 @@ def test_full_blocks_become_runs():
 def test_blocks_spill_and_long_texts_count_once(spark, monkeypatch):
     monkeypatch.setattr(sd, "BLOCK_BYTES", 2000)
     monkeypatch.setattr(sd.textops, "PIECE", 64)
+    monkeypatch.setattr(sd, "TEXT_BYTES", 64)
     import numpy as np
 
     texts = [r[2] for r in made_rows(4, 200) if r[2]]

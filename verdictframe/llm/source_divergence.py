@@ -46,7 +46,9 @@ SCALE = 1_000_000_000
 TOP = 50
 
 #: Bytes of postings a task holds before it writes a run.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
+#: Bytes of text whose terms are found at once.
+TEXT_BYTES = 1 << 20
 #: Terms, and postings, of one row of a run.
 CHUNK, CHUNK_POSTINGS = 1024, 1 << 13
 #: Rows of a run handed over at once.
@@ -105,15 +107,16 @@ class Block:
         return self.names.setdefault((lang, source), len(self.names))
 
     def add(self, terms: pa.Array, term: np.ndarray, code: np.ndarray, n: np.ndarray, docs: np.ndarray) -> None:
-        self.held.append((terms, term, code, n, docs))
-        self.bytes += terms.nbytes + 32 * len(term)
+        small = (c.astype(np.int32) for c in (term, code))
+        self.held.append((terms, *small, n, docs.astype(np.int32)))
+        self.bytes += terms.nbytes + 20 * len(term)
 
     def add_texts(self, data: np.ndarray, bounds: np.ndarray, codes: np.ndarray) -> None:
         """Whole texts of the groups ``codes``."""
-        for first, last in textops.chunks(bounds):
+        for first, last in textops.chunks(bounds, TEXT_BYTES):
             part = data[bounds[first] : bounds[last]]
             rows = bounds[first : last + 1] - bounds[first]
-            if len(part) > 2 * textops.PIECE:
+            if len(part) > 2 * TEXT_BYTES:
                 self.add_long(part, int(codes[first]))
                 continue
             terms, which, row = terms_of(part, rows)
@@ -145,7 +148,7 @@ class Block:
         renamed = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         firsts = np.cumsum([0] + [len(h[0]) for h in self.held])
         term = np.concatenate([renamed[at + h[1]] for at, h in zip(firsts, self.held)])
-        code, n, docs = (np.concatenate([h[k] for h in self.held]) for k in (2, 3, 4))
+        code, n, docs = (np.concatenate([h[k] for h in self.held]).astype(np.int64) for k in (2, 3, 4))
         width = int(code.max(initial=0)) + 1
         key, n, docs = totals(term * width + code, n, docs)
         self.held, self.bytes = [], 0
@@ -171,7 +174,7 @@ class Block:
             ).to_numpy()
             rank = np.empty(len(order), dtype=np.int64)
             rank[order] = np.arange(len(order))
-            place = np.argsort(rank[term] * len(self.names) + code, kind="stable")
+            place = np.argsort(rank[term] * len(self.names) + code)  # every pair occurs once
             sizes = np.bincount(rank[term], minlength=len(order))
             rows = chunk_rows(
                 shard[order], number, terms.take(pa.array(order)), sizes, list(self.names), code[place], n[place], docs[place]
