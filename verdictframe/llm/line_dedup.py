@@ -115,7 +115,8 @@ def run_starts(first: DataFrame) -> DataFrame:
     before = first.select("n", (F.col("line") + 1).alias("line"), F.col("r").alias("left"))
     both = stored(first.join(before, ["n", "line"], "left"), "starts")
     several = (F.count("left") < F.count(F.lit(1))) | (F.min("left") < F.max("left"))
-    open_lines = both.groupBy("r").agg(several.alias("open")).filter("open").select("r")
+    # stored, so that the join deals out both sides anew and may split a frequent line
+    open_lines = stored(both.groupBy("r").agg(several.alias("open")).filter("open").select("r"), "open")
     return both.join(open_lines, "r").select("n", "line")
 
 
