@@ -119,3 +119,19 @@ def test_word_hashes_do_not_depend_on_the_cut(monkeypatch):
     monkeypatch.setattr(textops, "PIECE", 64)
     cut = next(textops.hashed_runs(data, bounds, textops.SPACES, textops.ascii_lower))[2]
     assert (whole == cut).all() and len(whole) == len(text.decode().split())
+
+
+@pytest.mark.parametrize("percent", [30, 45])
+def test_sets_of_very_unequal_size(docs_of, percent):
+    """Below 50 percent linked sets may differ in size by more than a factor of two."""
+    words = [f"w{k}" for k in range(9_000)]
+    rows = [(1, " ".join(words[:2_050])), (2, " ".join(words[:4_200])), (3, " ".join(words[5_000:])), (4, " ".join(words[:6_500])), (5, "w1 w2")]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(docs_of(rows), words=2, percent=percent).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5}
+
+
+def test_many_texts_under_one_id(docs_of):
+    texts = [" ".join(f"a{k}x{j}" for j in range(30)) for k in range(20)]
+    rows = [(7, t) for t in texts] + [(7, t + " more") for t in texts[:10]] + [(None, t + " tail") for t in texts[10:]]
+    got = ngram_join.jaccard_components(docs_of(rows), words=2, percent=80).collect()
+    assert len(got) == 40 and sum(r["n_links"] for r in got) == 40

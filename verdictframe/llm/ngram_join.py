@@ -45,8 +45,8 @@ LIST_PART = 4_096
 #: Sets and shingles of a part of a block.
 BLOCK_PART = 2_048
 BLOCK_SHINGLES = 2_000_000
-#: Candidate rows (one number each) that may be broadcast to the scan of the texts.
-BROADCAST_ROWS = 2_000_000
+#: Candidate rows (eight numbers each) that may be broadcast to the scan of the texts.
+BROADCAST_ROWS = 300_000
 
 
 def shingle_sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -136,8 +136,8 @@ def profiles(docs: DataFrame, key: str, text: str, words: int, percent: int) ->
 def forest(n: np.ndarray, maps: list[bytes], part: np.ndarray | None, percent: int) -> Iterator[tuple[int, int]]:
     """Spanning forest of the pairs whose bitmaps allow a link; with ``part``, of pairs of different parts only.
 
-    Bitmaps of one size are compared directly; a bitmap of twice the size is folded first. Sets of still
-    other sizes are too unequal to link.
+    Bitmaps of one size are compared directly; a larger one is folded first. Sizes further apart than the
+    similarity allows are left out.
     """
     root = np.arange(len(n))
 
@@ -152,9 +152,11 @@ def forest(n: np.ndarray, maps: list[bytes], part: np.ndarray | None, percent: i
     bits = {k: np.frombuffer(b"".join([maps[r] for r in at]), dtype=np.uint64).reshape(len(at), -1) for k, at in rows.items()}
     for k, at in rows.items():
         pools = [(at, bits[k], True)]
-        if 2 * k in rows:
-            twice = bits[2 * k]
-            pools.append((rows[2 * k], twice[:, : k // 8] ^ twice[:, k // 8 :], False))
+        for more in rows:
+            # sizes are powers of two, so bitmaps of linked sets differ by less than twice the ratio of the sets
+            if k < more <= 2 * k * 100 // percent:
+                folded = np.bitwise_xor.reduce(bits[more].reshape(len(rows[more]), more // k, k // 8), axis=1)
+                pools.append((rows[more], folded, False))
         for place, x in enumerate(at.tolist()):
             for others, theirs, same in pools:
                 if same:
@@ -254,14 +256,15 @@ def divide_skip(sets: list[np.ndarray], percent: int, wanted: np.ndarray | None
 
 def linked(docs: DataFrame, classes: DataFrame, blocks: DataFrame, key: str, text: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(edges that connect linked classes, number of linked documents per class)."""
-    inside = classes.select("node", "id", "fa", "fb", "n", "copies").join(blocks, "node")
+    inside = classes.select("node", "id", "t", "fa", "fb", "n", "copies").join(blocks, "node")
     sizes = blocks.join(classes.select("node", "n"), "node").groupBy("label").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_PART), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts")
     )
     active = stored(inside.join(stored(sizes, "sizes"), "label"), "active")
-    wanted = active.select(F.col("id").alias("_id"), "fa", "fb", "node", "label", "parts", "copies")
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    texts = texts.join(broadcast_within(wanted, BROADCAST_ROWS), F.col("id").eqNullSafe(F.col("_id")))
+    wanted = active.select(F.col("id").alias("_id"), F.col("t").alias("_t"), "fa", "fb", "node", "label", "parts", "copies")
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t"))
+    texts = texts.join(broadcast_within(wanted, BROADCAST_ROWS), same)
     texts = texts.select("text", "fa", "fb", "node", "label", "parts", "copies")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,8 +338,9 @@ def _components(docs: DataFrame, key: str, text: str, words: int, percent: int)
     """(id, t, n, component_id, component, n_links) per row; ``component`` tells components of equal id apart."""
     rows = stored(profiles(docs, key, text, words, percent), "profiles")
     classes = rows.filter("n > 0").groupBy("n", "fa", "fb").agg(
-        F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")
-    )
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t")).alias("one"), F.count(F.lit(1)).alias("copies"),
+        F.first("prefix").alias("prefix"), F.first("bits").alias("bits"),
+    ).select("n", "fa", "fb", "one.id", "one.t", "copies", "prefix", "bits")
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     blocks = stored(components(candidate_edges(classes, percent), "blocks"), "blocks")
     edges, counts = linked(docs, classes, blocks, key, text, words, percent)

@@ -12,7 +12,9 @@ of the parts are merged.
 Defined results: vectors null, empty or holding null or non-finite components take no part, as query or as
 candidate; a query's own row is no candidate; equal scores go to the smaller id; fewer candidates give
 fewer rows; vectors of another length than the first pivot's compare as if padded with zeros;
-repeated rows (same id) count as one: the largest vector; null ids take no part.
+repeated rows (same id) are candidates each, but none for a query of their id, and ask once, with the largest vector; null
+ids take no part. Scores are exact while they fit a 64-bit integer, whatever the size of the components; a component beyond
+64 bits stops the query.
 """
 
 from __future__ import annotations
@@ -40,24 +42,24 @@ def whole_vectors(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     usable = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(usable)
     rows = rows.filter(F.col("id").isNotNull()).select("id", F.transform("v", lambda x: F.floor(x * SCALE)).alias("v"))
-    return rows.groupBy("id").agg(F.max("v").alias("v"))
+    return rows
 
 
-def matrix(column: pa.Array, width: int) -> np.ndarray:
-    """Rows of a list column as float64, cut or padded to ``width``."""
+def matrix(column: pa.Array, width: int, kind=np.float64) -> np.ndarray:
+    """Rows of a list column as numbers of a kind, cut or padded to ``width``."""
     cut = column.offsets.to_numpy().astype(np.int64)
-    flat = column.values.to_numpy(zero_copy_only=False).astype(np.float64)
+    flat = column.values.to_numpy(zero_copy_only=False).astype(kind)
     size = np.diff(cut)
     if len(size) and (size == width).all():
         return flat[cut[0] : cut[-1]].reshape(-1, width)
-    out = np.zeros((len(size), width))
+    out = np.zeros((len(size), width), dtype=kind)
     for k, (a, b) in enumerate(zip(cut, cut[1:])):
         out[k, : min(b - a, width)] = flat[a : min(b, a + width)]
     return out
 
 
 def in_cells(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Adds the nearest pivot (``cell``, the first of equals), the distance to it and the norm."""
+    """Adds the nearest pivot (``cell``, the first of equals) and the distance to it to (id, v, row)."""
     width = pivots.shape[1]
     square = (pivots**2).sum(axis=1)
 
@@ -68,19 +70,19 @@ def in_cells(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
             apart = own[:, None] - 2 * (x @ pivots.T) + square
             cell = apart.argmin(axis=1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(cell.astype(np.int32)),
-                 pa.array(np.sqrt(np.maximum(apart[np.arange(len(x)), cell], 0.0))), pa.array(np.sqrt(own))],
-                names=["id", "v", "cell", "far", "norm"],
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(cell.astype(np.int32)),
+                 pa.array(np.sqrt(np.maximum(apart[np.arange(len(x)), cell], 0.0)))],
+                names=["id", "v", "row", "cell", "far"],
             )
 
-    return rows.mapInArrow(run, "id long, v array<long>, cell int, far double, norm double")
+    return rows.select("id", "v", "row").mapInArrow(run, "id long, v array<long>, row long, cell int, far double")
 
 
 def summaries(cells: DataFrame, k: int) -> DataFrame:
     """Per cell: members, radius and the k + 1 smallest distances to the pivot."""
-    near = Window.partitionBy("cell").orderBy("far", "id")
+    near = Window.partitionBy("cell").orderBy("far", "row")
     nearest = (
-        cells.select("cell", "far", "id").withColumn("rank", F.row_number().over(near)).filter(F.col("rank") <= k + 1)
+        cells.select("cell", "far", "row").withColumn("rank", F.row_number().over(near)).filter(F.col("rank") <= k + 1)
         .groupBy("cell").agg(F.sort_array(F.collect_list("far")).alias("nearest"))
     )
     sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("members"), F.max("far").alias("radius"))
@@ -124,15 +126,24 @@ def routed(queries: DataFrame, summary: list, pivots: np.ndarray, k: int) -> Dat
     return queries.mapInArrow(run, "cell int, part int, asks int, id long, v array<long>")
 
 
+def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products of integer rows, exactly: in floating point while every sum stays below 2**53, else in integers."""
+    most = float(np.abs(q.astype(np.float64)).max(initial=0)) * float(np.abs(x.astype(np.float64)).max(initial=0)) * q.shape[1]
+    if most < 2.0**53:
+        return (q.astype(np.float64) @ x.T.astype(np.float64)).astype(np.int64)
+    return q @ x.T
+
+
 def best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Columns of the k largest scores of each row, ties to the smaller id; ids are sorted."""
+    falling = ~score  # falls where the score rises, over all integers
     if score.shape[1] <= k:
-        return np.argsort(-score, axis=1, kind="stable")
-    bound = -np.partition(-score, k - 1, axis=1)[:, k - 1]
+        return np.argsort(falling, axis=1, kind="stable")
+    bound = np.partition(falling, k - 1, axis=1)[:, k - 1]
     out = np.empty((len(score), k), dtype=np.int64)
     for r in range(len(score)):
-        hits = np.flatnonzero(score[r] >= bound[r])
-        out[r] = hits[np.argsort(-score[r, hits], kind="stable")[:k]]
+        hits = np.flatnonzero(falling[r] <= bound[r])
+        out[r] = hits[np.argsort(falling[r, hits], kind="stable")[:k]]
     return out
 
 
@@ -157,20 +168,21 @@ def solve(batches: Iterator[pa.RecordBatch], k: int, width: int) -> Iterator[pa.
             if x is None:
                 if not held:
                     continue
-                x = np.concatenate([matrix(h.column(4), width) for h in held])
+                x = np.concatenate([matrix(h.column(4), width, np.int64) for h in held])
                 ids = np.concatenate([h.column(3).to_numpy() for h in held])
                 order = np.argsort(ids, kind="stable")
                 x, ids = x[order], ids[order]
-            q, asker = matrix(rows.column(4), width), rows.column(3).to_numpy()
+            q, asker = matrix(rows.column(4), width, np.int64), rows.column(3).to_numpy()
             for s in range(0, len(q), QUERIES_AT_ONCE):
-                score = q[s : s + QUERIES_AT_ONCE] @ x.T
+                score = products(q[s : s + QUERIES_AT_ONCE], x)
                 own = asker[s : s + QUERIES_AT_ONCE]
-                score[own[:, None] == ids] = -np.inf
+                mine = own[:, None] == ids
+                score[mine] = np.iinfo(np.int64).min
                 top = best(score, ids, k)
                 value = np.take_along_axis(score, top, axis=1)
-                good = np.isfinite(value)
+                good = ~np.take_along_axis(mine, top, axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(own, good.sum(axis=1))), pa.array(ids[top[good]]), pa.array(value[good].astype(np.int64))],
+                    [pa.array(np.repeat(own, good.sum(axis=1))), pa.array(ids[top[good]]), pa.array(value[good])],
                     names=["query_id", "vec_id", "score"],
                 )
 
@@ -178,8 +190,8 @@ def solve(batches: Iterator[pa.RecordBatch], k: int, width: int) -> Iterator[pa.
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows of ``vectors`` for every row of ``queries``."""
     spark = vectors.sparkSession
-    rows = stored(whole_vectors(vectors, key, vector), "vectors")
-    sample = bounded_sample(rows, PIVOTS, "id").select("v").distinct().orderBy("v").collect()
+    rows = stored(whole_vectors(vectors, key, vector).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    sample = bounded_sample(rows, PIVOTS, "row").select("v").distinct().orderBy("v").collect()
     empty = "query_id long, rank int, vec_id long, score long"
     if not sample:
         return spark.createDataFrame([], empty)
@@ -190,12 +202,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", v
         pivots[at, : len(r["v"])] = r["v"]
     cells = stored(in_cells(rows, pivots), "cells")
     summary = summaries(cells, k).orderBy("cell").collect()  # PIVOTS rows
-    asked = routed(whole_vectors(queries, key, vector), summary, pivots, k)
+    asking = whole_vectors(queries, key, vector).groupBy("id").agg(F.max("v").alias("v"))
+    asked = routed(asking, summary, pivots, k)
     parts = F.element_at(
         F.create_map(*[F.lit(x) for r in summary for x in (r["cell"], int(-(-r["members"] // PART)))]), F.col("cell")
     )
     members = cells.select(
-        "cell", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.lit(0).alias("asks"), "id", "v"
+        "cell", F.pmod(F.xxhash64("row"), parts).cast("int").alias("part"), F.lit(0).alias("asks"), "id", "v"
     )
     dealt = members.unionByName(asked).repartition("cell", "part").sortWithinPartitions("cell", "part", "asks")
     found = dealt.mapInArrow(lambda batches: solve(batches, k, width), "query_id long, vec_id long, score long")
