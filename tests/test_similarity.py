@@ -234,3 +234,12 @@ def test_resource_lists_are_read_in_part(spark):
     asked = enrichment.question_signatures(asked).join(floors, "uid").withColumn("q_text", F.lit(""))
     read = enrichment.resource_candidates(asked, enrichment.resource_features(table)).count()
     assert read < 0.1 * asked.count() * table.count()
+
+
+def test_a_few_long_texts_are_not_broadcast(spark):
+    from verdictframe.session import broadcast_if_small
+
+    few = spark.createDataFrame([(k, "x" * 1000) for k in range(50)], "k int, t string")
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    assert hinted(broadcast_if_small(few, 50)) and not hinted(broadcast_if_small(few, 49))
+    assert not hinted(broadcast_if_small(few, 50, max_bytes=49_000))

@@ -86,12 +86,15 @@ def move_aside(spark: SparkSession, path: str) -> str | None:
     return backup
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Broadcast hint only after a bounded count proved the side small.
+def broadcast_if_small(df: DataFrame, max_rows: int = 200_000, max_bytes: int = 32 << 20) -> DataFrame:
+    """Broadcast hint only after a bounded count proved the side small, its texts included.
 
     Reads at most ``max_rows + 1`` rows to decide. A larger side keeps the
     plain shuffle join, so results never depend on the outcome.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
+    texts = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) for f in df.schema if f.dataType.typeName() == "string"]
+    size = F.sum(sum(texts, F.lit(0)).cast("long")).alias("size")
+    found = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), size).first()
+    if found["n"] <= max_rows and (found["size"] or 0) <= max_bytes:
         return F.broadcast(df)
     return df
