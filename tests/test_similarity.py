@@ -81,6 +81,29 @@ def test_removal_on_a_chain_and_a_hub(spark):
     assert got == greedy(chain + hub, "similarity")
 
 
+def test_removal_with_cut_hubs(spark, monkeypatch):
+    """A hub of most pairs, cut into parts: same result, no hot key in the join, one stored table per round."""
+    rng = random.Random(9)
+    pairs = [(0, j, 0.5 + rng.random() / 2) for j in range(1, 400)]
+    pairs += [(i, j, rng.random()) for i in range(1, 60) for j in range(i + 1, 60) if rng.random() < 0.1]
+    df = spark.createDataFrame(pairs, "i bigint, j bigint, similarity double")
+    parts = {r["i"]: r["parts"] for r in similarity.hubs(df, 20).collect()}
+    assert parts == {0: 20}
+    stored = []
+    monkeypatch.setattr(similarity, "truncate", lambda d, real=similarity.truncate: stored.append(real(d)) or stored[-1])
+    got = {r["removed"] for r in similarity.greedy_removed(df, hub_edges=20).collect()}
+    assert got == greedy(pairs, "similarity")
+    sizes = [r["count"] for r in stored[2].groupBy("i", "part").count().collect()]
+    assert max(sizes) < 60 and len(stored) <= 2 + 8
+
+
+def test_removal_of_text_ids(spark):
+    pairs = [(f"a{i}", f"b{j}", 0.9 - i / 100 - j / 1000) for i in range(5) for j in range(20)]
+    df = spark.createDataFrame(pairs, "i string, j string, similarity double")
+    assert {r["removed"] for r in similarity.greedy_removed(df, hub_edges=3).collect()} == greedy(pairs, "similarity")
+    assert similarity.greedy_removed(df.limit(0)).count() == 0
+
+
 def test_no_pairs(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id bigint, vec array<double>")
     assert similarity.deduplicated(df, "id", "vec", 0.9).count() == 2

@@ -1,5 +1,7 @@
 """Streams: batches add up to the batch result, retried batches count once."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from tests.test_ratings import frame, plain_elo, random_battles
@@ -62,6 +64,48 @@ def test_worklist_takes_each_key_once(spark):
     assert sorted(r["k"] for r in taken.collect()) == ["a", "b", "c", "d"]
 
 
+def worklist_run(spark, path, rows, keep_ms):
+    """One arrival of (key, state) rows; the query that handled it."""
+    spark.createDataFrame(rows, "k string, state string").write.mode("append").parquet(f"{path}/in")
+    live = votes.vote_stream(spark, f"{path}/in", "k string, state string", kind="parquet")
+    changes = logs.worklist_status(live, "k", retries=1, keep_ms=keep_ms)
+    run = logs.run_worklist(changes, votes.keep_step(f"{path}/changes"), f"{path}/checkpoint")
+    assert run.awaitTermination(60)
+    return run
+
+
+def stored_changes(spark, path):
+    return spark.read.schema("k string, status string, attempt int, take boolean, batch int").parquet(f"{path}/changes")
+
+
+def test_failed_work_returns_until_it_is_given_up(spark):
+    path = scratch_path(spark, "retries")
+    steps = [
+        [("a", "arrived"), ("a", "arrived"), ("b", "arrived"), (None, "arrived")],
+        [("a", "failed"), ("b", "completed"), ("c", "arrived")],
+        [("a", "failed"), ("b", "failed"), ("c", None), (None, "failed")],
+        [("a", "arrived")],
+    ]
+    for rows in steps:
+        worklist_run(spark, path, rows, 3_600_000)
+    taken = sorted((r["k"] or "-", r["attempt"]) for r in stored_changes(spark, path).filter("take").collect())
+    assert taken == [("-", 1), ("-", 2), ("a", 1), ("a", 2), ("b", 1), ("c", 1)]
+    last = {r["k"]: (r["status"], r["attempt"]) for r in logs.latest_status(stored_changes(spark, path), "k").collect()}
+    assert last == {"a": ("given_up", 2), "b": ("completed", 2), "c": ("open", 1), None: ("open", 2)}
+
+
+def test_worklist_state_expires(spark):
+    """Keys without events leave the state; a hot key takes one row of it."""
+    path = scratch_path(spark, "expiry")
+    worklist_run(spark, path, [(f"k{i}", "arrived") for i in range(50)] + [("hot", "arrived")] * 500, 1)
+    for key in ("x", "y"):
+        time.sleep(0.2)
+        run = worklist_run(spark, path, [(key, "arrived")], 1)
+    rows = [p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress if p["stateOperators"]]
+    assert min(rows) <= 1
+    assert stored_changes(spark, path).filter("k = 'hot'").count() == 1
+
+
 def test_counts_read_the_last_batch_only(spark):
     path = scratch_path(spark, "running")
     step = votes.pair_count_step(path)

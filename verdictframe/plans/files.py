@@ -13,7 +13,7 @@ from verdictframe.plans.enrichment import TASKS, tasks
 from verdictframe.plans.registry import query
 from verdictframe.plans.text import EXEC
 from verdictframe.session import scratch_path as fresh
-from verdictframe.sources import jsonl, sinks
+from verdictframe.sources import files, jsonl, sinks
 from verdictframe.sources.views import table, view
 
 
@@ -320,6 +320,62 @@ def new_visual_files(spark, sf):
     return out.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+def write_files(rows, folder: str) -> None:
+    """``rows(name, content)`` as one file each below ``folder``, a folder that all executors mount."""
+
+    def write(part):
+        import os
+
+        for row in part:
+            path = os.path.join(folder, row["name"])
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            with open(path, "wb") as out:
+                out.write(row["content"])
+
+    rows.foreachPartition(write)
+
+
+EXTENSIONS = ("html", "SVG", "md", "txt")
+RUN_FILES = """f AS (SELECT page_id, encode(coalesce(html, '')) AS content, (['html', 'SVG', 'md', 'txt'])[page_id % 4 + 1] AS ext FROM pages),
+ late AS (SELECT 'out/' || page_id || '.' || ext AS name, ext, content FROM f WHERE page_id % 5 <> 0 UNION ALL
+  SELECT 'out/deep/copy' || page_id || '.htm', 'htm', content FROM f WHERE page_id % 7 = 0)"""
+SHOWN = "ext <> 'txt' AND octet_length(content) > 0"  # the scan lists no empty files
+
+
+def run_files(spark, sf):
+    """A run's folder as real files: a fifth of the pages before the run, the others and some copies after it."""
+    root = fresh(spark, "run-files").removeprefix("file:")
+    pages = table(spark, sf, "pages").select("page_id", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("content"))
+    extension = F.element_at(F.array(*[F.lit(e) for e in EXTENSIONS]), (F.col("page_id") % 4 + 1).cast("int"))
+    name = F.concat(F.lit("out/"), F.col("page_id").cast("string"), F.lit("."), extension)
+    early = F.col("page_id") % 5 == 0
+    write_files(pages.filter(early).select(name.alias("name"), "content"), f"{root}/files")
+    files.write_snapshot(spark, f"{root}/files", f"{root}/before")
+    write_files(pages.filter(~early).select(name.alias("name"), "content"), f"{root}/files")
+    copies = pages.filter(F.col("page_id") % 7 == 0)
+    copy = F.concat(F.lit("out/deep/copy"), F.col("page_id").cast("string"), F.lit(".htm"))
+    write_files(copies.select(copy.alias("name"), "content"), f"{root}/files")
+    return root
+
+
+@query("visual_outputs", f"""WITH {RUN_FILES}
+SELECT arg_min(name, name) AS name, CASE lower(arg_min(ext, name)) WHEN 'md' THEN 'markdown' WHEN 'htm' THEN 'html' ELSE lower(arg_min(ext, name)) END AS kind, sha256(content) AS digest
+FROM late WHERE {SHOWN} GROUP BY content""")
+def visual_outputs(spark, sf):
+    """Files found in the folder that its snapshot before the run does not list."""
+    root = run_files(spark, sf)
+    out = files.visual_outputs(spark, f"{root}/files", f"{root}/before")
+    return out.select(F.regexp_extract("path", r"/files/(.*)$", 1).alias("name"), "kind", "digest")
+
+
+@query("file_changes", f"""WITH {RUN_FILES} SELECT 'added' AS change, count(*) AS n FROM late WHERE {SHOWN} HAVING count(*) > 0""")
+def file_changes(spark, sf):
+    """Listings before and after the run; no content is read."""
+    root = run_files(spark, sf)
+    out = files.changes(files.listing(spark, f"{root}/files"), files.snapshot(spark, f"{root}/before"))
+    return out.groupBy("change").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("agreement_from_files", """WITH h AS (SELECT 's' || seq AS chat_session_id, vote, category FROM battles)
 SELECT j.judge, j.mode, count(*) AS n_samples, round(avg((CASE j.judgment WHEN 'vote_model_A' THEN 'vote_left' WHEN 'vote_model_B' THEN 'vote_right' ELSE j.judgment END = h.vote)::INT), 6) AS accuracy
 FROM judge_rows j JOIN h USING (chat_session_id) WHERE j.judgment IN ('vote_model_A', 'vote_model_B', 'vote_tie', 'vote_both_bad') GROUP BY ALL""")

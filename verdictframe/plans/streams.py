@@ -112,6 +112,28 @@ def stream_worklist(spark, sf):
     return spark.read.schema("chat_session_id string, batch int").parquet(f"{out}/taken").select("chat_session_id")
 
 
+WORK_EVENTS = """w AS (SELECT chat_session_id, seq, CASE WHEN judgment IS NULL THEN 'failed' WHEN judgment = 'error' AND judge = 'jA' THEN 'failed'
+  WHEN judgment = 'error' OR seq % 7 = 0 THEN 'arrived' ELSE 'completed' END AS state FROM judge_rows)"""
+
+
+@query("stream_worklist_retries", f"""WITH {WORK_EVENTS}, c AS (SELECT chat_session_id, count(*) FILTER (state = 'failed') AS failures, bool_or(state = 'completed') AS done FROM w GROUP BY 1)
+SELECT chat_session_id, CASE WHEN done THEN 'completed' WHEN failures > 2 THEN 'given_up' ELSE 'open' END AS status, (least(failures, 2) + 1)::INT AS attempt FROM c""")
+def stream_worklist_retries(spark, sf):
+    """Failed sessions return to the worklist until their retries are used up."""
+    missing, wrong = F.col("judgment").isNull(), F.col("judgment") == "error"
+    state = F.when(missing | (wrong & (F.col("judge") == "jA")), "failed").when(wrong | (F.col("seq") % 7 == 0), "arrived")
+    rows = view(spark, sf, "judge_rows").select("seq", "chat_session_id", F.coalesce(state, F.lit("completed")).alias("state"))
+    out = fresh(spark, "retries")
+
+    def start(live):
+        changes = logs.worklist_status(live, "chat_session_id", retries=2)
+        return logs.run_worklist(changes, votes.keep_step(f"{out}/changes"), f"{out}/checkpoint")
+
+    feed(spark, rows, "seq", out, start)
+    stored = spark.read.schema("chat_session_id string, status string, attempt int, take boolean, batch int").parquet(f"{out}/changes")
+    return logs.latest_status(stored, "chat_session_id")
+
+
 @query("stream_logs", """SELECT event_id, strftime(ts, '%Y_%m_%d') AS date, CASE WHEN user_id % 2 = 0 THEN 'battle_anony' ELSE 'direct' END AS chat_mode,
  strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS first_time, 'sandbox-logs-' || user_id || '-1-' || event_id || '.json' AS name FROM events""")
 def stream_logs(spark, sf):

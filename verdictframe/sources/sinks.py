@@ -143,13 +143,12 @@ def new_visual_files(current: DataFrame, initial: DataFrame) -> DataFrame:
     """New files by kind, one per content digest, the first path kept.
 
     ``current(path, content)`` as the binary-file source gives it, ``initial(path)``
-    the listing before the run. Only the digest takes part in the shuffle.
+    the listing before the run. Only the digest takes part in the joins and shuffles.
     """
     extension = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     cases = [F.when(extension.isin(exts), F.lit(kind)) for kind, exts in FILE_KINDS.items()]
-    fresh = current.join(initial.select("path"), "path", "left_anti").select(
-        "path", F.sha2("content", 256).alias("digest"), reduce(F.coalesce, cases).alias("kind")
-    )
+    digests = current.select("path", F.sha2("content", 256).alias("digest"), reduce(F.coalesce, cases).alias("kind"))
+    fresh = digests.join(initial.select("path"), "path", "left_anti")
     first = fresh.groupBy("digest").agg(F.min_by(F.struct("path", "kind"), "path").alias("f"))
     return first.select("f.path", "f.kind", "digest").filter(F.col("kind").isNotNull())
 

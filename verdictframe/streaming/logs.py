@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from verdictframe.sources.sinks import log_partitions
-from verdictframe.streaming.votes import _started
+from verdictframe.streaming.votes import _started, per_batch
 
 
 def iso(column: Column) -> Column:
@@ -75,3 +80,68 @@ def taken_once(records: DataFrame, key: str) -> DataFrame:
     those of all batches before, and a restart resumes from the checkpoint.
     """
     return records.dropDuplicates([key])
+
+
+def worklist_status(
+    events: DataFrame, key: str, retries: int = 2, keep_ms: int = 30 * 24 * 3600 * 1000, state: str = "state",
+) -> DataFrame:
+    """Status of every key that a trigger touches: (key, status, attempt, take).
+
+    ``events(key, state)`` holds arrivals (any state but the two that follow) and outcomes,
+    ``failed`` and ``completed``. A key is ``completed`` once it was completed, ``given_up`` after more
+    than ``retries`` failures, else ``open`` with attempt 1 + failures. ``take`` marks the
+    triggers that open an attempt no earlier one opened: those rows are the work to do.
+
+    Kept per key: failures, whether completed, the last attempt opened. They do not depend on the order of the
+    events, so pieces of a trigger are counted one after the other and never held together, also where one key has
+    most of the rows. A key is forgotten ``keep_ms`` after its last event (processing time, so no event is
+    ever too late); one that arrives after that is new. A null key is a key; an empty trigger gives no rows.
+    """
+    schema = T.StructType([
+        events.schema[key], T.StructField("status", T.StringType()),
+        T.StructField("attempt", T.IntegerType()), T.StructField("take", T.BooleanType()),
+    ])
+
+    def fold(group, pieces: Iterator[pd.DataFrame], memory: GroupState) -> Iterator[pd.DataFrame]:
+        if memory.hasTimedOut:
+            memory.remove()
+            return
+        failures, completed, opened = memory.get if memory.exists else (0, False, 0)
+        for piece in pieces:
+            outcomes = piece["outcome"]
+            failures += int((outcomes == "failed").sum())
+            completed = completed or bool((outcomes == "completed").any())
+        status = "completed" if completed else "given_up" if failures > retries else "open"
+        attempt = min(failures, retries) + 1
+        take = status == "open" and attempt > opened
+        memory.update((failures, completed, max(opened, attempt) if status == "open" else opened))
+        memory.setTimeoutDuration(keep_ms)
+        yield pd.DataFrame({schema.names[0]: [group[0]], "status": [status], "attempt": [attempt], "take": [take]})
+
+    slim = events.select(key, F.col(state).alias("outcome"))
+    return slim.groupBy(key).applyInPandasWithState(
+        fold, schema, "failures long, completed boolean, opened long", "update", GroupStateTimeout.ProcessingTimeTimeout
+    )
+
+
+def run_worklist(
+    changes: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, interval: str | None = None
+) -> StreamingQuery:
+    """Run ``step(batch, number)`` over :func:`worklist_status`.
+
+    Keys expire with batches that have data. Batches for expiry alone are off: with a
+    processing-time timeout one would follow the other and a run over all available input never end.
+    """
+    conf, name = changes.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:  # the query keeps the setting of its start
+        return per_batch(changes, step, checkpoint, interval, mode="update")
+    finally:
+        conf.set(name, before)
+
+
+def latest_status(changes: DataFrame, key: str) -> DataFrame:
+    """Current status per key from the stored changes with their batch number."""
+    last = changes.groupBy(key).agg(F.max_by(F.struct("status", "attempt"), "batch").alias("s"))
+    return last.select(key, "s.status", "s.attempt")
