@@ -76,11 +76,11 @@ def labelled_by_rules(pages: DataFrame, rules: list[Rule], url: str = "url") ->
 
 
 def train(labelled: DataFrame) -> tuple[dict[int, float], float]:
-    """(weight per feature, intercept) from a table (url, label); at most ``LABELLED`` rows count."""
+    """(weight per feature, intercept) from a table (url, label); at most ``LABELLED`` distinct rows count."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import CountVectorizerModel
 
-    rows = bounded_sample(labelled.filter(F.col("label").isNotNull()), LABELLED, "url")
+    rows = bounded_sample(labelled.select("url", "label").filter(F.col("label").isNotNull()).distinct(), LABELLED, "url", "label")
     rows = with_parts(rows, "url").select(F.transform(features(), lambda x: x.cast("string")).alias("tokens"), F.col("label").cast("double").alias("label")).cache()
     seen = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(seen) < 2:
