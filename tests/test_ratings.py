@@ -233,3 +233,37 @@ def test_a_pool_of_one_model_meets_itself(spark):
     models = spark.sql("SELECT 'only' model, 1.0D weight, false outage, false boost, false anonymous, CAST(NULL AS ARRAY<STRING>) strict, CAST(NULL AS ARRAY<STRING>) targets")
     out = worklist.battle_pairs(prompts, models, "prompt").collect()
     assert len(out) == 5 and all((r["model_a"], r["model_b"]) == ("only", "only") for r in out)
+
+
+def test_poisson_copies_are_poisson_and_unique():
+    ids = np.arange(20_000) * 7 + 2**40
+    one, key = draws.poisson_copies(ids, 3, 17)
+    counts = np.bincount(one, minlength=len(ids))
+    assert abs(counts.mean() - 1) < 0.03 and abs(counts.var() - 1) < 0.06
+    assert abs((counts == 0).mean() - np.exp(-1)) < 0.02
+    assert len(np.unique(key)) == len(key) and key.min() >= 0
+    # Order and count are independent of one another, of the id and of the replicate.
+    assert abs(np.corrcoef(np.argsort(np.argsort(key)), one)[0, 1]) < 0.03
+    other = np.bincount(draws.poisson_copies(ids, 4, 17)[0], minlength=len(ids))
+    assert abs(np.corrcoef(counts, other)[0, 1]) < 0.03
+    part, again = draws.poisson_copies(ids[5000:], 3, 17)
+    assert sorted(again) == sorted(key[one >= 5000]) and (part + 5000 == one[one >= 5000]).all()
+
+
+def test_resampled_elo_in_blocks_equals_the_loop_and_the_chunks(spark):
+    rows = random_battles(150, systems=2) + [("s0", 9001, "x", "x", "vote_left")]
+    df, rounds = frame(spark, rows), 40
+    call = dict(rounds=rounds, seed=5, largest=ratings.largest_group(df, ["system"]))
+    blocks = ratings.resampled_elo(df, ["system"], "seq", **call)
+    chunks = ratings.resampled_elo(df, ["system"], "seq", rows_per_block=1, rows_per_chunk=60, **call)
+    ours = {(r["system"], r["replicate"], r["model"]): r["rating"] for r in blocks.collect()}
+    other = {(r["system"], r["replicate"], r["model"]): r["rating"] for r in chunks.collect()}
+    plain = {}
+    for system in ("s0", "s1"):
+        part = sorted((r for r in rows if r[0] == system), key=lambda r: r[1])
+        for replicate in range(rounds):
+            row, key = draws.poisson_copies(np.array([r[1] for r in part]), replicate, 5)
+            copies = [(system, k, *part[i][2:]) for i, k in zip(row.tolist(), key.tolist())]
+            plain.update({(system, replicate, m): v for m, v in plain_elo(copies).items()})
+    assert ours.keys() == plain.keys() == other.keys()
+    assert all(ours[k] == pytest.approx(v, abs=1e-9) and other[k] == pytest.approx(v, abs=1e-9) for k, v in plain.items())

@@ -2,17 +2,55 @@
 
 A draw is the first 60 bits of an md5 digest over ``seed:key:...``. Any engine
 with md5 reproduces it, a retried task draws the same numbers, and no task
-needs a generator state.
+needs a generator state. Where a task draws for many replicates at once the
+digest is a 32-bit integer hash on arrays instead (``mix``), as easy to state in SQL.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BITS = 60
+WORD = 0xFFFFFFFF
+# Fixed value: multiplier of the hash; below 2^31, so a product of a word fits 63 bits.
+MULTIPLIER = 0x45D9F3B
+# The distribution function of Poisson(1) in steps of 2^-32, up to its last step.
+POISSON = [
+    int(2**32 * math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1))) for k in range(12)
+]
+
+
+def mix(x):
+    """Hash of 32-bit words, for one integer or an int64 array."""
+    x = ((x ^ (x >> 16)) * MULTIPLIER) & WORD
+    x = ((x ^ (x >> 16)) * MULTIPLIER) & WORD
+    return x ^ (x >> 16)
+
+
+def salts(seed: int, count: int) -> list[int]:
+    return [mix((seed * 64 + i + 1) & WORD) for i in range(count)]
+
+
+def poisson_copies(ids: np.ndarray, replicate: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Copies of each row in one resample: (row number, sort key) per copy.
+
+    A row is drawn Poisson(1) times, each copy with a sort key of 63 bits of its
+    own; both are functions of (seed, replicate, id) alone.
+    """
+    one, two = salts(seed, 2)
+    ids = ids.astype(np.int64)
+    word = mix(mix(ids & WORD) ^ ((ids >> 32) & WORD))
+    h = mix((word + mix(replicate ^ one)) & WORD)
+    g = mix((word + mix(replicate ^ two)) & WORD)
+    times = np.searchsorted(np.array(POISSON), h, side="right")
+    row = np.repeat(np.arange(len(ids)), times)
+    copy = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+    key = ((mix((g[row] + copy + 1) & WORD) >> 1) << 32) | mix(h[row] ^ mix(copy + 1))
+    return row, key
 
 
 def draw(seed: int | str, *keys: Column | str) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,15 +12,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verdictframe.functions import pairfit
-from verdictframe.functions.draws import dense_index, draw
+from verdictframe.functions.draws import dense_index, poisson_copies
 from verdictframe.functions.predicates import a_score
 from verdictframe.operators.battles import pair_outcomes
 from verdictframe.session import scratch_path, truncate
 
 # Rating scale.
 K_FACTOR, SCALE, BASE, INIT = 4.0, 400.0, 10.0, 1000.0
-DRAWS_PER_TASK = 2_000_000
-BROADCAST_ROWS = 1_000_000
+# Resamples that one task folds together: at least MIN_WIDTH, else this many draws.
+CELLS_PER_BLOCK, MIN_WIDTH = 8_000_000, 32
 
 
 # ---------------------------------------------------------------- online Elo
@@ -139,33 +139,122 @@ def anchored(ratings: DataFrame, keys: list[str], model: str, value: float) -> D
     )
 
 
+def _identity(battles: DataFrame, order: str) -> Column:
+    """The number that a battle's draws hang on: its order, hashed where that is no integer."""
+    if isinstance(battles.schema[order].dataType, T.IntegralType):
+        return F.col(order).cast("bigint")
+    return F.xxhash64(order)
+
+
 def resampled_battles(
     battles: DataFrame, keys: list[str], order: str, rounds: int, seed: int, outcome: str = "vote"
 ) -> DataFrame:
-    """``rounds`` resamples with replacement per key, each in draw order.
+    """``rounds`` Poisson resamples of the battles, each in an order ``pos`` of its own.
+
+    Every battle tells its copies in a replicate from its own row, so nothing is
+    numbered, joined or stored. A batch of output is one input batch in one replicate.
+    """
+    named = [battles.schema[k] for k in keys]
+    schema = T.StructType(named + [
+        T.StructField("replicate", T.IntegerType()), T.StructField("pos", T.LongType()),
+        *[battles.schema[c] for c in ("model_a", "model_b", outcome)],
+    ])
+    kept = [*keys, "model_a", "model_b", outcome]
+
+    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            ids = rows["_id"].to_numpy()
+            for r in range(rounds):
+                row, key = poisson_copies(ids, r, seed)
+                out = rows[kept].iloc[row].assign(replicate=np.int32(r), pos=key)
+                yield out[schema.names]
+
+    slim = battles.select(*kept, _identity(battles, order).alias("_id"))
+    return slim.mapInPandas(explode, schema)
+
+
+def _fold_block(left, right, score, draws: list[tuple[np.ndarray, np.ndarray]], models: int, k, scale, base, init):
+    """Elo of several resamples of the same battles, one battle of each per step.
+
+    ``draws`` holds (row, sort key) of each resample. Shorter ones end on a battle
+    of two spare models. Returns (ratings, taken part) per resample and model.
+    """
+    picks = []
+    for row, key in draws:
+        picks.append(row[np.argsort(key, kind="stable")])
+    width, steps = len(picks), max(map(len, picks))
+    left, right = np.append(left, models), np.append(right, models + 1)
+    score = np.append(score, 0.5)
+    plan = np.full((steps, width), len(left) - 1, dtype=np.int32)
+    for i, pick in enumerate(picks):
+        plan[: len(pick), i] = pick
+    rating = np.full(width * (models + 2), float(init))
+    met = np.zeros(width * (models + 2), dtype=bool)
+    at = np.arange(width) * (models + 2)
+    for pick in plan:
+        a, b, won = left[pick] + at, right[pick] + at, score[pick]
+        ra, rb = rating[a], rating[b]
+        gain = k * (won - 1 / (1 + base ** ((rb - ra) / scale)))
+        loss = k * (1 - won - 1 / (1 + base ** ((ra - rb) / scale)))
+        # One after the other: a model may meet itself.
+        rating[a] += gain
+        rating[b] += loss
+        met[a] = True
+        met[b] = True
+    return rating.reshape(width, -1)[:, :models], met.reshape(width, -1)[:, :models]
+
+
+def resampled_elo(
+    battles: DataFrame, keys: list[str], order: str, rounds: int, seed: int, largest: int,
+    outcome: str = "vote", k: float = K_FACTOR, scale: float = SCALE, base: float = BASE,
+    init: float = INIT, rows_per_chunk: int = 2_000_000, rows_per_block: int = 250_000,
+) -> DataFrame:
+    """Online Elo of every Poisson resample: (keys, replicate, model, rating).
 
-    Every battle position i also serves as draw position i, so the draws come
-    from an explode of the indexed rows; they pick their battle by an equi-join
-    on (key, position). Positions are hashed uniformly: no hot join key.
+    Up to ``rows_per_block`` battles of a key travel once per *block* of
+    resamples, which draws, sorts and folds them together. Beyond that the copies
+    are written out and folded by :func:`online_elo` in chunks. Both draw alike.
     """
-    slim = battles.select(*keys, order, "model_a", "model_b", outcome)
-    rows = slim.count()
-    indexed = dense_index(slim, keys, order, "idx", "size")
-    # The explode multiplies the rows: spread them by their number afterwards.
+    if largest > rows_per_block:
+        copies = resampled_battles(battles, keys, order, rounds, seed, outcome)
+        folded = online_elo(
+            copies, [*keys, "replicate"], "pos", outcome, k, scale, base, init, rows_per_chunk,
+            largest=largest,
+        )
+        return folded.drop("seen_as_a")
+    # At most CELLS_PER_BLOCK draws in a block, and no fewer blocks than cores.
     cores = battles.sparkSession.sparkContext.defaultParallelism
-    width = max(cores, math.ceil(rows * rounds / DRAWS_PER_TASK))
-    draws = indexed.select(*keys, "idx", "size").repartition(width, "idx").withColumn(
-        "replicate", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))
-    )
-    draws = draws.select(
-        *keys, "replicate", F.col("idx").alias("pos"),
-        (draw(seed, *keys, "replicate", "idx") % F.col("size")).alias("pick"),
+    width = max(MIN_WIDTH, min(math.ceil(rounds / cores), CELLS_PER_BLOCK // max(largest, 1)))
+    schema = T.StructType([battles.schema[key] for key in keys] + [
+        T.StructField("replicate", T.IntegerType()), T.StructField("model", T.StringType()),
+        T.StructField("rating", T.DoubleType()),
+    ])
+
+    def fold(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        # Copies with the same sort key follow the battles' own order.
+        rows = rows.sort_values("_id", kind="stable")
+        codes, models = pd.factorize(pd.concat([rows["model_a"], rows["model_b"]], ignore_index=True))
+        size, ids = len(rows), rows["_id"].to_numpy()
+        block = int(group[-1])
+        replicates = range(block * width, min((block + 1) * width, rounds))
+        rating, met = _fold_block(
+            codes[:size], codes[size:], rows["score"].to_numpy(),
+            [poisson_copies(ids, r, seed) for r in replicates], len(models), k, scale, base, init,
+        )
+        which, model = np.nonzero(met)
+        out = pd.DataFrame({
+            "replicate": np.array(replicates, dtype=np.int32)[which],
+            "model": np.asarray(models, dtype=object)[model], "rating": rating[which, model],
+        })
+        for name, value in zip(keys, group):
+            out[name] = value
+        return out[schema.names]
+
+    slim = battles.select(
+        *keys, "model_a", "model_b", a_score(outcome).alias("score"), _identity(battles, order).alias("_id"),
+        F.explode(F.sequence(F.lit(0), F.lit(math.ceil(rounds / width) - 1))).alias("_block"),
     )
-    source = indexed.drop("size", order).withColumnRenamed("idx", "pick")
-    # The battles fit a broadcast only below a checked size; beyond it both sides
-    # meet in a sorted shuffle, which spills.
-    source = F.broadcast(source) if rows <= BROADCAST_ROWS else source.hint("merge")
-    return draws.join(source, [*keys, "pick"]).drop("pick")
+    return slim.groupBy(*keys, "_block").applyInPandas(fold, schema)
 
 
 def bootstrap_bounds(replicates: DataFrame, keys: list[str], rounds: int, level: float = 0.9) -> DataFrame:
@@ -196,8 +285,7 @@ def elo_with_intervals(
     """Online Elo with bootstrap bounds and their deltas to the rating."""
     largest = largest_group(battles, keys)
     point = online_elo(battles, keys, order, largest=largest, **elo).select(*keys, "model", "rating")
-    sample = resampled_battles(battles, keys, order, rounds, seed)
-    repeats = online_elo(sample, [*keys, "replicate"], "pos", largest=largest, **elo)
+    repeats = resampled_elo(battles, keys, order, rounds, seed, largest, **elo)
     bounds = bootstrap_bounds(repeats, keys, rounds, level)
     return point.join(bounds, [*keys, "model"]).withColumn(
         "ci_low", F.col("lower_bound") - F.col("rating")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from verdictframe.functions import draws
 from verdictframe.operators import battles as battle_ops
 from verdictframe.operators import correlate, ratings
 from verdictframe.plans.registry import query
@@ -61,11 +62,30 @@ ROUNDS = 1000
 LOW, HIGH = int((1 - 0.9) / 2 * ROUNDS), int((1 - (1 - 0.9) / 2) * ROUNDS)
 
 
-@query("elo_bootstrap", f"""WITH src AS (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS idx, count(*) OVER () AS n FROM battles),
- d AS (SELECT r.replicate, s.idx AS pos, ('0x' || substr(md5('17:' || r.replicate || ':' || s.idx), 1, 15))::BIGINT % s.n AS pick
-   FROM src s, (SELECT unnest(range(0, {ROUNDS})) AS replicate) r),
- b AS (SELECT d.replicate, d.pos, s.model_a, s.model_b, s.vote FROM d JOIN src s ON s.idx = d.pick
-   UNION ALL SELECT -1, idx, model_a, model_b, vote FROM src), {elo_sql('b', 'replicate', 'pos')},
+def mix_sql(x: str) -> str:
+    """The hash of ``draws.mix`` in SQL; a lambda names the word of each step."""
+    step = f"list_transform([{{}}], lambda w: (xor(w, w >> 16) * {draws.MULTIPLIER}) & {draws.WORD})[1]"
+    return f"list_transform([{step.format(step.format(x))}], lambda w: xor(w, w >> 16))[1]"
+
+
+def poisson_sql(source: str, order: str, rounds: int, seed: int = 17) -> str:
+    """CTE ``copies(replicate, pos, model_a, model_b, vote)``: the Poisson resamples of ``source``."""
+    one, two = draws.salts(seed, 2)
+    times = " + ".join(f"(h >= {t})::INT" for t in draws.POISSON)
+    word = mix_sql(f"xor({mix_sql(f'{order}::BIGINT & {draws.WORD}')}, ({order}::BIGINT >> 32) & {draws.WORD})")
+    return f"""
+ word AS (SELECT *, {word} AS word FROM {source}),
+ reps AS (SELECT replicate, {mix_sql(f'xor(replicate, {one})')} AS r1, {mix_sql(f'xor(replicate, {two})')} AS r2
+   FROM (SELECT unnest(range(0::BIGINT, {rounds})) AS replicate)),
+ hashed AS (SELECT replicate, model_a, model_b, vote, {mix_sql(f'(word + r1) & {draws.WORD}')} AS h,
+   {mix_sql(f'(word + r2) & {draws.WORD}')} AS g FROM word, reps),
+ counted AS (SELECT *, unnest(range(0::BIGINT, ({times})::BIGINT)) AS copy FROM hashed),
+ copies AS (SELECT replicate, (({mix_sql(f'(g + copy + 1) & {draws.WORD}')} >> 1) << 32) | xor2 AS pos, model_a, model_b, vote
+   FROM (SELECT *, {mix_sql(f"xor(h, {mix_sql('copy + 1')})")} AS xor2 FROM counted))"""
+
+
+@query("elo_bootstrap", f"""WITH {poisson_sql('battles', 'seq', ROUNDS)},
+ b AS (SELECT * FROM copies UNION ALL SELECT -1, seq, model_a, model_b, vote FROM battles), {elo_sql('b', 'replicate', 'pos')},
  l AS (SELECT model, list_sort(list(rating)) AS r FROM elo_final WHERE key >= 0 GROUP BY model)
 SELECT l.model, round(p.rating, 4) AS rating, round(r[{LOW + 1}], 4) AS lower_bound, round(r[{HIGH + 1}], 4) AS upper_bound,
  len(r) AS replicates, round(r[{LOW + 1}] - p.rating, 4) AS ci_low, round(r[{HIGH + 1}] - p.rating, 4) AS ci_high
