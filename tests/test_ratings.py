@@ -267,3 +267,27 @@ def test_resampled_elo_in_blocks_equals_the_loop_and_the_chunks(spark):
             plain.update({(system, replicate, m): v for m, v in plain_elo(copies).items()})
     assert ours.keys() == plain.keys() == other.keys()
     assert all(ours[k] == pytest.approx(v, abs=1e-9) and other[k] == pytest.approx(v, abs=1e-9) for k, v in plain.items())
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 50, 1000, 1023])
+def test_shuffled_positions_are_a_permutation(spark, size):
+    place = draws.shuffled_position(F.col("id"), F.lit(size).cast("bigint"), F.col("key"))
+    rows = spark.range(size + 2).crossJoin(spark.createDataFrame([(5,), (2**59 + 11,)], "key bigint"))
+    out = rows.select("key", "id", place.alias("at")).collect()
+    for key in (5, 2**59 + 11):
+        assert sorted(r["at"] for r in out if r["key"] == key and r["id"] < size) == list(range(size))
+    assert all(r["at"] is None for r in out if r["id"] >= size)
+
+
+def test_places_of_a_slot_are_even_over_keys(spark):
+    place = draws.shuffled_position(F.lit(1).cast("bigint"), F.lit(10).cast("bigint"), draws.draw(3, "id"))
+    counts = [r["count"] for r in spark.range(20_000).groupBy(place.alias("at")).count().collect()]
+    assert len(counts) == 10 and min(counts) > 1800 and max(counts) < 2200
+
+
+def test_range_buckets_by_halving(spark):
+    df = spark.range(5000).select((F.col("id") * F.col("id") % 997).alias("x"))
+    for buckets in (2, 3, 64, 700):
+        rows = draws.range_bucket(df, "x", buckets).groupBy("x").agg(F.min("bucket").alias("b"), F.max("bucket").alias("c")).orderBy("x").collect()
+        found = [r["b"] for r in rows]
+        assert found == [r["c"] for r in rows] == sorted(found) and found[0] == 0 and len(set(found)) > buckets / 2

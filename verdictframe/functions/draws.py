@@ -8,6 +8,7 @@ digest is a 32-bit integer hash on arrays instead (``mix``), as easy to state in
 
 from __future__ import annotations
 
+import json
 import math
 
 import numpy as np
@@ -18,6 +19,8 @@ BITS = 60
 WORD = 0xFFFFFFFF
 # Fixed value: multiplier of the hash; below 2^31, so a product of a word fits 63 bits.
 MULTIPLIER = 0x45D9F3B
+# Rounds of a permutation, and walks back into its range.
+FEISTEL_ROUNDS, WALK = 6, 64
 # The distribution function of Poisson(1) in steps of 2^-32, up to its last step.
 POISSON = [
     int(2**32 * math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1))) for k in range(12)
@@ -80,8 +83,62 @@ def range_bucket(df: DataFrame, order: str, buckets: int, name: str = "bucket")
     bounds = sorted(set(bounds or []))
     if not bounds:
         return df.withColumn(name, F.lit(0))
-    cuts = F.array(*[F.lit(b) for b in bounds])
-    return df.withColumn(name, F.size(F.filter(cuts, lambda b: b < F.col(order))))
+    # One array literal whatever its length, searched by halving.
+    cuts = F.from_json(F.lit(json.dumps([float(b) for b in bounds])), "array<double>")
+    at, none = F.col(order).cast("double"), F.lit(0).cast("int")
+
+    def halve(span: Column, _: Column) -> Column:
+        low, high = span["low"], span["high"]
+        middle = F.shiftright(low + high, 1)
+        below = (low < high) & (F.get(cuts, middle) < at)
+        return F.struct(
+            F.when(below, middle + 1).otherwise(low).alias("low"),
+            F.when(below | (low >= high), high).otherwise(middle).alias("high"),
+        )
+
+    start = F.struct(none.alias("low"), F.lit(len(bounds)).cast("int").alias("high"))
+    steps = F.sequence(F.lit(0), F.lit(len(bounds).bit_length()))
+    return df.withColumn(name, F.aggregate(steps, start, halve)["low"])
+
+
+def _mixed(x: Column) -> Column:
+    """:func:`mix` of a bigint column; each step names its word once."""
+    def shifted(w: Column) -> Column:
+        return w.bitwiseXOR(F.shiftright(w, 16))
+
+    def step(w: Column) -> Column:
+        return (shifted(w) * F.lit(MULTIPLIER)).bitwiseAND(F.lit(WORD))
+
+    for change in (step, step, shifted):
+        x = F.get(F.transform(F.array(x), change), F.lit(0))
+    return x
+
+
+def shuffled_position(index: Column, size: Column, key: Column) -> Column:
+    """Where a keyed permutation of 0 .. size - 1 puts ``index``; null where index >= size.
+
+    A Feistel network of ``FEISTEL_ROUNDS`` rounds over the square a x a that just holds
+    ``size`` numbers, walked on until it is back among them. A cycle has at most
+    a * a - size steps outside, and a larger square is left with certainty for all
+    practical purposes (below 10^-70 per row) within ``WALK`` steps. Constant memory,
+    distinct positions for distinct indexes. ``key`` and ``size`` are bigint, size below 2^60.
+    """
+    side = F.ceil(F.sqrt(size.cast("double"))).cast("bigint")
+
+    def turn(pair: Column, number: Column) -> Column:
+        word = (key + pair["right"] + number * F.lit(MULTIPLIER)).bitwiseAND(F.lit(WORD))
+        return F.struct(
+            pair["right"].alias("left"), ((pair["left"] + _mixed(word)) % pair["side"]).alias("right"), pair["side"].alias("side")
+        )
+
+    def moved(at: Column) -> Column:
+        start = F.struct(F.floor(at / side).cast("bigint").alias("left"), (at % side).alias("right"), side.alias("side"))
+        rounds = F.sequence(F.lit(1).cast("bigint"), F.lit(FEISTEL_ROUNDS).cast("bigint"))
+        return F.aggregate(rounds, start, turn, lambda pair: pair["left"] * pair["side"] + pair["right"])
+
+    steps = F.sequence(F.lit(1), F.lit(WALK))
+    found = F.aggregate(steps, moved(index), lambda at, _: F.when(at >= size, moved(at)).otherwise(at))
+    return F.when(index < size, found)
 
 
 def dense_index(

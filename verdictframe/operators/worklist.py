@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdictframe.functions.draws import dense_index, draw, uniform
+from verdictframe.functions.draws import dense_index, draw, shuffled_position, uniform
 from verdictframe.session import broadcast_if_small
 
 CELLS = 1024
@@ -170,32 +170,25 @@ def seed_samples(
     """k distinct seeds of the request's category for every request.
 
     ``requests(category, request)``, ``seeds(category, seed_no, uid,
-    instruction)`` with ``seed_no`` unique. Draw i picks among the n - i seeds not
-    taken yet: its number steps over the smaller ones taken before. The numbers
-    then meet the seeds by an equi-join on (category, position), so the work is
-    k rows per request, whatever the size of a category.
+    instruction)`` with ``seed_no`` unique. Slot i takes the seed at the place
+    where a permutation keyed by (category, request) puts i, so the slots of a
+    request need no memory of one another; a category with fewer seeds fills
+    fewer slots. The places meet the seeds by an equi-join on (category,
+    position): k rows per request, whatever the size of a category.
     """
     indexed = dense_index(seeds, ["category"], "seed_no", "position", "size")
     sizes = indexed.groupBy("category").agg(F.max("size").alias("size"))
     # A category may hold a third of the requests and few seeds: the small sides
     # are broadcast where their size allows.
     rows = requests.join(broadcast_if_small(sizes), "category")
-
-    for i in range(k):
-        left = F.col("size") - i
-        number = draw(seed, "category", "request", F.lit(i)) % F.greatest(left, F.lit(1))
-        stepped = F.aggregate(
-            F.array_sort(F.col("_taken")), number, lambda at, taken: F.when(taken <= at, at + 1).otherwise(at)
-        )
-        if i == 0:
-            rows = rows.withColumn("_taken", F.array(number))
-        else:
-            rows = rows.withColumn(
-                "_taken", F.when(left > 0, F.concat("_taken", F.array(stepped))).otherwise(F.col("_taken"))
-            )
-    rows = rows.select("category", "request", F.posexplode("_taken").alias("slot", "position"))
+    rows = rows.select(
+        "category", "request", "size", draw(seed, "category", "request").alias("_key"),
+        F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("slot"),
+    ).filter(F.col("slot") < F.col("size"))
+    place = shuffled_position(F.col("slot").cast("bigint"), F.col("size"), F.col("_key"))
+    rows = rows.select("category", "request", "slot", place.alias("position"))
     chosen = indexed.select("category", "position", F.col("uid").alias("seed_uid"), "instruction")
-    return rows.join(broadcast_if_small(chosen, 20_000), ["category", "position"]).drop("position")
+    return rows.join(broadcast_if_small(chosen), ["category", "position"]).drop("position")
 
 
 def seed_prompts(samples: DataFrame, template: str) -> DataFrame:

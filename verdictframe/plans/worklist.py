@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from verdictframe.functions import draws
 from verdictframe.operators import battles, worklist
+from verdictframe.plans.ratings import mix_sql
 from verdictframe.plans.registry import query
 from verdictframe.sources.views import view
 
@@ -123,11 +125,17 @@ def battle_pair_assignment(spark, sf):
     return worklist.battle_pairs(prompts, models, "conv_id")
 
 
-SAMPLED = """s AS (SELECT category, uid, instruction, row_number() OVER (PARTITION BY category ORDER BY uid) - 1 AS position, count(*) OVER (PARTITION BY category) AS n FROM questions),
+TURNED = mix_sql(f"(key + r + i * {draws.MULTIPLIER}) & {draws.WORD}")
+SAMPLED = f"""s AS (SELECT category, uid, instruction, row_number() OVER (PARTITION BY category ORDER BY uid) - 1 AS position, count(*) OVER (PARTITION BY category) AS n FROM questions),
  r AS (SELECT 'cat' || doc_id % 6 AS category, doc_id AS request FROM documents),
- d AS (SELECT r.category, r.request, z.n, ('0x' || substr(md5('17:' || r.category || ':' || r.request || ':0'), 1, 15))::BIGINT % z.n AS p0,
-  ('0x' || substr(md5('17:' || r.category || ':' || r.request || ':1'), 1, 15))::BIGINT % greatest(z.n - 1, 1) AS raw FROM r JOIN (SELECT DISTINCT category, n FROM s) z USING (category)),
- t AS (SELECT category, request, 0 AS slot, p0 AS position FROM d UNION ALL SELECT category, request, 1, raw + CASE WHEN p0 <= raw THEN 1 ELSE 0 END FROM d WHERE n > 1)"""
+ z AS (SELECT category, n, ceil(sqrt(n))::BIGINT AS a FROM s GROUP BY ALL),
+ turn(category, request, slot, n, a, key, i, l, r) AS (
+  SELECT category, request, slot, n, a, ('0x' || substr(md5('17:' || category || ':' || request), 1, 15))::BIGINT, 1, slot // a, slot % a
+   FROM r JOIN z USING (category), (SELECT unnest([0, 1])::BIGINT AS slot) WHERE slot < n
+  UNION ALL
+  SELECT category, request, slot, n, a, key, CASE WHEN i = {draws.FEISTEL_ROUNDS} AND r * a + f >= n THEN 1 ELSE i + 1 END, r, f
+   FROM (SELECT *, (l + {TURNED}) % a AS f FROM turn WHERE i <= {draws.FEISTEL_ROUNDS})),
+ t AS (SELECT category, request, slot, l * a + r AS position FROM turn WHERE i = {draws.FEISTEL_ROUNDS} + 1)"""
 
 
 def sampled(spark, sf):
