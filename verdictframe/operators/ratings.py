@@ -20,7 +20,7 @@ from verdictframe.session import scratch_path, truncate
 # Rating scale.
 K_FACTOR, SCALE, BASE, INIT = 4.0, 400.0, 10.0, 1000.0
 # Resamples that one task folds together: at least MIN_WIDTH, else this many draws.
-CELLS_PER_BLOCK, MIN_WIDTH = 8_000_000, 32
+CELLS_PER_BLOCK, MIN_WIDTH, STEPS_AT_ONCE = 8_000_000, 16, 4096
 
 
 # ---------------------------------------------------------------- online Elo
@@ -177,31 +177,37 @@ def _fold_block(left, right, score, draws: list[tuple[np.ndarray, np.ndarray]],
     """Elo of several resamples of the same battles, one battle of each per step.
 
     ``draws`` holds (row, sort key) of each resample. Shorter ones end on a battle
-    of two spare models. Returns (ratings, taken part) per resample and model.
+    of two spare models, and so does a model that meets itself: its two changes
+    cancel. Returns (ratings, taken part) per resample and model.
     """
-    picks = []
-    for row, key in draws:
-        picks.append(row[np.argsort(key, kind="stable")])
-    width, steps = len(picks), max(map(len, picks))
-    left, right = np.append(left, models), np.append(right, models + 1)
-    score = np.append(score, 0.5)
-    plan = np.full((steps, width), len(left) - 1, dtype=np.int32)
+    picks = [row[np.argsort(key, kind="stable")] for row, key in draws]
+    width, steps, places = len(picks), max(map(len, picks)), models + 2
+    plan = np.full((steps, width), len(left), dtype=np.int32)
+    met = np.zeros((width, models), dtype=bool)
     for i, pick in enumerate(picks):
         plan[: len(pick), i] = pick
-    rating = np.full(width * (models + 2), float(init))
-    met = np.zeros(width * (models + 2), dtype=bool)
-    at = np.arange(width) * (models + 2)
-    for pick in plan:
-        a, b, won = left[pick] + at, right[pick] + at, score[pick]
-        ra, rb = rating[a], rating[b]
-        gain = k * (won - 1 / (1 + base ** ((rb - ra) / scale)))
-        loss = k * (1 - won - 1 / (1 + base ** ((ra - rb) / scale)))
-        # One after the other: a model may meet itself.
-        rating[a] += gain
-        rating[b] += loss
-        met[a] = True
-        met[b] = True
-    return rating.reshape(width, -1)[:, :models], met.reshape(width, -1)[:, :models]
+        met[i, left[pick]] = met[i, right[pick]] = True
+    alone = left == right
+    pair = np.array([
+        np.append(np.where(alone, models, left), models), np.append(np.where(alone, models + 1, right), models + 1),
+    ])
+    won = k * np.array([np.append(score, 0.5), np.append(1 - score, 0.5)])
+    rating = np.full(width * places, float(init))
+    at = np.arange(width) * places
+    slope, gap = math.log(base) / scale, np.empty((2, width))
+    for low in range(0, steps, STEPS_AT_ONCE):
+        part = plan[low : low + STEPS_AT_ONCE]
+        for where, gain in zip((pair[:, part] + at).swapaxes(0, 1), won[:, part].swapaxes(0, 1)):
+            own = rating[where]
+            np.subtract(own[::-1], own, out=gap)
+            np.multiply(gap, slope, out=gap)
+            np.exp(gap, out=gap)
+            np.add(gap, 1, out=gap)
+            np.divide(k, gap, out=gap)
+            own += gain
+            own -= gap
+            rating[where] = own
+    return rating.reshape(width, places)[:, :models], met
 
 
 def resampled_elo(
