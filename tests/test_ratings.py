@@ -291,3 +291,21 @@ def test_range_buckets_by_halving(spark):
         rows = draws.range_bucket(df, "x", buckets).groupBy("x").agg(F.min("bucket").alias("b"), F.max("bucket").alias("c")).orderBy("x").collect()
         found = [r["b"] for r in rows]
         assert found == [r["c"] for r in rows] == sorted(found) and found[0] == 0 and len(set(found)) > buckets / 2
+
+
+def test_pairs_of_many_models_follow_the_weights(spark):
+    """700 models in three blocks of rivals: every model keeps its share, nobody meets itself."""
+    from verdictframe.operators import worklist
+
+    models = spark.range(700).selectExpr(
+        "concat('m', id) model", "IF(id < 10, 70.0D, 1.0D) weight", "false outage", "false boost", "id >= 695 anonymous",
+        "CAST(NULL AS ARRAY<STRING>) strict", "CAST(NULL AS ARRAY<STRING>) targets",
+    )
+    rows = worklist.battle_pairs(spark.range(6000).withColumnRenamed("id", "prompt"), models, "prompt").collect()
+    assert len(rows) == 6000 == len({r["prompt"] for r in rows}) and all(r["model_a"] != r["model_b"] for r in rows)
+    heavy = sum((m in {f"m{i}" for i in range(10)}) for r in rows for m in (r["model_a"], r["model_b"]))
+    first = 700 / 1390
+    expected = 6000 * (first + first * 630 / 1320 + (1 - first) * 700 / 1389)
+    assert abs(heavy - expected) < 300
+    hidden = {f"m{i}" for i in range(695, 700)}
+    assert not any({r["model_a"], r["model_b"]} <= hidden for r in rows)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from verdictframe.functions.draws import dense_index, draw, shuffled_position, u
 from verdictframe.session import broadcast_if_small
 
 CELLS = 1024
+RIVALS_PER_BLOCK = 256
 
 
 def judge_tasks(
@@ -119,17 +121,21 @@ def battle_pairs(
         "_first", own * F.when(F.col("boost"), F.lit(2.0)).otherwise(F.lit(1.0))
     )
     chosen = _intervals(rated.select("model", "_first"), [], "model", "_first")
-    everyone = Window.partitionBy()
-    rival = F.struct(
+    whole = rated.agg(F.sum("_first").alias("total"), F.count(F.lit(1)).alias("models")).first()
+    # Rivals lie in blocks and every model visits each block: no row or task holds
+    # all models, only the table of weights has a row per two of them.
+    blocks = math.ceil(whole["models"] / RIVALS_PER_BLOCK) or 1
+    rivals = rated.select(
         F.col("model").alias("rival"), F.col("_rival").alias("r_weight"),
         F.col("anonymous").alias("r_anonymous"), F.col("strict").alias("r_strict"),
+        (F.crc32(F.col("model").cast("binary")) % blocks).cast("int").alias("_block"),
     )
-    table = rated.withColumn("_total", F.sum("_first").over(everyone)).withColumn(
-        "_rivals", F.collect_list(rival).over(everyone)
-    )
-    table = table.select("*", F.explode("_rivals").alias("r")).select("*", "r.*").filter(
-        (F.col("rival") != F.col("model")) | (F.size("_rivals") == 1)
+    visits = rated.withColumn("_total", F.lit(float(whole["total"] or 0))).withColumn(
+        "_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     )
+    table = visits.join(rivals, "_block")
+    if whole["models"] > 1:
+        table = table.filter(F.col("rival") != F.col("model"))
 
     def fits(name: Column, patterns: Column) -> Column:
         free = F.size(F.coalesce(patterns, F.array().cast("array<string>"))) == 0
