@@ -106,6 +106,26 @@ def test_worklist_state_expires(spark):
     assert stored_changes(spark, path).filter("k = 'hot'").count() == 1
 
 
+def test_worklist_keeps_groups_of_keys(spark):
+    """Many keys make no more states, and no more calls of the fold, than there are groups; whole numbers stay exact."""
+    path = scratch_path(spark, "groups")
+    top = 2**53
+    for number in range(2):
+        rows = spark.range(3000).selectExpr(f"CASE WHEN id > 0 THEN id + {top} END AS k", "CASE WHEN id % 3 = 0 THEN 'failed' WHEN id % 3 = 1 THEN 'completed' END AS state")
+        rows.write.mode("append").parquet(f"{path}/in")
+        live = votes.vote_stream(spark, f"{path}/in", "k bigint, state string", kind="parquet")
+        run = logs.run_worklist(logs.worklist_status(live, "k", retries=1), votes.keep_step(f"{path}/changes"), f"{path}/checkpoint")
+        assert run.awaitTermination(60)
+        states = [p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress if p["stateOperators"]]
+        assert max(states) <= logs.KEY_GROUPS
+    stored = spark.read.schema("k bigint, status string, attempt int, take boolean, batch int").parquet(f"{path}/changes")
+    assert stored.count() == 6000
+    last = {r["k"]: (r["status"], r["attempt"]) for r in logs.latest_status(stored, "k").collect()}
+    kinds = [("given_up", 2), ("completed", 1), ("open", 1)]
+    assert last == {(k + top if k else None): kinds[k % 3] for k in range(3000)}
+    assert stored.filter("take").count() == 2000
+
+
 def test_counts_read_the_last_batch_only(spark):
     path = scratch_path(spark, "running")
     step = votes.pair_count_step(path)

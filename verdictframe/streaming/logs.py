@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -82,6 +86,10 @@ def taken_once(records: DataFrame, key: str) -> DataFrame:
     return records.dropDuplicates([key])
 
 
+#: Groups of keys whose states are kept together: a call of the fold costs far more than a key of it.
+KEY_GROUPS = 1024
+
+
 def worklist_status(
     events: DataFrame, key: str, retries: int = 2, keep_ms: int = 30 * 24 * 3600 * 1000, state: str = "state",
 ) -> DataFrame:
@@ -92,36 +100,75 @@ def worklist_status(
     than ``retries`` failures, else ``open`` with attempt 1 + failures. ``take`` marks the
     triggers that open an attempt no earlier one opened: those rows are the work to do.
 
-    Kept per key: failures, whether completed, the last attempt opened. They do not depend on the order of the
-    events, so pieces of a trigger are counted one after the other and never held together, also where one key has
-    most of the rows. A key is forgotten ``keep_ms`` after its last event (processing time, so no event is
-    ever too late); one that arrives after that is new. A null key is a key; an empty trigger gives no rows.
+    Kept per key: failures, whether completed, the last attempt opened, the time of its last event. They do not depend on
+    the order of the events, so pieces of a trigger are counted one after the other and never held together, also where
+    one key has most of the rows. Keys are kept in ``KEY_GROUPS`` groups by hash, one table of a row per key each; a trigger
+    reads and writes the groups that it touches. A key is forgotten ``keep_ms`` after its last event (processing time, so
+    no event is ever too late); one that arrives after that is new. A null key is a key; an empty trigger gives no rows.
     """
+    key_type = events.schema[key].dataType
     schema = T.StructType([
         events.schema[key], T.StructField("status", T.StringType()),
         T.StructField("attempt", T.IntegerType()), T.StructField("take", T.BooleanType()),
     ])
+    # Whole numbers travel as text: beside a null pandas would make doubles of them.
+    text = isinstance(key_type, T.IntegralType)
+    kept = pa.schema([
+        ("key", to_arrow_type(T.StringType() if text else key_type)), ("failures", pa.int64()), ("completed", pa.bool_()),
+        ("opened", pa.int64()), ("seen", pa.int64()),
+    ])
+
+    def counted(rows: pa.Table) -> pa.Table:
+        sums = [("failures", "sum"), ("completed", "max"), ("opened", "max"), ("seen", "max")]
+        return rows.group_by("key", use_threads=False).aggregate(sums).rename_columns(kept.names).cast(kept)
 
     def fold(group, pieces: Iterator[pd.DataFrame], memory: GroupState) -> Iterator[pd.DataFrame]:
-        if memory.hasTimedOut:
+        if memory.hasTimedOut:  # its latest key is too old
             memory.remove()
             return
-        failures, completed, opened = memory.get if memory.exists else (0, False, 0)
+        now = memory.getCurrentProcessingTimeMs()
+        known = kept.empty_table()
+        if memory.exists:
+            known = pa.ipc.open_stream(bytes(memory.get[0])).read_all()
+            known = known.filter(pc.greater(known["seen"], now - keep_ms))
+        new = kept.empty_table()
         for piece in pieces:
-            outcomes = piece["outcome"]
-            failures += int((outcomes == "failed").sum())
-            completed = completed or bool((outcomes == "completed").any())
-        status = "completed" if completed else "given_up" if failures > retries else "open"
-        attempt = min(failures, retries) + 1
-        take = status == "open" and attempt > opened
-        memory.update((failures, completed, max(opened, attempt) if status == "open" else opened))
+            rows = pa.table([
+                pa.array(piece["key"], kept.field("key").type, from_pandas=True), piece["failures"].to_numpy(),
+                pa.array(piece["completed"].to_numpy()), np.zeros(len(piece), np.int64), np.full(len(piece), now),
+            ], schema=kept)
+            new = counted(pa.concat_tables([new, counted(rows)]))
+        # the touched keys stand first, in the same order once they are summed with what is known
+        both = counted(pa.concat_tables([new, known]))
+        failures, completed, opened = (both[c].to_numpy() for c in ("failures", "completed", "opened"))
+        is_open = ~completed & (failures <= retries)
+        attempt = np.minimum(failures, retries) + 1
+        both = both.set_column(3, "opened", pa.array(np.where(is_open, np.maximum(opened, attempt), opened)))
+        # an untouched key opens nothing: its last attempt is opened already
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, kept) as writer:
+            writer.write_table(both)
+        memory.update((sink.getvalue().to_pybytes(),))
         memory.setTimeoutDuration(keep_ms)
-        yield pd.DataFrame({schema.names[0]: [group[0]], "status": [status], "attempt": [attempt], "take": [take]})
-
-    slim = events.select(key, F.col(state).alias("outcome"))
-    return slim.groupBy(key).applyInPandasWithState(
-        fold, schema, "failures long, completed boolean, opened long", "update", GroupStateTimeout.ProcessingTimeTimeout
+        touched = len(new)
+        yield pd.DataFrame({
+            "key": both["key"][:touched].to_pandas(),
+            "status": np.where(completed, "completed", np.where(is_open, "open", "given_up"))[:touched],
+            "attempt": attempt[:touched].astype(np.int32), "take": (is_open & (attempt > opened))[:touched],
+        })
+
+    found = T.StructType([T.StructField("key", T.StringType() if text else key_type), *schema.fields[1:]])
+    slim = events.select(
+        F.col(key).alias("key"), F.coalesce(F.col(state) == "failed", F.lit(False)).cast("long").alias("failures"),
+        F.coalesce(F.col(state) == "completed", F.lit(False)).alias("completed"),
+    )
+    slim = slim.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(KEY_GROUPS)).cast("int"))
+    if text:
+        slim = slim.withColumn("key", F.col("key").cast("string"))
+    changes = slim.groupBy("group").applyInPandasWithState(
+        fold, found, "packed binary", "update", GroupStateTimeout.ProcessingTimeTimeout
     )
+    return changes.select(F.col("key").cast(key_type).alias(key), "status", "attempt", "take")
 
 
 def run_worklist(
