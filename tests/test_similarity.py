@@ -266,3 +266,17 @@ def test_a_few_long_texts_are_not_broadcast(spark):
     hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
     assert hinted(broadcast_if_small(few, 50)) and not hinted(broadcast_if_small(few, 49))
     assert not hinted(broadcast_if_small(few, 50, max_bytes=49_000))
+
+
+def test_a_tile_is_bounded_whatever_is_asked(spark, monkeypatch):
+    """Larger tiles than the bound are cut, and no task holds more than tile x chunk."""
+    rng = np.random.default_rng(9)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 6)))]
+    df = spark.createDataFrame(rows, "id bigint, vec array<double>")
+    whole = sorted(tuple(r) for r in similarity.similar_pairs(df, "id", "vec", 0.8).select("i", "j").collect())
+    monkeypatch.setattr(similarity, "TILE_ROWS", 40)
+    monkeypatch.setattr(similarity, "ROWS_AT_ONCE", 7)
+    cut = similarity.similar_pairs(df, "id", "vec", 0.8, tile_rows=10_000)
+    assert sorted(tuple(r) for r in cut.select("i", "j").collect()) == whole and whole
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode(targets" in plan
