@@ -309,3 +309,41 @@ def test_pairs_of_many_models_follow_the_weights(spark):
     assert abs(heavy - expected) < 300
     hidden = {f"m{i}" for i in range(695, 700)}
     assert not any({r["model_a"], r["model_b"]} <= hidden for r in rows)
+
+
+def test_large_resamples_write_no_copies(spark):
+    """Beyond a block the draws come in slices of time; the battles themselves travel once per block."""
+    df = frame(spark, [("s", i, f"m{i % 5}", f"m{(i * 7 + 1) % 5}", ["vote_left", "vote_right", "vote_tie"][i % 3]) for i in range(400)])
+    call = {"rounds": 40, "seed": 5, "largest": 400}
+    sliced = ratings.resampled_elo(df, ["system"], "seq", rows_per_block=1, rows_per_chunk=90, **call)
+    assert "MapInPandas" not in sliced._jdf.queryExecution().executedPlan().toString()
+    one = {tuple(r)[:3]: r["rating"] for r in ratings.resampled_elo(df, ["system"], "seq", **call).collect()}
+    cut = {tuple(r)[:3]: r["rating"] for r in sliced.collect()}
+    assert one.keys() == cut.keys() and all(abs(one[k] - cut[k]) < 1e-9 for k in one)
+
+
+def test_battles_are_kept_in_numbers():
+    """Pieces in any order fold like the whole; what is kept are four numbers a battle."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    rows = pd.DataFrame({"seq": rng.permutation(500), "model_a": rng.choice(list("abc"), 500), "model_b": rng.choice(list("bcd"), 500), "score": rng.choice([0, 0.5, 1], 500)})
+    whole, cut = ratings.Battles("seq"), ratings.Battles("seq")
+    whole.add(rows.sort_values("seq"))
+    for first in range(0, 500, 60):
+        cut.add(rows.iloc[first : first + 60])
+    assert sum(c.nbytes for part in cut.parts for c in part) == 24 * 500
+    one, two = {}, {}
+    assert whole.fold(one, 4.0, 400.0, 10.0, 1000.0) == cut.fold(two, 4.0, 400.0, 10.0, 1000.0) == set("abcd")
+    assert one == two
+
+
+def test_numbered_draws_are_md5():
+    import hashlib
+
+    from verdictframe.functions.draws import numbered_draws
+
+    for prefix in ("17:Overall:m:3", "x" * 53, "é" * 40, "y" * 130):
+        want = [int(hashlib.md5(f"{prefix}:{i}".encode()).hexdigest()[:15], 16) for i in range(95, 1105)]
+        assert numbered_draws(prefix, 95, 1105).tolist() == want

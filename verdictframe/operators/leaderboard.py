@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdictframe.functions.draws import draw
+from verdictframe.functions.draws import numbered_draws
 from verdictframe.functions.predicates import short_model_name
 
 OVERALL = "Overall"
@@ -110,7 +111,8 @@ def bootstrap_means_by_draws(cells: DataFrame, rounds: int = 100, seed: int = 17
 
     Draw i of a round picks position ``draw % n`` in the score-sorted rows, which
     the cumulative counts translate into a score. The n draws are generated in
-    blocks spread over all tasks, so a hot model is not one task's work.
+    blocks spread over all tasks, so a hot model is not one task's work; a block is
+    drawn as one array and leaves its task as one sum.
     """
     solid = cells.filter(F.col("score").isNotNull())
     # Scores come from a fixed table of labels: a handful of values.
@@ -128,16 +130,25 @@ def bootstrap_means_by_draws(cells: DataFrame, rounds: int = 100, seed: int = 17
     cores = cells.sparkSession.sparkContext.defaultParallelism
     width = max(cores, math.ceil(total * rounds / DRAWS_PER_TASK))
     blocks = blocks.repartition(width, "slice", "model", "block", "round")
-    last = F.least(F.col("size"), (F.col("block") + 1) * BLOCK) - 1
-    drawn = blocks.withColumn("i", F.explode(F.sequence(F.col("block") * BLOCK, last)))
-    pick = draw(seed, "slice", "model", "round", "i") % F.col("size")
-    score, seen = None, F.lit(0)
-    for i, v in enumerate(values):
-        seen = seen + F.col(f"n{i}")
-        test = F.col("pick") < seen
-        score = F.when(test, F.lit(v)) if score is None else score.when(test, F.lit(v))
-    scored = drawn.withColumn("pick", pick).withColumn("score", score)
-    return scored.groupBy("slice", "model", "round").agg(F.avg("score").alias("mean"))
+    blocks = blocks.select(
+        "slice", "model", "round", "block", "size", F.array(*[F.col(f"n{i}") for i in range(len(values))]).alias("counts"),
+        F.concat_ws(":", F.lit(str(seed)), "slice", "model", F.col("round").cast("string")).alias("prefix"),
+    )
+
+    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        score = np.array(values, dtype=float)
+        for rows in batches:
+            total, drawn = [], []
+            for block, size, counts, prefix in zip(rows["block"], rows["size"], rows["counts"], rows["prefix"]):
+                picks = numbered_draws(prefix, block * BLOCK, min(size, (block + 1) * BLOCK)) % size
+                place = np.searchsorted(np.cumsum(counts), picks, side="right")
+                total.append(float(np.bincount(place, minlength=len(score)) @ score))
+                drawn.append(len(picks))
+            yield rows[["slice", "model", "round"]].assign(total=total, drawn=drawn)
+
+    kinds = [f"{c} {blocks.schema[c].dataType.simpleString()}" for c in ("slice", "model", "round")]
+    sums = blocks.mapInPandas(scored, ", ".join([*kinds, "total double", "drawn bigint"]))
+    return sums.groupBy("slice", "model", "round").agg((F.sum("total") / F.sum("drawn")).alias("mean"))
 
 
 def leaderboard(means: DataFrame, baseline: str | None = None) -> DataFrame:

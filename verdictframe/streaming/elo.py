@@ -42,7 +42,7 @@ def keyed_elo(
     """The same fold as keyed state: the rating map of one system is its state.
 
     Emits the changed ratings of every trigger. A trigger's rows of one system
-    are ordered in one task, so bound the trigger size; for systems too large for
+    are ordered in one task at 24 bytes each, so bound the trigger size; for systems too large for
     that use :func:`elo_step`.
     """
     schema = T.StructType([
@@ -55,12 +55,14 @@ def keyed_elo(
         known: dict[str, list] = {}
         if state.exists:
             known = {m: [r, s] for m, r, s in zip(*state.get)}
-        rows = pd.concat(list(batches), ignore_index=True)
-        ratings._fold(rows, order, known, k, scale, base, init)
+        rows = ratings.Battles(order)
+        for batch in batches:
+            rows.add(batch)
+        named = rows.fold(known, k, scale, base, init)
         state.update((
             list(known), [float(v[0]) for v in known.values()], [bool(v[1]) for v in known.values()]
         ))
-        touched = sorted(set(rows["model_a"]) | set(rows["model_b"]))
+        touched = sorted(named)
         yield pd.DataFrame({
             key: group[0], "model": touched, "rating": [float(known[m][0]) for m in touched],
         })
