@@ -163,3 +163,12 @@ def test_local_numbers_can_be_added(docs_of):
     rows = pii.find(docs, pii.train(docs)).collect()
     added = [bool(re.fullmatch(r"number:4:16", r["spans"])) for r in sorted(rows, key=lambda r: r["doc_id"])]
     assert all(added[:150]) and not any(r["spans"] for r in rows if r["doc_id"] >= 150)
+
+
+def test_every_candidate_counts(docs_of):
+    """Trees and thresholds come from all candidates, equal ones weighted, not from some of them."""
+    docs = docs_of([(k, " ".join(f"no {10**8 + 300 * k + i}" for i in range(300))) for k in range(100)])
+    rows = pii.training_rows(docs)
+    assert rows.count() == 30_000
+    cells = pii.counted(rows)
+    assert cells.count() < 3_000 and cells.agg(F.sum("weight")).first()[0] == 30_000
