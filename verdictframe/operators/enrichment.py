@@ -127,7 +127,7 @@ def _best_without_text(signed: DataFrame, features: DataFrame, k: int) -> DataFr
 
 # -------------------------------------------------------- character similarity
 
-#: Bytes of questions searched at once, and rows of one index; its grams take up to 60 kB a row while it is built.
+#: Bytes of questions searched at once, and rows of one index, whose lists of grams are built together in memory.
 QUESTION_BYTES, INDEX_ROWS = 8 << 20, 2_000
 #: Texts per index and question that are tried for a first k-th best score, and rows to look for them in, at the least.
 SEEDS, SEED_ROWS = 6, 1_000
