@@ -172,3 +172,9 @@ def test_every_candidate_counts(docs_of):
     assert rows.count() == 30_000
     cells = pii.counted(rows)
     assert cells.count() < 3_000 and cells.agg(F.sum("weight")).first()[0] == 30_000
+
+
+def test_patterns_run_once_per_document(docs_of):
+    """No filter below the candidates' explode repeats the patterns that find them."""
+    plan = pii.counted(pii.training_rows(docs_of([(1, "no 123456789")])))._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if re.search(r"[-\s]Filter\b", x) and "regexp_extract_all" in x]

@@ -239,7 +239,8 @@ def unpacked(node):
 def training_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Candidates of all documents: label, free (no base span), held (out of the fit), features."""
     rows = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    rows = candidate_spans(base_spans(rows)).select("_id", "base", F.explode("candidates").alias("c"))
+    # From a plain explode Spark infers a filter below it, which repeats all patterns of the candidates many times per document.
+    rows = candidate_spans(base_spans(rows)).select("_id", "base", F.explode_outer("candidates").alias("c")).filter("c is not null")
     base = overlaps(F.col("c"), F.col("base"))
     label = base
     for e in EVIDENCE:
