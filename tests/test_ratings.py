@@ -347,3 +347,33 @@ def test_numbered_draws_are_md5():
     for prefix in ("17:Overall:m:3", "x" * 53, "é" * 40, "y" * 130):
         want = [int(hashlib.md5(f"{prefix}:{i}".encode()).hexdigest()[:15], 16) for i in range(95, 1105)]
         assert numbered_draws(prefix, 95, 1105).tolist() == want
+
+
+def test_battles_of_a_resample_are_kept_in_six_bytes(spark):
+    """Stored pieces hold a word and a cell per battle; blocks read them where they are, without a shuffle."""
+    df = frame(spark, [("s", i, f"m{i % 5}", f"m{(i * 7 + 1) % 5}", ["vote_left", "vote_right", "vote_tie"][i % 3]) for i in range(3000)])
+    packed = ratings.packed_battles(df, ["system"], "seq", "vote").collect()
+    assert sum(len(r["words"]) + len(r["cells"]) for r in packed) == 6 * 3000
+    rows = ratings.Packed()
+    for r in reversed(packed):
+        rows.add(r.asDict())
+    pieces = rows.ordered()
+    assert (np.concatenate([w for w, _ in pieces]) == draws.words(np.arange(3000))).all()
+    cells = [c for c, _ in sorted(rows.cells.items(), key=lambda x: x[1])]
+    assert [cells[c][0] for c in np.concatenate([c for _, c in pieces])] == [f"m{i % 5}" for i in range(3000)]
+    out = ratings.resampled_elo(df, [], "seq", rounds=40, seed=5, largest=3000)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+
+
+def test_slices_of_draws_follow_the_sort_keys():
+    """Slices of one resample give its copies in the order of their keys, also where keys share their first bits."""
+    rng = np.random.default_rng(1)
+    word = draws.words(np.repeat(np.arange(2000), 2))  # battles of one number share their keys
+    cell = rng.integers(0, 300, len(word)).astype(np.uint16)
+    row, key = draws.hashed_copies(word, 7, 17)
+    want = cell[row][np.argsort(key, kind="stable")]
+    pieces = [(word[i : i + 900], cell[i : i + 900]) for i in range(0, len(word), 900)]
+    met = np.zeros((1, 301), dtype=bool)
+    found = [ratings._block_picks(pieces, range(7, 8), 17, (1 << 31) * i // 3, (1 << 31) * (i + 1) // 3, met)[0] for i in range(3)]
+    assert (np.concatenate(found) == want).all() and set(np.flatnonzero(met[0])) == set(want.tolist())
