@@ -280,3 +280,53 @@ def test_a_tile_is_bounded_whatever_is_asked(spark, monkeypatch):
     assert sorted(tuple(r) for r in cut.select("i", "j").collect()) == whole and whole
     plan = cut._jdf.queryExecution().executedPlan().toString()
     assert "Generate explode(targets" in plan
+
+
+def test_every_pair_of_copies_is_listed(spark):
+    """Rows pair as in the SQL join: copies with each other and with all that match, repeated rows as often as they come."""
+    rows = clustered(60, copies=25)
+    rows += [(7, rows[7][1]), (200, None), (None, rows[5][1]), (201, [2 * x for x in rows[3][1]])]
+    df = spark.createDataFrame(rows, "id bigint, vec array<double>")
+    want = sorted((a, b) for a, b, s in brute_pairs([r for r in rows if None not in r], 0.85))
+    for tile_rows in (4096, 9):
+        got = similarity.similar_pairs(df, "id", "vec", 0.85, tile_rows).collect()
+        assert sorted((r["i"], r["j"]) for r in got) == want
+        assert all(r["similarity"] == 1.0 for r in got if {r["i"], r["j"]} <= {3, *range(60, 85)})
+    # At 1 the copies are there, too.
+    exact = similarity.similar_pairs(df, "id", "vec", 1.0).collect()
+    assert {(r["i"], r["j"]) for r in exact} >= {(3, j) for j in range(60, 85)} | {(60, 84)}
+
+
+def test_tiles_are_stored_once_and_not_shuffled(spark, monkeypatch):
+    """The product reads each tile where it is stored: what is stored grows with the rows, not with the pairs of tiles."""
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(400, 6)))], "id bigint, vec array<float>")
+    stored = []
+    monkeypatch.setattr(similarity, "truncate", lambda d, real=similarity.truncate: stored.append(real(d)) or stored[-1])
+    plan = similarity.similar_pairs(df, "id", "vec", 0.3, 20)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "CoGroup" not in plan
+    tiles = stored[-1].collect()
+    assert len(tiles) >= 20 and sum(len(r["data"]) for r in tiles) == 400 * 6 * 4
+    assert max(len(r["ids"]) for r in tiles) < 60
+
+
+@pytest.mark.parametrize("order", ["similarity", "index"])
+def test_removal_in_bands_and_heads_equals_the_greedy_pass(spark, monkeypatch, order):
+    """Few pairs in a band, few rows in a head: same survivors, and no step stores all pairs."""
+    rows = clustered(160, seed=4)
+    df = spark.createDataFrame(rows, "id bigint, vec array<double>")
+    strict = order == "index"
+    pairs = brute_pairs(rows, 0.3, strict)
+    monkeypatch.setattr(similarity, "EDGES_AT_ONCE", 300)
+    monkeypatch.setattr(similarity, "HEAD_BYTES", 8 * 8 * 13)
+    bands, kept = [], None
+    monkeypatch.setattr(similarity, "greedy_removed", lambda p, *a, real=similarity.greedy_removed, **k: bands.append(p.count()) or real(p, *a, **k))
+    kept = {r["id"] for r in similarity.deduplicated(df, "id", "vec", 0.3, order=order, tile_rows=64).collect()}
+    assert kept == {a for a, _ in rows} - greedy(pairs, order)
+    assert len(bands) > 2 and max(bands) < len(pairs) / 2 if order == "similarity" else not bands
+
+
+def test_rows_without_a_vector_stay(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, None), (4, None)], "id bigint, vec array<double>")
+    for order in ("similarity", "index"):
+        assert sorted(r["id"] for r in similarity.deduplicated(df, "id", "vec", 0.9, order=order).collect()) == [1, 3, 4]
