@@ -1,6 +1,7 @@
 """Similarity join, greedy removal and text matching against brute force."""
 
 import random
+import re
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -297,14 +298,15 @@ def test_every_pair_of_copies_is_listed(spark):
     assert {(r["i"], r["j"]) for r in exact} >= {(3, j) for j in range(60, 85)} | {(60, 84)}
 
 
-def test_tiles_are_stored_once_and_not_shuffled(spark, monkeypatch):
-    """The product reads each tile where it is stored: what is stored grows with the rows, not with the pairs of tiles."""
+def test_tiles_are_stored_once_and_travel_by_parts(spark, monkeypatch):
+    """A tile is one row, and goes to a few parts instead of every tile it meets."""
     rng = np.random.default_rng(2)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(400, 6)))], "id bigint, vec array<float>")
     stored = []
     monkeypatch.setattr(similarity, "truncate", lambda d, real=similarity.truncate: stored.append(real(d)) or stored[-1])
     plan = similarity.similar_pairs(df, "id", "vec", 0.3, 20)._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" in plan and "CoGroup" not in plan
+    assert "CartesianProduct" not in plan and "CoGroup" not in plan
+    assert max(map(int, re.findall(r"hashpartitioning\(left#\d+, right#\d+, (\d+)\)", plan))) <= 4 * 36
     tiles = stored[-1].collect()
     assert len(tiles) >= 20 and sum(len(r["data"]) for r in tiles) == 400 * 6 * 4
     assert max(len(r["ids"]) for r in tiles) < 60
